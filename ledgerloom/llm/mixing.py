@@ -190,7 +190,7 @@ def mixture(
         for i, (copy, block, part) in enumerate(draws[name]):
             plan.append((name, block, copy, int(np.searchsorted(ends, i, side="right")), part))
     # At most MOST_BLOCKS blocks and as many rows for each pass: bounded by the parameters, not by the texts.
-    steps = spark.createDataFrame(pd.DataFrame(plan, columns=["source", "block", "copy_no", "shard", "part"]).astype({"part": "Int64"}) if plan else [], "source string, block int, copy_no int, shard int, part bigint")
+    steps = spark.createDataFrame(plan, "source string, block int, copy_no int, shard int, part bigint")
     drawn = dealt.join(F.broadcast(steps), ["source", "block"])
     whole = drawn.where("part is null").drop("part", "block")
 
