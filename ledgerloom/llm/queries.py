@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.mixing import mixture
+from ledgerloom.llm.names import link_names, person_pairs
 from ledgerloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from ledgerloom.llm.packing import Limit, fill_report, packed, text_items
 from ledgerloom.llm.quantiles import daily_sketches, from_days, merge_sketches, read_quantiles, sketch_values
@@ -15,6 +16,24 @@ from ledgerloom.llm.splitting import split_texts
 from ledgerloom.sources.tables import table
 
 
+def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "works_recommended").select("mp_profile_id", "mp_name", "state_name", "constituency", "cohort")
+    calamities = table(spark, sf_dir, "calamity_features").select("mp_profile_id", "mp_name", F.col("mp_state").alias("state_name"), F.col("mp_constituency").alias("constituency"), F.lit(None).cast("string").alias("cohort"))
+    return link_names(works.unionByName(calamities), "mp_profile_id", "mp_name", ["state_name", "constituency", "cohort"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of profiles that belong to one member."""
+    return person_pairs(_persons(spark, sf_dir)).select(F.col("a").alias("profile_a"), F.col("b").alias("profile_b"))
+
+
+def p1_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each profile with its member's smallest profile and how many other profiles it is linked to."""
+    linked = _persons(spark, sf_dir)
+    sizes = linked.groupBy("person").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return linked.join(sizes, "person").select(F.col("id").alias("mp_profile_id"), F.col("person").alias("person_profile_id"), "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of works whose descriptions and sanctioned amounts nearly agree."""
     pairs = near_duplicate_pairs(table(spark, sf_dir, "work_features"), "work_id", "description_normalized", "sanction_amount_paise")
@@ -89,6 +108,8 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_persons": p1_persons,
     "p3_percentiles": p3_percentiles,
     "p3_from_days": p3_from_days,
     "p4_found": p4_found,
