@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import data_quality
+from ledgerloom.plans import data_quality, ledger
 
-MODULES = [data_quality]
-FLAGSHIP = "p2_report"
+MODULES = [data_quality, ledger]
+FLAGSHIP = "q_grouped_metrics"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
