@@ -23,8 +23,9 @@ NEAR = 0.5
 SLACK = 3
 
 
-def cuts(at: Places, first: int, last: int, most: int) -> list[int]:
-    """Borders that divide tokens ``[first, last)`` into segments of at most ``most`` tokens, by bisection.
+def cuts(at: Places, first: int, last: int, most: int, least: int = 1) -> list[int]:
+    """Borders that divide tokens ``[first, last)`` into segments of at most ``most`` tokens, by bisection, and of at
+    least ``least`` where the segment that is cut has twice as many.
 
     The boundary is the strongest in the middle half, the nearest to the middle among equals (the left one of two);
     without any there, the one nearest to the middle in the whole segment; in a text without blanks, the border
@@ -41,12 +42,16 @@ def cuts(at: Places, first: int, last: int, most: int) -> list[int]:
                 out.append(b)
             continue
         middle, reach = a + size / 2, max(1, int(size * NEAR / 2))
-        low, high = max(a + 1, int(middle) - reach), min(b, int(middle) + reach + 1)
+        edge = max(1, min(least, size // 2))
+        low, high = max(a + edge, int(middle) - reach), min(b - edge + 1, int(middle) + reach + 1)
         kind = np.where(at.whole[low:high], at.kind[low:high], -1)
         if kind.max(initial=-1) <= NONE:
-            low, high = a + 1, b
+            low, high = a + edge, b - edge + 1
             kind = np.where(at.whole[low:high], at.kind[low:high], -1)
             kind = np.minimum(kind, NONE + 1)  # far from the middle, nearness counts more than strength
+        if kind.max(initial=-1) < 0:
+            low, high = a + 1, b
+            kind = np.where(at.whole[low:high], NONE, -1)
         best = kind.max(initial=-1)
         if best < 0:
             if b != last:
@@ -84,7 +89,8 @@ def pieces(text: str, most: int, overlap: int, path: str, at: Places | None = No
     """``(char_start, char_end, tokens, shared, kind)`` of each piece in order; one piece if the text is within the limit.
 
     ``shared`` counts the tokens a piece has in common with the one before, ``kind`` is the boundary at its end. The
-    overlap must leave room: ``overlap + SLACK < most``. A text without tokens has no pieces.
+    overlap must leave room: ``overlap + SLACK < most``; where it leaves so little that a piece is shorter than the
+    overlap, neighbours share the whole piece. A text without tokens has no pieces.
     """
     if not 0 <= overlap < most - SLACK:
         raise ValueError(f"an overlap of {overlap} doesn't fit into pieces of {most}")
@@ -92,7 +98,7 @@ def pieces(text: str, most: int, overlap: int, path: str, at: Places | None = No
     n = len(at.byte) - 1
     if n == 0:
         return []
-    ends = [n] if n <= most else [*cuts(at, 0, n, most - overlap - (SLACK if overlap else 0)), n]
+    ends = [n] if n <= most else [*cuts(at, 0, n, most - overlap - (SLACK if overlap else 0), overlap + 1), n]
     out, begin = [], 0
     for end in ends:
         start = begin
