@@ -166,6 +166,6 @@ def residue_cleaned(c: Column) -> tuple[Column, Column]:
     """``(paise, residue)`` of an amount whose decimals carry float noise of at most 0.000001 rupees; else both null."""
     exact = c.try_cast("decimal(38,12)")
     whole = F.round(exact * 100, 0)
-    delta = exact - whole / 100
-    near = F.abs(delta) <= 0.000001
-    return F.when(near, whole.try_cast("bigint")), F.when(near, delta.cast("double"))
+    beyond = exact * 100 - whole  # in paise: a quotient of decimals would lose digits
+    near = F.abs(beyond) <= 0.0001
+    return F.when(near, whole.try_cast("bigint")), F.when(near, beyond.cast("double") / 100)
