@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import data_quality, ledger
+from ledgerloom.plans import analysis, data_quality, front, ledger
 
-MODULES = [data_quality, ledger]
+MODULES = [data_quality, ledger, analysis, front]
 FLAGSHIP = "q_grouped_metrics"
 
 

@@ -316,13 +316,14 @@ def leave_one_out(df: DataFrame, key: str, group: str, value: str, least: int) -
     Ranks are joined with the three middle ranks of the group, so no group is gathered in an array.
     """
     w = Window.partitionBy(group)
-    r = df.withColumn("k", F.row_number().over(w.orderBy(value, key))).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") > least)
-    lo, hi = F.floor((F.col("n") - 2) / 2) + 1, F.floor((F.col("n") - 1) / 2) + 1
-    pick = lambda at: F.max(F.when(F.col("k") == at, F.col(value)))
-    middle = r.groupBy(group).agg(pick(lo).alias("l0"), pick(lo + 1).alias("l1"), pick(hi).alias("h0"), pick(hi + 1).alias("h1"))
-    a = F.when(F.col("k") <= lo, F.col("l1")).otherwise(F.col("l0"))
-    b = F.when(F.col("k") <= hi, F.col("h1")).otherwise(F.col("h0"))
-    return r.join(middle, group).select(key, (F.col("n") - 1).alias("peers"), ((a + b) / 2.0).alias("median_others"))
+    r = df.select(F.col(key).alias("__key"), F.col(group).alias("__g"), F.col(value).alias("__v"), F.row_number().over(w.orderBy(value, key)).alias("__k"), F.count(F.lit(1)).over(w).alias("__n"))
+    r = r.where(F.col("__n") > least)
+    lo, hi = F.floor((F.col("__n") - 2) / 2) + 1, F.floor((F.col("__n") - 1) / 2) + 1
+    pick = lambda at: F.max(F.when(F.col("__k") == at, F.col("__v")))
+    middle = r.groupBy("__g").agg(pick(lo).alias("l0"), pick(lo + 1).alias("l1"), pick(hi).alias("h0"), pick(hi + 1).alias("h1"))
+    a = F.when(F.col("__k") <= lo, F.col("l1")).otherwise(F.col("l0"))
+    b = F.when(F.col("__k") <= hi, F.col("h1")).otherwise(F.col("h0"))
+    return r.join(middle, "__g").select(F.col("__key").alias(key), (F.col("__n") - 1).alias("peers"), ((a + b) / 2.0).alias("median_others"))
 
 
 # --- Windows ---
