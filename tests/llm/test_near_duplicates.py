@@ -1,8 +1,5 @@
 import random
 
-import pytest
-
-from ledgerloom.llm.graph import components
 from ledgerloom.llm.near_duplicates import depth_table, least_similarity, near_duplicate_groups, near_duplicate_pairs, recall_at, shortened
 
 SCHEMA = "id string, text string, amount bigint, uid int, words string"
@@ -70,23 +67,3 @@ def test_prefix_is_shortened_until_the_target():
             if (s := least_similarity(a, b)) is not None:
                 meet = set(rows[a]) & set(rows[b])
                 assert any(recall_at(s, d, 28) >= 0.999 for d in meet), (a, b)
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
-    rng = random.Random(seed)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        if a is not None:
-            x, y = root(a), root(b)
-            parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
-    assert got == {x: root(x) for x in parent}
-    assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
