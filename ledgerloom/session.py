@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for a session; they may have no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._ledgerloom_sent = True
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`staged`."""
     jvm = spark.sparkContext._jvm
