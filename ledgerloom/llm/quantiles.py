@@ -25,6 +25,8 @@ from ledgerloom.functions.schemas import extended
 SECTION = 64
 #: Sections of a new compactor, and the least size of a section.
 SECTIONS, LEAST = 3, 4
+#: Batches of a partition that are merged at once, and the values a partition holds back at most.
+FAN_IN, MOST_HELD = 32, 1 << 20
 
 
 def relative_error(section: int = SECTION) -> float:
@@ -189,12 +191,29 @@ def merge_sketches(sketches: DataFrame, keys: list[str], section: int = SECTION)
 def sketch_values(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -> DataFrame:
     """Sketch rows ``(keys, n, high, vals, sizes, done)`` of ``value`` for each key; nulls and NaN are left out.
 
-    Each batch of each partition is sketched where it lies, so a key that holds most rows sends only sketches over
-    the network. A key without any usable value has no row.
+    A partition is sketched where it lies, its batches are merged as they come, so a key that holds most rows sends
+    only sketches over the network. A key without any usable value has no row.
     """
     schema = _schema_of(df, keys)
 
+    def merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return _merged_rows(keys, pa.Table.from_batches(parts).sort_by([(k, "ascending") for k in (*keys, "high")]), section)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for made in sketched(batches):
+            pending.append(made)
+            if len(pending) >= FAN_IN:
+                one = merged(pending)
+                if len(one.column("vals").values) > MOST_HELD:  # many keys with few values each: nothing to gain
+                    yield one
+                    pending = []
+                else:
+                    pending = [one]
+        if pending:
+            yield merged(pending)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
