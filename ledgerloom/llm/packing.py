@@ -22,8 +22,8 @@ from ledgerloom.llm.splitting import full_cuts
 from ledgerloom.llm.tokens import places, token_count, token_ids, vocabulary_path
 from ledgerloom.session import staged
 
-#: Tokens dealt to a shard on average; a shard leaves one container or two half empty.
-SHARD_TOKENS = 1 << 23
+#: Tokens and items dealt to a shard on average, at most; a shard leaves one container or two half empty.
+SHARD_TOKENS, SHARD_ITEMS = 1 << 23, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -137,11 +137,11 @@ def packed(items: DataFrame, key: str, limits: list[Limit], shard_tokens: int =
     """The items with ``container_id`` and ``slot``; containers are numbered within a limit.
 
     Shards are made by a hash of the item, so one source or key with most rows spreads evenly; their number follows
-    the tokens, so a shard's items stay bounded. An empty table gives no container. Repeated rows are placed each.
+    the tokens and the items, so a shard stays bounded. An empty table gives no container. Repeated rows are placed each.
     """
     items = staged(items, "items")
-    totals = {r["limit_id"]: r["t"] for r in items.groupBy("limit_id").agg(F.sum("tokens").alias("t")).collect()}
-    shards = {k: max(1, -(-t // shard_tokens)) for k, t in totals.items()}
+    totals = items.groupBy("limit_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    shards = {r["limit_id"]: max(1, -(-r["t"] // shard_tokens), -(-r["n"] // SHARD_ITEMS)) for r in totals}
     by_id = {x.limit_id: x for x in limits}
     count = F.lit(1)
     for k, n in shards.items():
