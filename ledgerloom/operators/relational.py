@@ -165,6 +165,18 @@ def profiled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).groupBy("field").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(given)).alias("missing"), F.count_distinct(given).alias("distinct_values"))
 
 
+def documented(df: DataFrame, name: str, value: Column, meaning: str, source: str = "") -> DataFrame:
+    """A computed column that carries its meaning and source in the schema."""
+    return df.withColumn(name, value).withMetadata(name, {"meaning": meaning, "source": source})
+
+
+def dictionary(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, field, type, meaning, source`` of all columns of some tables, from their schemas alone."""
+    rows = [(t, f.name, f.dataType.simpleString(), f.metadata.get("meaning"), f.metadata.get("source")) for t, df in sorted(tables.items()) for f in df.schema]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table string, field string, type string, meaning string, source string")
+
+
 def quarantined(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``(sound, rejected)``: rows with a null or blank required column are rejected, and say which."""
     empty = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(c)) for c in required]

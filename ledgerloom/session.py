@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -63,3 +63,9 @@ def test_conflicts_latest_and_concentration(spark):
     pay = spark.createDataFrame([("g", "a", 3), ("g", "b", 1), ("g", None, 9), ("h", "a", 0)], "g string, m string, x int")
     got = {r["g"]: (r["hhi"], r["top_share"]) for r in R.concentration(pay, ["g"], "m", "x").collect()}
     assert got == {"g": (0.625, 0.75), "h": (None, None)}
+
+
+def test_dictionary(spark):
+    df = R.documented(spark.range(1), "twice", F.col("id") * 2, "the id, doubled", "id")
+    got = {r["field"]: (r["type"], r["meaning"]) for r in R.dictionary({"t": df}).collect()}
+    assert got == {"id": ("bigint", None), "twice": ("bigint", "the id, doubled")}
