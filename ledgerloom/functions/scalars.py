@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 #: Words before a name that aren't part of it.
 HONORIFICS = ("shri", "sri", "shree", "smt", "shrimati", "dr", "prof", "adv", "honble")
 #: Words that tell little about a work.
-STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "near", "of", "on", "the", "to", "with")
+STOP_WORDS = tuple(
+    "a an the of for and at in to with from by near construction installation purchase providing work works supply development village gram panchayat ward no "
+    "number district block under proposed new existing".split()
+)
 #: Words that announce a further part of a work.
 PHASE_WORDS = ("phase", "continued", "continue", "continuation", "extension", "part", "repair", "renovation")
 

@@ -50,7 +50,7 @@ def budget_table(scored: DataFrame, key: str, score: str, truth: str, shares: li
     return taken.groupBy("seed", "budget").agg(F.count(F.lit(1)).alias("taken"), F.count_if(F.col(score) > 0).alias("positive"), F.count_if(found).alias("recovered"))
 
 
-def paired_bootstrap(contexts: DataFrame, context: str, a: str, b: str, rounds: int = 1000, seed: int = 26102) -> DataFrame:
+def paired_bootstrap(contexts: DataFrame, context: str, a: str, b: str, rounds: int = 1000, seed: int = 17) -> DataFrame:
     """``mean, low, high`` of b - a over contexts, resampled whole (percentiles 2.5 and 97.5).
 
     A context's weight in a round is a Poisson draw from a hash, so rounds are sums over all contexts at once, and no

@@ -82,7 +82,7 @@ class Forest:
         return np.power(2.0, -total / len(self.feature) / path_constant(self.n))
 
 
-def isolation_scores(df: DataFrame, key: str, features: Sequence[str], seed: int = 26102) -> DataFrame:
+def isolation_scores(df: DataFrame, key: str, features: Sequence[str], seed: int = 17) -> DataFrame:
     """``key, score`` of every row; nulls and NaN take the median. Trees come from a bounded, seeded pool of rows."""
     filled = imputed(df.select(key, *features), features)
     pool = filled.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.array(*features).alias("x")).orderBy("h").limit(POOL).collect()

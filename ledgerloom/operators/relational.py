@@ -72,6 +72,21 @@ def prior_sum_if_known(value: str, window) -> Column:
     return F.when(unknown == 0, F.coalesce(F.sum(value).over(window), F.lit(0)))
 
 
+def prior_by_day(df: DataFrame, key: str, day: str, value: str, from_days: int | None = None) -> DataFrame:
+    """``df`` with ``earlier``, ``earlier_known`` and ``earlier_if_known``: rows of the key on strictly earlier days, the
+    sum of their known values, and that sum unless one of them is unknown.
+
+    Days are summed up first and the window runs over them, so a key with very many rows costs its days only. Rows with
+    a null key or day get nulls.
+    """
+    daily = df.where(F.col(key).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(day).alias("__day"))
+    daily = daily.agg(F.count(F.lit(1)).alias("__n"), F.count(value).alias("__known"), F.sum(value).alias("__sum"))
+    w = prior_window("__key", "__day", from_days)
+    over = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    stats = daily.select("__key", "__day", over("__n").alias("earlier"), over("__sum").alias("earlier_known"), F.when(over("__n") == over("__known"), over("__sum")).alias("earlier_if_known"))
+    return df.join(stats, (F.col(key) == F.col("__key")) & (F.col(day) == F.col("__day")), "left").drop("__key", "__day")
+
+
 def percent_rank_avg(df: DataFrame, value: str, name: str) -> DataFrame:
     """Percentile rank with average ranks for ties, 0 to 100; null values get none.
 
@@ -129,8 +144,8 @@ def shares(df: DataFrame, group: Sequence[str], member: str, amount: str) -> Dat
     """Each member's total and its share of the group's total (null unless that is positive); null keys are left out."""
     kept = df.where(both([F.col(c).isNotNull() for c in (*group, member)]))
     totals = kept.groupBy(*group, member).agg(F.sum(amount).alias("total"))
-    whole = F.sum("total").over(Window.partitionBy(*group))
-    return totals.withColumn("share", F.when(whole > 0, F.col("total") / whole))
+    whole = totals.groupBy(*group).agg(F.sum("total").alias("__whole"))
+    return totals.join(whole, list(group)).withColumn("share", F.when(F.col("__whole") > 0, F.col("total") / F.col("__whole"))).drop("__whole")
 
 
 def concentration(df: DataFrame, group: Sequence[str], member: str, amount: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import PHASE_WORDS, numbers_of, words_of
+from ledgerloom.operators.relational import ranked
 from ledgerloom.session import staged
 
 #: An anchor looks back at so many earlier works that share it; of all these the latest CANDIDATES are compared.
@@ -37,7 +38,9 @@ def similar_pairs(works: DataFrame, key: str, block: list[str], text: str, amoun
     rare = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
     anchors = weighted.withColumn("r", rare).where(F.col("r") <= ANCHORS).select("id", "block", "word")
 
-    posted = anchors.withColumn("p", F.row_number().over(Window.partitionBy("block", "word").orderBy("id")))
+    # Numbers over all anchors: within a block and word they follow each other, and only differences matter. So a
+    # crowded block is spread over range partitions like any other rows.
+    posted = staged(ranked(anchors, [F.col("block"), F.col("word"), F.col("id")], "p"), "posted")
     # Positions in buckets of LOOK_BACK: a row meets its own bucket and the one before, an equi join.
     bucket = F.floor(F.col("p") / LOOK_BACK)
     late = posted.select("block", "word", F.col("id").alias("b"), F.col("p").alias("pb"), F.explode(F.array(bucket, bucket - 1)).alias("k"))
@@ -46,7 +49,7 @@ def similar_pairs(works: DataFrame, key: str, block: list[str], text: str, amoun
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.col("a").desc()))).where(F.col("r") <= CANDIDATES).select("a", "b")
 
     known = base.where("text <> '' and amount is not null").select("id", "block", "text", "amount")
-    exact = known.withColumn("p", F.row_number().over(Window.partitionBy("block", "text", "amount").orderBy("id")))
+    exact = staged(ranked(known, [F.col(c) for c in ("block", "text", "amount", "id")], "p"), "exact")
     others = [
         exact.select("block", "text", "amount", F.col("id").alias("a"), (F.col("p") + step).alias("p")).join(exact.select("block", "text", "amount", F.col("id").alias("b"), "p"), ["block", "text", "amount", "p"]).select("a", "b") for step in (1, 2, 3)
     ]

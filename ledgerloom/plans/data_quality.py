@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.delimited import loaded_allocations, loaded_payments, parsed_lines, rejected_rows
+from ledgerloom.operators.delimited import ALLOCATION_FIELDS, EXPENDITURE_FIELDS, loaded_allocations, loaded_payments, parsed_lines, rejected_rows
 from ledgerloom.operators.orphans import ledger_references, orphan_references, orphan_report
 from ledgerloom.sources.tables import table
 
@@ -107,7 +107,21 @@ SELECT 'expenditure', record_id, 'value' FROM expenditure WHERE NOT ({_OK_DATE.f
 UNION ALL
 SELECT 'allocated_limit', record_id, 'value' FROM allocated_limit WHERE {_GIVEN.format("allocated_amt")} AND NOT {_OK_AMOUNT.format("allocated_amt")}"""
 
+#: A sound line's fields: each with the comma before it, then without quotes. A comma is put before the line, so an empty
+#: first field is found like others.
+_CELLS = r"""list_transform(regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END)"""
+
+
+def _loaded(file: str, fields: list[str]) -> str:
+    cells = ", ".join(f"c[{i + 1}] AS {name}" for i, name in enumerate(fields))
+    return f"f AS (SELECT line_id, cohort, loaded_at, {cells} FROM (SELECT *, {_CELLS} AS c FROM export_lines WHERE NOT ({_BROKEN}) AND source_file = '{file}') WHERE len(c) = {len(fields)})"
+
+
+_PAISE = "CAST(round(CAST(" + _STRIP + " AS DOUBLE) * 100) AS BIGINT)"
+
 SQL: dict[str, str] = {
+    "p5_payments": f"WITH {_loaded('06_expenditure.csv', EXPENDITURE_FIELDS)} SELECT line_id, cohort, {', '.join(EXPENDITURE_FIELDS[:-2])}, CAST(try_strptime({_STRIP.format('expenditure_date')}, '%d-%b-%Y') AS DATE) AS expenditure_date, {_PAISE.format('fund_disbursed_amt')} AS fund_disbursed_paise, loaded_at FROM f WHERE {_OK_DATE.format('expenditure_date')} AND {_OK_AMOUNT.format('fund_disbursed_amt')}",
+    "p5_allocations": f"WITH {_loaded('01_allocated_limit.csv', ALLOCATION_FIELDS)} SELECT line_id, cohort, {', '.join(ALLOCATION_FIELDS[:-1])}, CASE WHEN {_OK_AMOUNT.format('allocated_amt')} THEN {_PAISE.format('allocated_amt')} END AS allocated_paise, loaded_at FROM f WHERE {_OK_AMOUNT.format('allocated_amt')} OR NOT ({_GIVEN.format('allocated_amt')})",
     "p2_found": f"SELECT child_table, child_field, record_id FROM ({_ORPHANS})",
     "p2_report": f"SELECT child_table, child_field, strftime(loaded_at, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT k) AS keys FROM ({_ORPHANS}) GROUP BY ALL",
     "p5_found": _REJECTED,

@@ -12,6 +12,7 @@ from ledgerloom.functions.values import amount_paise, present
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import works as W
 from ledgerloom.plans.sql import fy, given, paise, using
+from ledgerloom.session import staged
 from ledgerloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,11 +314,13 @@ def q_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leave_one_out(df: DataFrame, key: str, group: str, value: str, least: int) -> DataFrame:
     """``key, peers, median_others``: without a row, the median of its group is one of three neighbours' mean.
 
-    Ranks are joined with the three middle ranks of the group, so no group is gathered in an array.
+    Ranks come from range partitions over all groups and are joined with the three middle ranks of the group, so no
+    group is gathered in an array or sorted by one task.
     """
-    w = Window.partitionBy(group)
-    r = df.select(F.col(key).alias("__key"), F.col(group).alias("__g"), F.col(value).alias("__v"), F.row_number().over(w.orderBy(value, key)).alias("__k"), F.count(F.lit(1)).over(w).alias("__n"))
-    r = r.where(F.col("__n") > least)
+    known = df.select(F.col(key).alias("__key"), F.col(group).alias("__g"), F.col(value).alias("__v"))
+    r = staged(R.ranked(known, [F.col("__g"), F.col("__v"), F.col("__key")], "__rank"), "ranks")
+    span = r.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__rank").alias("__first")).where(F.col("__n") > least)
+    r = r.join(span, "__g").withColumn("__k", F.col("__rank") - F.col("__first") + 1)
     lo, hi = F.floor((F.col("__n") - 2) / 2) + 1, F.floor((F.col("__n") - 1) / 2) + 1
     pick = lambda at: F.max(F.when(F.col("__k") == at, F.col("__v")))
     middle = r.groupBy("__g").agg(pick(lo).alias("l0"), pick(lo + 1).alias("l1"), pick(hi).alias("h0"), pick(hi + 1).alias("h1"))
@@ -336,16 +339,15 @@ _DATED = " FROM san WHERE recommendation_date IS NOT NULL AND ida IS NOT NULL"
 @query(_DAYS + "count(*) OVER w AS earlier, CAST(coalesce(sum(sanction_paise) OVER w, 0) AS BIGINT) AS earlier_known, CASE WHEN count(*) OVER w = count(sanction_paise) OVER w THEN CAST(coalesce(sum(sanction_paise) OVER w, 0) AS BIGINT) END AS earlier_if_known" + _DATED + " WINDOW w AS (PARTITION BY ida ORDER BY recommendation_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)")
 def q_prior_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An authority's works of strictly earlier days, counted and summed."""
-    w = R.prior_window("ida", "recommendation_date")
     s = W.sanctioned(spark, sf_dir).where("recommendation_date is not null and ida is not null")
-    return s.select("work_key", F.count(F.lit(1)).over(w).alias("earlier"), F.coalesce(F.sum("sanction_paise").over(w), F.lit(0)).alias("earlier_known"), R.prior_sum_if_known("sanction_paise", w).alias("earlier_if_known"))
+    return R.prior_by_day(s, "ida", "recommendation_date", "sanction_paise").select("work_key", "earlier", "earlier_known", "earlier_if_known")
 
 
 @query(_DAYS + "count(*) OVER w AS in_90_days" + _DATED + " WINDOW w AS (PARTITION BY ida ORDER BY recommendation_date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)")
 def q_trailing_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An authority's works of the 90 days before."""
     s = W.sanctioned(spark, sf_dir).where("recommendation_date is not null and ida is not null")
-    return s.select("work_key", F.count(F.lit(1)).over(R.prior_window("ida", "recommendation_date", 90)).alias("in_90_days"))
+    return R.prior_by_day(s, "ida", "recommendation_date", "sanction_paise", 90).select("work_key", F.col("earlier").alias("in_90_days"))
 
 
 @query(using("san") + ", d AS (SELECT DISTINCT ida, recommendation_date AS d FROM san WHERE ida IS NOT NULL AND recommendation_date IS NOT NULL) SELECT ida, d, lag(d) OVER (PARTITION BY ida ORDER BY d) AS before, CAST(d - lag(d) OVER (PARTITION BY ida ORDER BY d) AS INTEGER) AS gap_days FROM d")

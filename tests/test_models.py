@@ -82,7 +82,7 @@ def test_forecast_uses_the_past_alone(spark):
 
 
 def test_crowded_block_keeps_an_exact_pair(spark):
-    rows = [(f"w{i:03}", "ida", "act", "construction of community hall near pond", 1000 + i) for i in range(1, 201)]
+    rows = [(f"w{i:03}", "ida", "act", "community hall beside pond with boundary", 1000 + i) for i in range(1, 201)]
     rows[199] = ("w200", "ida", "act", rows[0][3], 1001)
     got = {(r["a"], r["b"]): r for r in similar_pairs(spark.createDataFrame(rows, "k string, i string, t string, d string, x bigint"), "k", ["i", "t"], "d", "x").collect()}
     assert got["w001", "w200"]["high"] and got["w001", "w200"]["similarity"] == 1.0

@@ -26,6 +26,9 @@ def test_strictly_prior_windows(spark):
     w, near = R.prior_window("k", "d"), R.prior_window("k", "d", 90)
     got = rows.select("d", "x", F.count(F.lit(1)).over(w).alias("n"), R.prior_sum_if_known("x", w).alias("s"), F.count(F.lit(1)).over(near).alias("m")).orderBy("d", "x").collect()
     assert sorted((r["n"], r["s"], r["m"]) for r in got) == [(0, 0, 0), (0, 0, 0), (2, 30, 2), (3, 60, 0), (3, 60, 0)]
+    by_day = R.prior_by_day(rows, "k", "d", "x").collect()
+    assert sorted((r["earlier"], r["earlier_known"], r["earlier_if_known"]) for r in by_day) == [(0, 0, 0), (0, 0, 0), (2, 30, 30), (3, 60, 60), (3, 60, 60)]
+    assert sorted(r["earlier"] for r in R.prior_by_day(rows, "k", "d", "x", 90).collect()) == [0, 0, 0, 0, 2]
     unknown = rows.withColumn("x", F.when(F.col("x") != 10, F.col("x"))).select("d", R.prior_sum_if_known("x", w).alias("s")).where("d > '2024-01-01'").collect()
     assert {r["s"] for r in unknown} == {None}
 
