@@ -129,6 +129,34 @@ def _units(rows: DataFrame, key: str, text: str, amount: str) -> DataFrame:
     )
 
 
+#: Rows of a cell that one task compares with all rows of the cell; a fuller cell is divided among tasks.
+CELL = 2000
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(a, b)`` of the rows that share a cell and may be cases by amounts and masks, perhaps more than once.
+
+    The left rows of a full cell are dealt to as many parts as it takes, and the right rows copied to each part; all
+    pairs are still compared.
+    """
+    less = lambda p, q: sum((F.bit_count(F.col(f"m{i}{p}").bitwiseAND(F.bitwise_not(F.col(f"m{i}{q}")))) for i in (0, 1)), F.lit(0))
+    shared = F.least(F.col("n_a") - less("_a", ""), F.col("n") - less("", "_a"))
+    met = (
+        (F.col("uid_a") != F.col("uid"))
+        & (~F.col("same") | (F.col("uid_a") < F.col("uid")))
+        & (CLOSE * F.abs(F.col("amount_a") - F.col("amount")) <= F.greatest("amount_a", "amount"))
+        & (shared * DEN >= NUM * (F.col("n_a") + F.col("n") - shared))
+    )
+    pair = [F.least("uid_a", "uid").alias("a"), F.greatest("uid_a", "uid").alias("b")]
+    full = staged(left.groupBy("home").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CELL).select("home", F.ceil(F.col("rows") / CELL).cast("int").alias("parts")), "full")
+    if not full.limit(1).count():
+        return left.join(right, "home").where(met).select(*pair)
+    rest = left.join(full, "home", "left_anti").join(right.join(full, "home", "left_anti"), "home").where(met).select(*pair)
+    dealt = left.join(full, "home").withColumn("part", F.pmod(F.xxhash64("uid_a"), F.col("parts")).cast("int")).drop("parts")
+    copied = right.join(full, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return rest.unionByName(dealt.join(copied, ["home", "part"]).where(met).select(*pair))
+
+
 def linked_units(rows: DataFrame, key: str, text: str, amount: str, trees: int = 28, target: float = 0.999, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``members(key, uid)`` puts each row into its unit, ``links(a, b)`` are unit pairs.
 
@@ -147,21 +175,14 @@ def linked_units(rows: DataFrame, key: str, text: str, amount: str, trees: int =
 
     step = math.log(CLOSE / (CLOSE - 1)) * (1 + 1e-9)
     band = F.when(F.col("amount") > 0, F.floor(F.log("amount") / step)).otherwise(F.lit(-9)).cast("int")
-    grown = _forest(units.withColumn("words", words), trees, target, seed)
+    # A cell is a prefix of a tree within a band of the amount; a row also looks into the same prefix one band below.
     facts = ("uid", "amount", "n", "m0", "m1")
-    left = grown.select(F.xxhash64("cell", band).alias("home"), *[F.col(c).alias(f"{c}_a") for c in facts])
-    homes = F.array(F.struct(F.xxhash64("cell", band).alias("home"), F.lit(True).alias("same")), F.struct(F.xxhash64("cell", band - 1).alias("home"), F.lit(False).alias("same")))
+    grown = _forest(units.withColumn("words", words), trees, target, seed)
+    grown = staged(grown.select(F.xxhash64("cell", band).alias("home"), F.xxhash64("cell", band - 1).alias("below"), *facts), "forest")
+    left = grown.select("home", *[F.col(c).alias(f"{c}_a") for c in facts])
+    homes = F.array(F.struct(F.col("home"), F.lit(True).alias("same")), F.struct(F.col("below").alias("home"), F.lit(False).alias("same")))
     right = grown.select(F.inline(homes), *facts)
-
-    less = lambda p, q: sum((F.bit_count(F.col(f"m{i}{p}").bitwiseAND(F.bitwise_not(F.col(f"m{i}{q}")))) for i in (0, 1)), F.lit(0))
-    shared = F.least(F.col("n_a") - less("_a", ""), F.col("n") - less("", "_a"))
-    met = (
-        (F.col("uid_a") != F.col("uid"))
-        & (~F.col("same") | (F.col("uid_a") < F.col("uid")))
-        & (CLOSE * F.abs(F.col("amount_a") - F.col("amount")) <= F.greatest("amount_a", "amount"))
-        & (shared * DEN >= NUM * (F.col("n_a") + F.col("n") - shared))
-    )
-    found = left.join(right, "home").where(met).select(F.least("uid_a", "uid").alias("a"), F.greatest("uid_a", "uid").alias("b")).distinct()
+    found = _met(left, right).distinct()
     one = units.select(F.col("uid").alias("a"), F.split("spelled", " ").alias("words_a"))
     two = units.select(F.col("uid").alias("b"), F.split("spelled", " ").alias("words_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))

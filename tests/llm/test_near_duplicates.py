@@ -1,5 +1,6 @@
 import random
 
+from ledgerloom.llm import near_duplicates
 from ledgerloom.llm.near_duplicates import depth_table, least_similarity, near_duplicate_groups, near_duplicate_pairs, recall_at, shortened
 
 SCHEMA = "id string, text string, amount bigint, uid int, words string"
@@ -45,6 +46,15 @@ def test_odd_rows(spark):
     assert pairs(spark, []) == set()
 
 
+def test_full_cells_are_divided_without_loss(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(14)]
+    rows = [(f"k{i:03}", " ".join([*common, *[f"r{rng.randrange(8)}" for _ in range(4)]]), 1000 + i % 7) for i in range(150)]
+    whole = pairs(spark, rows)
+    monkeypatch.setattr(near_duplicates, "CELL", 20)
+    assert pairs(spark, rows) == whole == brute(rows)
+
+
 def test_hot_text(spark):
     rows = [(f"k{i:04}", "the same words again and again here", 1000 + 10_000 * i) for i in range(400)] + [("z1", "quite another text of words", 5), ("z2", "quite another text of words", 5)]
     assert pairs(spark, rows) == brute(rows)
