@@ -27,6 +27,10 @@ NUM, DEN = 7, 10
 CLOSE = 50
 
 
+#: What a unit takes along into the forest.
+FACTS = ("uid", "amount", "n", "m0", "m1", "same_text")
+
+
 def recall_at(similarity: float, depth: int, trees: int) -> float:
     """The probability that two sets of that similarity meet to that depth in at least one tree."""
     return 1 - (1 - similarity**depth) ** trees
@@ -76,7 +80,7 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, trees: int, depth: int, s
 
 
 def _forest(units: DataFrame, trees: int, target: float, seed: int) -> DataFrame:
-    """``cell, depth_of, uid, amount, n, m0, m1``: a row for each tree and depth at which a unit is looked for."""
+    """``cell, depth, first`` and the unit's facts: a row for each tree and depth at which a unit is looked for."""
     rows = depth_table(trees, target)
     deepest = max(max(r) for r in rows[1:])
 
@@ -90,7 +94,7 @@ def _forest(units: DataFrame, trees: int, target: float, seed: int) -> DataFrame
             sizes = np.diff(offsets)
             made = signatures(hashes, (offsets[:-1] - offsets[0]).astype(np.int64), trees, deepest, seed)
             row = np.minimum(sizes, len(rows) - 1)
-            cells, who, depths = [], [], []
+            cells, who, depths, trees_of = [], [], [], []
             prefix = np.broadcast_to(_mixed(np.arange(trees, dtype=np.uint64))[None, :], made.shape[:2]).copy()
             for d in range(1, deepest + 1):
                 prefix = _mixed(prefix * np.uint64(0x9E3779B97F4A7C15) + made[:, :, d - 1])
@@ -99,14 +103,15 @@ def _forest(units: DataFrame, trees: int, target: float, seed: int) -> DataFrame
                     cells.append(prefix[here].reshape(-1))
                     who.append(np.repeat(here, trees))
                     depths.append(np.full(len(here) * trees, d, dtype=np.int8))
+                    trees_of.append(np.tile(np.arange(trees), len(here)))
             at = pa.array(np.concatenate(who))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(depths)), *[batch.column(c).take(at) for c in (0, 2, 3, 4, 5)]],
-                ["cell", "depth", "uid", "amount", "n", "m0", "m1"],
+                [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(depths)), pa.array(np.concatenate(trees_of) == 0), *[batch.column(c).take(at) for c in (0, 2, 3, 4, 5, 6)]],
+                ["cell", "depth", "first", *FACTS],
             )
 
-    schema = "cell bigint, depth tinyint, uid bigint, amount bigint, n int, m0 bigint, m1 bigint"
-    return units.select("uid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "amount", "n", "m0", "m1").mapInArrow(run, schema)
+    schema = "cell bigint, depth tinyint, first boolean, uid bigint, amount bigint, n int, m0 bigint, m1 bigint, same_text bigint"
+    return units.select(FACTS[0], F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), *FACTS[1:]).mapInArrow(run, schema)
 
 
 def _mask(words: Column, half: int) -> Column:
@@ -143,6 +148,7 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     shared = F.least(F.col("n_a") - less("_a", ""), F.col("n") - less("", "_a"))
     met = (
         (F.col("uid_a") != F.col("uid"))
+        & (F.col("first") | (F.col("same_text_a") != F.col("same_text")))  # equal texts meet in every tree: one is enough
         & (~F.col("same") | (F.col("uid_a") < F.col("uid")))
         & (CLOSE * F.abs(F.col("amount_a") - F.col("amount")) <= F.greatest("amount_a", "amount"))
         & (shared * DEN >= NUM * (F.col("n_a") + F.col("n") - shared))
@@ -168,7 +174,7 @@ def linked_units(rows: DataFrame, key: str, text: str, amount: str, trees: int =
     units = base.groupBy("spelled", "amount").agg(F.count(F.lit(1)).alias("copies"))
     words = F.split("spelled", " ")
     units = staged(
-        units.select(F.monotonically_increasing_id().alias("uid"), "spelled", "amount", F.size(words).cast("int").alias("n"), _mask(words, 0).alias("m0"), _mask(words, 1).alias("m1")),
+        units.select(F.monotonically_increasing_id().alias("uid"), "spelled", "amount", F.size(words).cast("int").alias("n"), _mask(words, 0).alias("m0"), _mask(words, 1).alias("m1"), F.xxhash64("spelled").alias("same_text")),
         "units",
     )
     members = base.select("key", "spelled", "amount").join(units.select("uid", "spelled", "amount"), ["spelled", "amount"]).select("key", "uid")
@@ -176,12 +182,11 @@ def linked_units(rows: DataFrame, key: str, text: str, amount: str, trees: int =
     step = math.log(CLOSE / (CLOSE - 1)) * (1 + 1e-9)
     band = F.when(F.col("amount") > 0, F.floor(F.log("amount") / step)).otherwise(F.lit(-9)).cast("int")
     # A cell is a prefix of a tree within a band of the amount; a row also looks into the same prefix one band below.
-    facts = ("uid", "amount", "n", "m0", "m1")
     grown = _forest(units.withColumn("words", words), trees, target, seed)
-    grown = staged(grown.select(F.xxhash64("cell", band).alias("home"), F.xxhash64("cell", band - 1).alias("below"), *facts), "forest")
-    left = grown.select("home", *[F.col(c).alias(f"{c}_a") for c in facts])
+    grown = staged(grown.select(F.xxhash64("cell", band).alias("home"), F.xxhash64("cell", band - 1).alias("below"), "first", *FACTS), "forest")
+    left = grown.select("home", "first", *[F.col(c).alias(f"{c}_a") for c in FACTS])
     homes = F.array(F.struct(F.col("home"), F.lit(True).alias("same")), F.struct(F.col("below").alias("home"), F.lit(False).alias("same")))
-    right = grown.select(F.inline(homes), *facts)
+    right = grown.select(F.inline(homes), *FACTS)
     found = _met(left, right).distinct()
     one = units.select(F.col("uid").alias("a"), F.split("spelled", " ").alias("words_a"))
     two = units.select(F.col("uid").alias("b"), F.split("spelled", " ").alias("words_b"))
