@@ -159,6 +159,16 @@ def packed(items: DataFrame, key: str, limits: list[Limit], shard_tokens: int =
     return dealt.groupBy("limit_id", "shard").applyInPandas(run, schema)
 
 
+def with_text(contents: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """Contents with the column ``text``: the part of the text that lies in the slot.
+
+    Texts travel once for this join, not through the packing. Keys must be unique in ``df``, a key it lacks gives null.
+    """
+    texts = df.select(F.col(key), F.col(text).alias("__text"))
+    part = F.substring(F.col("__text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return contents.join(texts, key, "left").withColumn("text", part).drop("__text")
+
+
 def fill_report(contents: DataFrame, limits: list[Limit]) -> DataFrame:
     """For each limit: containers, items, tokens, the share of the room that is used, and the most in one container."""
     size = F.lit(None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.mixing import mixture
 from ledgerloom.llm.names import link_names, person_pairs
 from ledgerloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
-from ledgerloom.llm.packing import Limit, fill_report, packed, text_items
+from ledgerloom.llm.packing import Limit, fill_report, packed, text_items, with_text
 from ledgerloom.llm.quantiles import daily_sketches, from_days, merge_sketches, read_quantiles, sketch_values
 from ledgerloom.llm.splitting import split_texts
 from ledgerloom.sources.tables import table
@@ -82,6 +82,11 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _containers(spark, sf_dir)[0]
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of containers with their texts."""
+    return with_text(_containers(spark, sf_dir)[0], table(spark, sf_dir, "documents"), "doc_id", "text").select("limit_id", "container_id", "slot", "doc_id", "piece_no", "text")
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
     return fill_report(*_containers(spark, sf_dir))
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": p4_groups,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_texts": p6_texts,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
     "p7_shares_of_20m": p7_shares_of_20m,

@@ -110,6 +110,8 @@ def test_containers(spark):
         whole = tokens.token_count(rows[doc], PATH)
         assert sum(p[2] for p in parts) == whole and (len(parts) == 1 or whole > limits[limit - 1].max_tokens or limit == 2)
     assert len(cover) == 2 * sum(bool(t) for t in rows)
+    shown = packing.with_text(got, docs(spark, rows).select("doc_id", "text"), "doc_id", "text").collect()
+    assert all(r["text"] == rows[r["doc_id"]][r["char_start"] : r["char_end"]] for r in shown)
     report = {r["limit_id"]: r for r in packing.fill_report(got, limits).collect()}
     assert report[1]["used_share"] > 0.9 and report[1]["most_tokens"] <= 512
     assert packing.packed(packing.text_items(docs(spark, []), "doc_id", "text", limits), "doc_id", limits).count() == 0
