@@ -68,6 +68,11 @@ def mixture_size(sources: list[Source]) -> int:
     return min((int(s.tokens * s.max_repeats * whole / s.target) for s in have), default=0)
 
 
+def all_tokens(sources: list[Source]) -> int:
+    """The tokens of all sources that may give some, each text once."""
+    return sum(s.tokens for s in sources if s.usable)
+
+
 def quotas(sources: list[Source], total: int) -> dict[str, int]:
     """Tokens each source gives: its part of ``total`` among the sources with texts, at most all its repeats."""
     have = [s for s in sources if s.usable]
@@ -123,7 +128,7 @@ def mixture(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    total_tokens: int | None = None,
+    total_tokens: int | str | None = None,
     path: str | None = None,
     seed: int = 23,
 ) -> tuple[DataFrame, DataFrame]:
@@ -133,8 +138,9 @@ def mixture(
     ``shares``: for each source with a target what it has, its ``goal_share`` (its target among sources with texts),
     its tokens in the mixture and the ``reached_share``.
 
-    ``total_tokens`` is the size wanted. Without it the mixture is the largest in which every source with texts
-    reaches its share. With it, sources too small give all their repeats and fall short, which the report shows.
+    ``total_tokens`` is the size wanted, ``"all"`` as many tokens as all sources with targets have. Sources too small
+    for it give all their repeats and fall short, which the report shows. Without it the mixture is the largest in
+    which every source with texts reaches its share, so the smallest source bounds it.
     Texts are whole, so a source may miss its quota by a few tokens, or more if it has few and long texts. Sources
     without a target are left out; targets without texts get nothing. Null names and shares count as no target.
     """
@@ -146,11 +152,11 @@ def mixture(
     texts = staged(distinct_texts(documents, list(wanted), key, text, source, path), "texts")
     have = {r["source"]: (int(r["t"]), int(r["n"])) for r in texts.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     sources = [Source(n, s, m, *have.get(n, (0, 0))) for n, (s, m) in sorted(wanted.items())]
-    total = mixture_size(sources) if total_tokens is None else total_tokens
+    total = mixture_size(sources) if total_tokens is None else all_tokens(sources) if total_tokens == "all" else total_tokens
     quota = quotas(sources, total)
 
     # Blocks of each source, and what they hold.
-    everything = sum(s.tokens for s in sources if s.usable)
+    everything = all_tokens(sources)
     block_tokens = max(BLOCK_TOKENS, -(-everything // MOST_BLOCKS))
     blocks = {s.name: max(1, -(-s.tokens // block_tokens)) for s in sources if s.usable}
     number = F.lit(1)
@@ -211,7 +217,7 @@ def mixture(
         "source string, target_share double, max_repeats int, texts bigint, source_tokens bigint, goal_share double",
     )
     used = rows.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.max("copy_no").alias("last_copy"))
-    all_tokens = F.sum(F.coalesce("mixed_tokens", F.lit(0))).over(Window.partitionBy())
+    mixed = F.sum(F.coalesce("mixed_tokens", F.lit(0))).over(Window.partitionBy())
     shares = about.join(F.broadcast(used), "source", "left")
-    shares = shares.withColumn("reached_share", F.round(F.coalesce(F.col("mixed_tokens") / F.nullif(all_tokens, F.lit(0)), F.lit(0.0)), 6))
+    shares = shares.withColumn("reached_share", F.round(F.coalesce(F.col("mixed_tokens") / F.nullif(mixed, F.lit(0)), F.lit(0.0)), 6))
     return rows, shares.select("source", "target_share", F.round("goal_share", 6).alias("goal_share"), "max_repeats", "texts", "source_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), (F.coalesce("last_copy", F.lit(-1)) + 1).alias("copies"), "reached_share")

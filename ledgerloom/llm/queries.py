@@ -93,12 +93,22 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest mixture in which every source that has texts reaches its target share."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+    """A mixture as large as all sources with targets; those too small for their share give all their repeats."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total_tokens="all")[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that this mixture reaches."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total_tokens="all")[1]
+
+
+def p7_exact_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture in which every source that has texts reaches its target share; its smallest source bounds it."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the exact mixture reaches."""
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
 
@@ -124,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_texts": p6_texts,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_exact_mixture": p7_exact_mixture,
+    "p7_exact_shares": p7_exact_shares,
     "p7_shares_of_20m": p7_shares_of_20m,
     "p8_pieces": p8_pieces,
 }

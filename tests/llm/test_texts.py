@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, packing, splitting, tokens
 
@@ -167,6 +168,22 @@ def test_mixture(spark, total):
         assert shares["small"]["mixed_tokens"] == 3 * shares["small"]["source_tokens"]
 
 
+def test_a_tiny_source_does_not_bound_the_mixture(spark, monkeypatch):
+    from ledgerloom.llm import queries
+
+    documents, targets, rows = mixed_tables(spark)
+    small = [i for i, t, s, _ in rows if s == "small" and t]
+    tiny = documents.where(~F.col("doc_id").isin(small[1:]))
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 4096)
+    monkeypatch.setattr(queries, "table", lambda s, d, name: {"documents": tiny, "source_targets": targets}[name])
+    got = queries.p7_mixture(spark, "").groupBy("shard").count().count()
+    shares = {r["source"]: r for r in queries.p7_shares(spark, "").collect()}
+    everything = sum(r["source_tokens"] for r in shares.values())
+    exact = sum(r["mixed_tokens"] for r in queries.p7_exact_shares(spark, "").collect())
+    assert shares["small"]["mixed_tokens"] == 3 * shares["small"]["source_tokens"] and shares["small"]["reached_share"] < shares["small"]["goal_share"]
+    assert sum(r["mixed_tokens"] for r in shares.values()) > 0.7 * everything > 10 * exact and got > 1
+
+
 def test_mixture_of_nothing(spark):
     documents, targets, _ = mixed_tables(spark)
     assert mixing.mixture(documents.limit(0), targets)[0].count() == 0
