@@ -326,7 +326,7 @@ def canonical(name: str) -> str:
     return " ".join(sorted([*tokens, *initials, *common])) + ("".join(f" @{o}" for o in sorted(other)))
 
 
-#: Spellings in a block beyond which its members must also share the first letter of another word.
+#: Rows of either side of a block that one task pairs; a fuller block is divided among tasks, and all its pairs still meet.
 HOT = 2000
 
 
@@ -344,61 +344,72 @@ def _spellings(profiles: DataFrame, agree: list[str]) -> DataFrame:
 
 
 def _keyed(nodes: DataFrame, agree: list[str]) -> DataFrame:
-    """A row for each code of each token: ``key``, whether it holds ``anywhere``, first ``letters`` of other words."""
-    schema = extended(nodes.select("node", "name", *agree).schema, "key string, letters array<string>, seeks boolean, anywhere boolean")
+    """A row for each code of each token that another node also has: ``key``, whether it is a code and no row of
+    initials (``plain``), whether it holds ``anywhere``, and how many rows and ``seekers`` the block has."""
+    schema = extended(nodes.select("node", "name", *agree).schema, "key string, plain boolean, seeks boolean, anywhere boolean")
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, letters, seeks, anywhere = [], [], [], [], []
+            rows, keys, plain, seeks, anywhere = [], [], [], [], []
             first = batch.column(agree[0]).to_pylist()
             for i, name in enumerate(batch.column("name").to_pylist()):
-                tokens, initials, common, other = parsed(name)
+                tokens, initials, common, _ = parsed(name)
                 lost, bare = first[i] is None, not tokens
-                found: dict[str, set[str]] = {}
-                for t in tokens:
-                    rest = {folded(w)[0] for w in (*tokens, *initials, *common, *other) if w != t}
-                    for c in codes(t):
-                        found.setdefault(c, set()).update(rest or {"-"})
-                for a, b in itertools.pairwise(tokens):  # a name that was torn apart
-                    for c in codes(a + b):
-                        found.setdefault(c, set()).add("-")
-                found["#" + "".join(sorted(w[0] for w in (*tokens, *initials, *common)))] = {"-"}
-                for c, rest in found.items():
+                found = {c for t in tokens for c in codes(t)}
+                found.update(c for a, b in itertools.pairwise(tokens) for c in codes(a + b))  # a name that was torn apart
+                found.add("#" + "".join(sorted(w[0] for w in (*tokens, *initials, *common))))
+                for c in sorted(found):
                     for where in (False, True):
                         if where or not lost:
                             rows.append(i)
                             keys.append(c if where else f"{first[i]}|{c}")
-                            letters.append(sorted(rest))
+                            plain.append(c[0] != "#")
                             seeks.append(lost if c[0] != "#" else bare)
                             anywhere.append(where)
             at = pa.array(rows, pa.int64())
-            added = [pa.array(keys, pa.string()), pa.array(letters, pa.list_(pa.string())), pa.array(seeks, pa.bool_()), pa.array(anywhere, pa.bool_())]
+            added = [pa.array(keys, pa.string()), *[pa.array(x, pa.bool_()) for x in (plain, seeks, anywhere)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("node", "name", *agree)], *added], names)
 
     # A row makes many: rows are spread by number, as their few bytes would put them into one task.
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("node", "name", *agree).repartition(spread).mapInArrow(run, schema)
-    crowd = keyed.groupBy("anywhere", "key").agg(F.count(F.lit(1)).alias("crowd"))
-    keyed = keyed.join(crowd, ["anywhere", "key"])
-    narrow = F.when(F.col("crowd") > HOT, F.transform("letters", lambda x: F.concat_ws("|", F.col("key"), x))).otherwise(F.array("key"))
-    return keyed.select("node", "name", *agree, "seeks", "anywhere", F.explode(narrow).alias("key"))
+    crowd = keyed.groupBy("anywhere", "plain", "key").agg(F.count(F.lit(1)).alias("crowd"), F.count_if("seeks").alias("seekers"))
+    # Codes within a place pair all rows; elsewhere only rows that seek meet the others.
+    crowd = crowd.where("crowd > 1 and (seekers > 0 or (plain and not anywhere))")
+    return keyed.join(crowd, ["anywhere", "plain", "key"])
+
+
+def _met(left: DataFrame, right: DataFrame, lefts: str, agree: list[str]) -> DataFrame:
+    """The rows of both sides that share a key, as columns ``a_...`` and ``b_...``.
+
+    A block with more than HOT rows on a side (``lefts`` counts the left ones, ``crowd`` the right ones) is cut into
+    parts on either side; each part of one side meets each part of the other under a key of its own.
+    """
+    parts = {"a": F.ceil(F.col(lefts) / HOT), "b": F.ceil(F.col("crowd") / HOT)}
+
+    def side(df: DataFrame, mine: str, theirs: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), parts[mine])
+        ends = lambda other: (own, other) if mine == "a" else (other, own)
+        cells = F.transform(F.sequence(F.lit(0).cast("bigint"), parts[theirs] - 1), lambda other: F.concat_ws("|", F.col("key"), *[x.cast("string") for x in ends(other)]))
+        keys = F.when((parts["a"] > 1) | (parts["b"] > 1), cells).otherwise(F.array("key"))
+        return df.select(F.explode(keys).alias("key"), *[F.col(c).alias(f"{mine}_{c}") for c in ("node", "name", *agree)])
+
+    return side(left, "a", "b").join(side(right, "b", "a"), "key")
 
 
 def _compared_pairs(nodes: DataFrame, agree: list[str]) -> DataFrame:
     """``a, b, kind, points``: the pairs of nodes that may be one person."""
     keyed = staged(_keyed(nodes, agree), "keys")
-    one = lambda df: df.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "name", "seeks", *agree)])
-    two = lambda df: df.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "name", "seeks", *agree)])
     fits = F.lit(True)
     for c in agree:
         fits &= F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull() | (F.col(f"a_{c}") == F.col(f"b_{c}"))
     # Within a block of one place all meet, but pairs of spellings that are only known by their initials meet the rest.
-    here, plain = keyed.where(~F.col("anywhere")), ~F.col("key").contains("#")
-    near = one(here.where(plain)).join(two(here.where(plain)), "key").where("a_node < b_node")
-    bare = one(here.where("seeks")).join(two(here), "key").where("a_node <> b_node")
-    far = keyed.where("anywhere")
-    lost = one(far.where("seeks").where(plain)).join(two(far), "key").where("a_node <> b_node")
+    here, plain = keyed.where(~F.col("anywhere")), F.col("plain")
+    near = _met(here.where(plain), here.where(plain), "crowd", agree).where("a_node < b_node")
+    bare = _met(here.where("seeks"), here, "seekers", agree).where("a_node <> b_node")
+    far = keyed.where("anywhere").where(plain)
+    lost = _met(far.where("seeks"), far, "seekers", agree).where("a_node <> b_node")
     columns = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
     columns += [F.when(F.col("a_node") < F.col("b_node"), F.col(f"{x}_name")).otherwise(F.col(f"{y}_name")).alias(f"name_{x}") for x, y in (("a", "b"), ("b", "a"))]
     columns += [(F.col(f"a_{agree[0]}").isNull() | F.col(f"b_{agree[0]}").isNull()).alias("lost")]

@@ -54,3 +54,15 @@ def test_empty_and_hot(spark):
     assert linked(spark, []) == set()
     rows = [(i, f"Shri Nadejan Nukhananti{'.' * (i % 3)}", "north", "x") for i in range(60)] + [(100, "Zodhukar Mehta", "north", "x")]
     assert len(linked(spark, rows)) == 60 * 59 // 2
+
+
+def test_full_blocks_compare_all_pairs(spark, monkeypatch):
+    from ledgerloom.llm import names
+
+    given = ["Litrumbra", "Tobhakir", "Sanomet", "Pelavuti", "Zidokam", "Chorimel", "Wumbhati"]
+    rows = [(i, f"{g} Ghusevik", "north", f"s{i}") for i, g in enumerate(given)]
+    rows += [(20, "Kukka Ghusevik", "north", "s0"), (21, "Rahaleen Ghusevik", "south", "s21"), (22, "Leen Ghusevik", None, "s21"), (23, "Pobhakir Ghusevic", "north", "s1")]
+    monkeypatch.setattr(names, "HOT", 1)
+    assert linked(spark, rows) == {(0, 20), (21, 22), (1, 23)}
+    monkeypatch.setattr(names, "HOT", 3)
+    assert linked(spark, rows) == {(0, 20), (21, 22), (1, 23)}
