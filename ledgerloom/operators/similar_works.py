@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import PHASE_WORDS, numbers_of, words_of
@@ -73,3 +73,98 @@ def similar_pairs(works: DataFrame, key: str, block: list[str], text: str, amoun
     scored = scored.withColumn("high", (F.col("similarity") >= HIGH) & same_amount & sound)
     order = Window.partitionBy("b").orderBy(F.col("high").desc(), F.col("similarity").desc(), F.col("same_amount").desc(), F.col("a"))
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= KEPT).select("a", "b", F.round("similarity", 6).alias("similarity"), "same_amount", "high")
+
+
+def _facts(works: DataFrame, key: str, block: list[str], text: str, amount: str) -> tuple[DataFrame, DataFrame]:
+    """``(members, classes)``: rows with words or another text are members of the class of their block and text.
+
+    ``members``: ``id, amount, class``, the class being its smallest id. ``classes``: ``class, block, text, words,
+    weights, whole`` and ``prefix``, the words of which one at least is shared with any class similar by LEAST: in the
+    order of their frequency those whose weight with all after them is LEAST of the whole or more.
+    """
+    base = works.select(F.col(key).alias("id"), F.concat_ws("|", *block).alias("block"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(amount).alias("amount"))
+    base = staged(base, "texts")
+    total, counts = base.count(), word_counts(base, "text").withColumnRenamed("works", "df")
+    classes = base.where("text <> ''").groupBy("block", "text").agg(F.min("id").alias("class"))
+    classes = staged(classes.withColumn("words", F.array_sort(words_of(F.col("text")))), "classes")
+    each = classes.select("class", F.explode("words").alias("word")).join(counts, "word")
+    each = each.select("class", F.struct("df", "word", F.log1p(F.lit(float(total)) / (1 + F.col("df"))).alias("w")).alias("x"))
+    rare = each.groupBy("class").agg(F.array_sort(F.collect_list("x")).alias("rare"))
+    sums = rare.withColumn("whole", F.aggregate("rare", F.lit(0.0), lambda s, x: s + x["w"]))
+    # Running sums before each word; a word is of the prefix while the rest from it on suffices.
+    seen = F.aggregate(
+        "rare",
+        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<string>").alias("p")),
+        lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(F.col("whole") - a["s"] >= LEAST * F.col("whole") - 1e-6, F.concat(a["p"], F.array(x["word"]))).otherwise(a["p"]).alias("p")),
+    )
+    sums = sums.select("class", "whole", seen["p"].alias("prefix"), F.map_from_entries(F.transform("rare", lambda x: F.struct(x["word"], x["w"]))).alias("weights"))
+    members = base.join(classes.select("block", "text", "class"), ["block", "text"]).select("id", "amount", "class")
+    return staged(members, "members"), staged(classes.join(sums, "class", "left"), "weighted")
+
+
+def _links(classes: DataFrame) -> DataFrame:
+    """``class_a, class_b, similarity, sound`` of every two classes of one block similar by LEAST, a before b."""
+    post = classes.select("class", "block", "whole", F.explode("prefix").alias("word"))
+    side = lambda c: post.select("block", "word", F.col("class").alias(f"class_{c}"), F.col("whole").alias(f"whole_{c}"))
+    near = F.least("whole_a", "whole_b") >= LEAST * F.greatest("whole_a", "whole_b") - 1e-6
+    found = side("a").join(side("b"), ["block", "word"]).where((F.col("class_a") < F.col("class_b")) & near).select("class_a", "class_b").distinct()
+    facts = lambda c: classes.select(F.col("class").alias(f"class_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("text", "words", "weights")])
+    both = found.join(facts("a"), "class_a").join(facts("b"), "class_b")
+    weight = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at("weights_a", w), F.element_at("weights_b", w)))
+    shared, whole = weight(F.array_sort(F.array_intersect("words_a", "words_b"))), weight(F.array_sort(F.array_union("words_a", "words_b")))
+    both = both.withColumn("similarity", shared / whole).where(F.col("similarity") >= LEAST)
+    sound = (numbers_of(F.col("text_a")) == numbers_of(F.col("text_b"))) & (F.size(F.array_union("words_a", "words_b")) >= 4) & ~_phased("text_a") & ~_phased("text_b")
+    return both.select("class_a", "class_b", "similarity", sound.alias("sound"))
+
+
+def _phased(text: str) -> Column:
+    return F.col(text).rlike(rf"\b(?:{'|'.join(PHASE_WORDS)})\b")
+
+
+def all_similar(works: DataFrame, key: str, block: list[str], text: str, amount: str) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)``: all similar pairs of a block, without bounds on looking back or on how many are kept.
+
+    Rows of one block and text are a class (``id, class``), named by its smallest id; any two of its members are a pair
+    of similarity 1. ``links`` has ``class_a, class_b, similarity`` for all classes similar by LEAST; each member of the
+    one and each of the other are a pair. So copies aren't expanded. Weights are those of :func:`similar_pairs`.
+    """
+    members, classes = _facts(works, key, block, text, amount)
+    return members.select("id", "class"), _links(classes).select("class_a", "class_b", F.round("similarity", 6).alias("similarity"))
+
+
+def best_matches(works: DataFrame, key: str, block: list[str], text: str, amount: str) -> DataFrame:
+    """``id, best, similarity, same_amount, high``: for each row the best of all other rows of its block, if any is
+    similar by LEAST: ``high`` ones first (as in :func:`similar_pairs`), then by similarity, same amount, smallest id.
+
+    Of a class only its smallest ids are looked at, for each amount and for all, so copies cost no square.
+    """
+    members, classes = _facts(works, key, block, text, amount)
+    links = staged(_links(classes), "links")
+    amounts = staged(_two_smallest(members.where("amount is not null"), ["class", "amount"]), "amounts")
+    whole = staged(_two_smallest(members, ["class"]), "whole")
+    self = classes.select("class", ((F.size("words") >= 4) & ~_phased("text")).alias("sound"))
+    # Rows of the same class: the smallest other id of the same amount, and of all.
+    other = F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.col("two"))
+    own = [
+        members.join(group, on).join(self, "class").select("id", other.alias("best"), F.lit(1.0).alias("similarity"), F.lit(same).alias("same_amount"), (F.lit(same) & F.col("sound")).alias("high")).where("best is not null")
+        for group, on, same in ((amounts, ["class", "amount"], True), (whole, ["class"], False))
+    ]
+    # Of other classes: the same for all rows of a class and amount.
+    ends = links.select(F.col("class_a").alias("class"), F.col("class_b").alias("to"), "similarity", "sound")
+    ends = ends.unionByName(links.select(F.col("class_b").alias("class"), F.col("class_a").alias("to"), "similarity", "sound"))
+    units = members.select("class", "amount").distinct().join(ends, "class").join(whole.select(F.col("class").alias("to"), F.col("one").alias("any")), "to")
+    units = units.join(amounts.select(F.col("class").alias("to"), "amount", F.col("one").alias("alike")), ["to", "amount"], "left")
+    same = F.col("alike").isNotNull()
+    units = units.select("class", "amount", F.coalesce("alike", "any").alias("best"), "similarity", same.alias("same_amount"), (same & F.col("sound") & (F.col("similarity") >= HIGH)).alias("high"))
+    rank = F.struct(~F.col("high"), -F.col("similarity"), ~F.col("same_amount"), F.col("best"))
+    first = lambda df, by: df.groupBy(*by).agg(F.min_by(F.struct("best", "similarity", "same_amount", "high"), rank).alias("m")).select(*by, "m.*")
+    units = first(units, ["class", "amount"]).withColumnRenamed("class", "of").withColumnRenamed("amount", "at")
+    foreign = members.join(units, (F.col("class") == F.col("of")) & F.col("amount").eqNullSafe(F.col("at"))).select("id", "best", "similarity", "same_amount", "high")
+    return first(own[0].unionByName(own[1]).unionByName(foreign), ["id"]).withColumn("similarity", F.round("similarity", 6))
+
+
+def _two_smallest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The smallest id ``one`` and the next ``two`` (null if there is none) of each group, by grouped minima only."""
+    one = rows.groupBy(*by).agg(F.min("id").alias("one"))
+    two = rows.join(one, by).where("id <> one").groupBy(*by).agg(F.min("id").alias("two"))
+    return one.join(two, by, "left")

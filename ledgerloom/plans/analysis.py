@@ -10,7 +10,7 @@ from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import models as M
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import works as W
-from ledgerloom.operators.similar_works import similar_pairs, word_counts
+from ledgerloom.operators.similar_works import all_similar, best_matches, similar_pairs, word_counts
 from ledgerloom.plans.ledger import _FLAGS, _MONTHS, _SCORE, AS_OF, _months, _points, flagged
 from ledgerloom.plans.sql import using
 from ledgerloom.sources.tables import table
@@ -68,19 +68,41 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SIMILAR)
 def q_weighted_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar works of one authority and activity."""
+    """Similar works of one authority and activity, found by bounded looking back."""
     return _similar(spark, sf_dir)
 
 
 @query(f"SELECT b AS work_id, max_by(a, (CASE WHEN high THEN 2 ELSE 0 END + similarity, -length(a), a)) AS best, max(similarity) AS similarity, CASE WHEN bool_or(high) THEN 'strong' WHEN max(similarity) >= 0.96 THEN 'moderate' ELSE 'weak' END AS tier FROM ({_SIMILAR}) GROUP BY b")
 def q_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each work's best earlier match and the tier of its evidence."""
+    """Each work's best earlier match among those of J15 and the tier of its evidence."""
     p = _similar(spark, sf_dir)
     order = F.struct(F.when(F.col("high"), 2).otherwise(0) + F.col("similarity"), -F.length("a"), F.col("a"))
     tier = F.when(F.bool_or("high"), "strong").when(F.max("similarity") >= 0.96, "moderate").otherwise("weak")
     return p.groupBy(F.col("b").alias("work_id")).agg(F.max_by("a", order).alias("best"), F.max("similarity").alias("similarity"), tier.alias("tier"))
 
 
+_BLOCK = ("work_id", ["ida_key", "activity_type"], "description_normalized", "sanction_amount_paise")
+
+
+@query()
+def q_block_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of one authority, activity and text as classes; any two members are a pair."""
+    return all_similar(table(spark, sf_dir, "work_features"), *_BLOCK)[0].withColumnRenamed("id", "work_id")
+
+
+@query()
+def q_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All similar pairs of these classes, without bounds."""
+    return all_similar(table(spark, sf_dir, "work_features"), *_BLOCK)[1]
+
+
+@query()
+def q_block_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each work's best match among all other works of its authority and activity, and the tier of its evidence."""
+    tier = F.when(F.col("high"), "strong").when(F.col("similarity") >= 0.96, "moderate").otherwise("weak").alias("tier")
+    return best_matches(table(spark, sf_dir, "work_features"), *_BLOCK).select(F.col("id").alias("work_id"), "best", "similarity", tier)
+
+
 _TRI = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, CAST(i AS INTEGER), 3)))"
 
 

@@ -1,11 +1,16 @@
+import math
+import random
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import PHASE_WORDS, STOP_WORDS
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import models as M
-from ledgerloom.operators.similar_works import similar_pairs
+from ledgerloom.operators.similar_works import all_similar, best_matches, similar_pairs
 from ledgerloom.plans.ledger import leave_one_out, prior_peers
 from ledgerloom.streaming import events as S
 
@@ -105,3 +110,47 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["user_id"]: r["event_id"] for r in spark.read.parquet(str(tmp_path / "led/v0")).collect()} == {0: 57, 1: 58, 2: 59}
+
+
+def test_block_matches_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        # Alike in frequent words only, with rare ones of their own: the bounded search has none of these anchors in common.
+        base = words[:14] if i % 2 else words[10:26]
+        text = " ".join(w for w in base if rng.random() > 0.03) + rng.choice(["", " part", " 7", f" odd{i}"])
+        rows.append((f"k{i:03d}", rng.choice("ab"), text if i % 40 else None, rng.choice([100, 200, None])))
+    rows += [(f"s{i:03d}", "a", "the same text of all these works", 300) for i in range(12)]
+    df = spark.createDataFrame(rows, "work string, block string, text string, amount bigint")
+    sets = {k: set((t or "").split()) - set(STOP_WORDS) for k, _, t, _ in rows}
+    count = Counter(w for s in sets.values() for w in s)
+    weight = {w: math.log1p(len(rows) / (1 + n)) for w, n in count.items()}
+    cue = re.compile(rf"\b(?:{'|'.join(PHASE_WORDS)})\b")
+    numbers = lambda t: set(re.findall(r"\b(\d+)\b", t))
+    pairs, best = {}, {}
+    for k, block, text, amount in rows:
+        for o, other, there, much in rows:
+            if k == o or block != other or not text or not there:
+                continue
+            x, y = sets[k], sets[o]
+            similar = 1.0 if text == there else sum(weight[w] for w in x & y) / sum(weight[w] for w in x | y)
+            if similar < 0.88:
+                continue
+            pairs[min(k, o), max(k, o)] = round(similar, 6)
+            same = amount is not None and amount == much
+            high = same and similar >= 0.96 and numbers(text) == numbers(there) and len(x | y) >= 4 and not cue.search(text) and not cue.search(there)
+            best[k] = min(best.get(k, (True, 0, True, "~")), (not high, -round(similar, 6), not same, o))
+    how = ("work", ["block"], "text", "amount")
+    members, links = all_similar(df, *how)
+    of: dict = {}
+    for r in members.collect():
+        of.setdefault(r["class"], []).append(r["id"])
+    found = {(min(a, b), max(a, b)): 1.0 for c in of.values() for a in c for b in c if a != b}
+    for r in links.collect():
+        found |= {(min(a, b), max(a, b)): r["similarity"] for a in of[r["class_a"]] for b in of[r["class_b"]]}
+    assert found == pairs and len(pairs) > 200
+    got = {r["id"]: (not r["high"], -r["similarity"], not r["same_amount"], r["best"]) for r in best_matches(df, *how).collect()}
+    assert got == best
+    bounded = {(r["a"], r["b"]) for r in similar_pairs(df, *how).collect()}
+    assert bounded < set(pairs)
