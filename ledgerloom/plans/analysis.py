@@ -177,15 +177,21 @@ def q_hash_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT seed, b.budget, count(*) AS taken, count(*) FILTER (WHERE score > 0) AS positive, count(*) FILTER (WHERE score > 0 AND truth) AS recovered FROM r JOIN (VALUES (CAST(0.05 AS DOUBLE), 5), (0.1, 10), (0.2, 20), (0.3, 30)) AS b(budget, pct) ON place <= (n * b.pct + 99) // 100 GROUP BY 1, 2"""
 )
 def q_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What budgets take and recover, for several tie seeds."""
+    """What budgets take and recover, for three tie seeds."""
     return E.budget_table(_scored(spark, sf_dir), "work_key", "score", "truth", [0.05, 0.1, 0.2, 0.3], ["1", "2", "3"])
 
 
+@query()
+def q_budget_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for 20 tie seeds."""
+    return E.budget_table(_scored(spark, sf_dir), "work_key", "score", "truth", [0.05, 0.1, 0.2, 0.3], [str(s) for s in range(1, 21)])
+
+
 @query()
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference of two arms over authorities drawn again and again."""
     f = flagged(spark, sf_dir).join(W.works(spark, sf_dir).select("work_key", "ida"), "work_key").where("ida is not null")
-    return E.paired_bootstrap(f.select("ida", (F.col("slow") | F.col("march")).cast("int").alias("a"), (F.col("slow") | F.col("repeated")).cast("int").alias("b")), "ida", "a", "b", 400)
+    return E.paired_bootstrap(f.select("ida", (F.col("slow") | F.col("march")).cast("int").alias("a"), (F.col("slow") | F.col("repeated")).cast("int").alias("b")), "ida", "a", "b")
 
 
 _ORDERED = using("san") + ", d AS (SELECT recommendation_date AS d, count(*) AS n FROM san WHERE recommendation_date IS NOT NULL GROUP BY 1), u AS (SELECT d, sum(n) OVER (ORDER BY d) AS u FROM d), c AS (SELECT min(d) AS cut FROM u WHERE u >= (SELECT floor(sum(n) * 0.7) FROM d))"

@@ -154,3 +154,10 @@ def test_block_matches_equal_brute_force(spark):
     assert got == best
     bounded = {(r["a"], r["b"]) for r in similar_pairs(df, *how).collect()}
     assert bounded < set(pairs)
+
+
+def test_registered_draws(spark):
+    from ledgerloom.plans import analysis
+
+    assert analysis.q_bootstrap(spark, "/root/testdata/sf0.001").first()["rounds"] == 1000
+    assert analysis.q_budget_seeds(spark, "/root/testdata/sf0.001").select("seed").distinct().count() == 20
