@@ -92,6 +92,12 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(*_containers(spark, sf_dir))
 
 
+def p6_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of containers of which also the segments (one for each 512 tokens) and the loss (7/8 of the tokens) are limited."""
+    limits = [Limit.of(i, most, max(1, most // 512), most * 7 // 8) for i, most, _ in _limits(spark, sf_dir, "container")]
+    return packed(text_items(table(spark, sf_dir, "documents"), "doc_id", "text", limits), "doc_id", limits)
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture as large as all sources with targets; those too small for their share give all their repeats."""
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total_tokens="all")[0]
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p6_texts": p6_texts,
+    "p6_tight": p6_tight,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
     "p7_exact_mixture": p7_exact_mixture,

@@ -189,3 +189,14 @@ def test_mixture_of_nothing(spark):
     assert mixing.mixture(documents.limit(0), targets)[0].count() == 0
     rows, shares = mixing.mixture(documents, targets.limit(0))
     assert rows.count() == 0 and shares.count() == 0
+
+
+def test_tight_limits_bind_on_whole_documents(spark):
+    from ledgerloom.llm import queries
+
+    found = queries.p6_tight(spark, "/root/testdata/sf0.001").groupBy("limit_id", "container_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("loss_tokens").alias("l")).collect()
+    most = {limit: tokens for limit, tokens, _ in queries._limits(spark, "/root/testdata/sf0.001", "container")}
+    for limit, size in most.items():
+        mine = [r for r in found if r["limit_id"] == limit]
+        assert all(r["t"] <= size and r["n"] <= size // 512 and r["l"] <= size * 7 // 8 for r in mine)
+        assert sum(r["n"] == size // 512 for r in mine) > 2 and sum(r["l"] > size * 7 // 8 - 8 for r in mine) > 2
