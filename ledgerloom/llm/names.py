@@ -343,32 +343,49 @@ def _spellings(profiles: DataFrame, agree: list[str]) -> DataFrame:
     return profiles.select("id", "name", *agree).mapInArrow(run, schema).where("canonical <> ''")
 
 
+def initial_keys(name: str) -> set[str]:
+    """First letters, sorted, that a name and any other which it meets by initials alone have in common.
+
+    A name of initials has its letters, with or without those of common names. Any other has those of its tokens and
+    initials, with or without those of common and household names and of initials that repeat one of these words.
+    """
+    tokens, initials, common, _ = parsed(name)
+    sure, perhaps = list(initials), [w[0] for w in common]
+    if tokens:
+        words = {w[0] for w in (*tokens, *common)}
+        sure = [w[0] for w in tokens if folded(w) not in PETS] + [w for w in initials if w not in words]
+        perhaps += [w[0] for w in tokens if folded(w) in PETS] + [w for w in initials if w in words]
+    chosen = (c for n in range(len(perhaps) + 1) for c in itertools.combinations(perhaps, n))
+    return {"#" + "".join(sorted([*sure, *c])) for c in chosen}
+
+
 def _keyed(nodes: DataFrame, agree: list[str]) -> DataFrame:
     """A row for each code of each token that another node also has: ``key``, whether it is a code and no row of
     initials (``plain``), whether it holds ``anywhere``, and how many rows and ``seekers`` the block has."""
-    schema = extended(nodes.select("node", "name", *agree).schema, "key string, plain boolean, seeks boolean, anywhere boolean")
+    schema = extended(nodes.select("node", "name", *agree).schema, "key string, plain boolean, bare boolean, seeks boolean, anywhere boolean")
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, plain, seeks, anywhere = [], [], [], [], []
+            rows, keys, plain, bares, seeks, anywhere = [], [], [], [], [], []
             first = batch.column(agree[0]).to_pylist()
             for i, name in enumerate(batch.column("name").to_pylist()):
-                tokens, initials, common, _ = parsed(name)
+                tokens = parsed(name)[0]
                 lost, bare = first[i] is None, not tokens
                 found = {c for t in tokens for c in codes(t)}
                 found.update(c for a, b in itertools.pairwise(tokens) for c in codes(a + b))  # a name that was torn apart
-                found.add("#" + "".join(sorted(w[0] for w in (*tokens, *initials, *common))))
+                found |= initial_keys(name)
                 for c in sorted(found):
                     for where in (False, True):
                         if where or not lost:
                             rows.append(i)
                             keys.append(c if where else f"{first[i]}|{c}")
                             plain.append(c[0] != "#")
-                            seeks.append(lost if c[0] != "#" else bare)
+                            bares.append(bare)
+                            seeks.append(lost if where else bare and c[0] == "#")
                             anywhere.append(where)
             at = pa.array(rows, pa.int64())
-            added = [pa.array(keys, pa.string()), *[pa.array(x, pa.bool_()) for x in (plain, seeks, anywhere)]]
+            added = [pa.array(keys, pa.string()), *[pa.array(x, pa.bool_()) for x in (plain, bares, seeks, anywhere)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("node", "name", *agree)], *added], names)
 
     # A row makes many: rows are spread by number, as their few bytes would put them into one task.
@@ -408,8 +425,8 @@ def _compared_pairs(nodes: DataFrame, agree: list[str]) -> DataFrame:
     here, plain = keyed.where(~F.col("anywhere")), F.col("plain")
     near = _met(here.where(plain), here.where(plain), "crowd", agree).where("a_node < b_node")
     bare = _met(here.where("seeks"), here, "seekers", agree).where("a_node <> b_node")
-    far = keyed.where("anywhere").where(plain)
-    lost = _met(far.where("seeks"), far, "seekers", agree).where("a_node <> b_node")
+    far = keyed.where("anywhere")
+    lost = _met(far.where("seeks"), far, "seekers", [*agree, "plain", "bare"]).where("a_node <> b_node and (a_plain or a_bare or b_bare)").drop("a_plain", "b_plain", "a_bare", "b_bare")
     columns = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
     columns += [F.when(F.col("a_node") < F.col("b_node"), F.col(f"{x}_name")).otherwise(F.col(f"{y}_name")).alias(f"name_{x}") for x, y in (("a", "b"), ("b", "a"))]
     columns += [(F.col(f"a_{agree[0]}").isNull() | F.col(f"b_{agree[0]}").isNull()).alias("lost")]
@@ -428,7 +445,7 @@ def _compared_pairs(nodes: DataFrame, agree: list[str]) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, kind int, points int")
 
 
-def link_names(rows: DataFrame, key: str, name: str, agree: list[str], rounds: int = 3) -> DataFrame:
+def link_names(rows: DataFrame, key: str, name: str, agree: list[str]) -> DataFrame:
     """``(id, person)`` for every id that has a name: the ids of one person share ``person``, their smallest id.
 
     ``agree`` are columns of which two ids of one person can't have different values; null fits anything, and the first
@@ -452,7 +469,7 @@ def link_names(rows: DataFrame, key: str, name: str, agree: list[str], rounds: i
     edges = staged(edges, "edges")
     about = staged(nodes.groupBy("node").agg(F.max("detail").alias("detail"), *[F.max(c).alias(c) for c in groups]), "nodes")
     weak = pairs.where(F.col("kind") == WEAK)
-    for _ in range(rounds):
+    while True:  # each round leaves fewer components than the one before
         roots = staged(components(edges, "a", "b"), "roots")
         size = about.join(roots, "node").groupBy("root").agg(F.max("detail").alias("detail"), F.count(F.lit(1)).alias("nodes"), *[F.max(c).alias(c) for c in groups])
         end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
@@ -472,9 +489,11 @@ def link_names(rows: DataFrame, key: str, name: str, agree: list[str], rounds: i
         asked = between.select(F.when(low, F.col("ra")).otherwise(F.col("rb")).alias("who"), F.when(low, F.col("rb")).otherwise(F.col("ra")).alias("of"), "points")
         asked = asked.groupBy("who", "of").agg(F.max("points").alias("points"))
         best = asked.groupBy("who", "points").agg(F.count_distinct("of").alias("ways"), F.min("of").alias("of")).groupBy("who").agg(F.max_by(F.struct("ways", "of"), "points").alias("one"))
-        chosen = best.where("one.ways = 1").select(F.col("who").alias("a"), F.col("one.of").alias("b"))
+        chosen = staged(best.where("one.ways = 1").select(F.col("who").alias("a"), F.col("one.of").alias("b")), "chosen")
+        if chosen.isEmpty():
+            break
         edges = staged(edges.unionByName(chosen), "edges")
-    return components(edges, "a", "b").join(spellings.select(F.col("id").alias("node")).distinct(), "node").select(F.col("node").alias("id"), F.col("root").alias("person"))
+    return roots.join(spellings.select(F.col("id").alias("node")).distinct(), "node").select(F.col("node").alias("id"), F.col("root").alias("person"))
 
 
 def person_pairs(linked: DataFrame) -> DataFrame:

@@ -66,3 +66,8 @@ def test_full_blocks_compare_all_pairs(spark, monkeypatch):
     assert linked(spark, rows) == {(0, 20), (21, 22), (1, 23)}
     monkeypatch.setattr(names, "HOT", 3)
     assert linked(spark, rows) == {(0, 20), (21, 22), (1, 23)}
+
+
+def test_initials_without_a_place(spark):
+    rows = [(1, "Vedhajan Drideova", "north", "x"), (2, "V. D.", None, None), (3, "T. S.", "south", "y"), (4, "Tolimar Sanomet", None, "y"), (5, "Pochurit Kumar Zisulva", "west", "z"), (6, "Z. P.", "west", None)]
+    assert linked(spark, rows) == {(1, 2), (3, 4), (5, 6)}
