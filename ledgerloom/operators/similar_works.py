@@ -19,13 +19,51 @@ def word_counts(works: DataFrame, text: str) -> DataFrame:
     return works.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("works"))
 
 
+def _phased(text: str) -> Column:
+    return F.col(text).rlike(rf"\b(?:{'|'.join(PHASE_WORDS)})\b")
+
+
+def sound_pair() -> Column:
+    """Whether nothing speaks against a pair ``text_a, words_a, text_b, words_b``: numbers conflict only if both texts
+    have some and they differ, a side with fewer than four words is too general, and neither may name a further phase."""
+    a, b = numbers_of(F.col("text_a")), numbers_of(F.col("text_b"))
+    conflict = (F.size(a) > 0) & (F.size(b) > 0) & (a != b)
+    return ~conflict & (F.least(F.size("words_a"), F.size("words_b")) >= 4) & ~_phased("text_a") & ~_phased("text_b")
+
+
+def scored_pair(pairs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Pairs ``text_a, amount_a, text_b, amount_b`` with ``similarity``, ``same_amount``, ``number_conflict``, ``generic``,
+    ``phase`` and ``high``, each scored alone. ``weights``: ``word, w`` of a corpus (else all words weigh the same).
+
+    Null texts count as empty, an unknown amount equals none; two empty texts have a similarity of 0.
+    """
+    rows = pairs.withColumn("__row", F.monotonically_increasing_id()).withColumns({f"text_{s}": F.coalesce(f"text_{s}", F.lit("")) for s in "ab"})
+    rows = rows.withColumns({f"words_{s}": F.array_sort(words_of(F.col(f"text_{s}"))) for s in "ab"})
+    rows = staged(rows, "alone")
+    words = rows.select("__row", "words_a", "words_b", F.explode(F.array_union("words_a", "words_b")).alias("word"))
+    words = words.join(weights, "word", "left") if weights is not None else words.withColumn("w", F.lit(1.0))
+    w = F.coalesce("w", F.lit(0.0))
+    sums = words.groupBy("__row").agg(F.sum(w).alias("whole"), F.sum(F.when(F.array_contains("words_a", F.col("word")) & F.array_contains("words_b", F.col("word")), w)).alias("shared"))
+    same_text = (F.col("text_a") == F.col("text_b")) & (F.col("text_a") != "")
+    out = rows.join(sums, "__row", "left").withColumn("similarity", F.when(same_text, 1.0).when(F.col("whole") > 0, F.coalesce("shared", F.lit(0.0)) / F.col("whole")).otherwise(0.0))
+    a, b = numbers_of(F.col("text_a")), numbers_of(F.col("text_b"))
+    out = out.withColumns({
+        "same_amount": F.coalesce(F.col("amount_a") == F.col("amount_b"), F.lit(False)),
+        "number_conflict": (F.size(a) > 0) & (F.size(b) > 0) & (a != b),
+        "generic": F.least(F.size("words_a"), F.size("words_b")) < 4,
+        "phase": _phased("text_a") | _phased("text_b"),
+    })
+    high = (F.col("similarity") >= HIGH) & F.col("same_amount") & sound_pair()
+    return out.withColumn("high", high).drop("__row", "words_a", "words_b", "whole", "shared")
+
+
 def similar_pairs(works: DataFrame, key: str, block: list[str], text: str, amount: str) -> DataFrame:
     """``a, b, similarity, same_amount, high``: for each row ``b`` its best earlier rows ``a`` of the same block.
 
     Rows are in the order of their key. A word's weight falls with the number of rows that have it. Candidates share
     one of the three rarest words of either row, or the whole text and amount; similarity is shared weight over all
-    weight, at least LEAST. ``high`` asks for HIGH, the same known amount, no differing numbers, four words or more and
-    no word for a further phase in either. The bounds on looking back are part of the result's definition; they also
+    weight, at least LEAST. ``high`` asks for HIGH, the same known amount, no numbers on both sides that differ, four
+    words or more on either and no word for a further phase in either. The bounds on looking back are part of the result's definition; they also
     keep a crowded block linear: each row meets at most LOOK_BACK others for each anchor.
     """
     base = works.select(F.col(key).alias("id"), F.concat_ws("|", *block).alias("block"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(amount).alias("amount"))
@@ -66,11 +104,9 @@ def similar_pairs(works: DataFrame, key: str, block: list[str], text: str, amoun
     shared = total_of(F.array_sort(F.array_intersect("words_a", "words_b")), maps)
     whole = total_of(F.array_sort(F.array_union("words_a", "words_b")), maps)
     similarity = F.when((F.col("text_a") == F.col("text_b")) & (F.col("text_a") != ""), 1.0).otherwise(F.when(whole > 0, shared / whole).otherwise(0.0))
-    cue = rf"\b(?:{'|'.join(PHASE_WORDS)})\b"
     same_amount = F.coalesce(F.col("amount_a") == F.col("amount_b"), F.lit(False))
     scored = both.withColumn("similarity", similarity).where(F.col("similarity") >= LEAST).withColumn("same_amount", same_amount)
-    sound = (numbers_of(F.col("text_a")) == numbers_of(F.col("text_b"))) & (F.size(F.array_union("words_a", "words_b")) >= 4) & ~F.col("text_a").rlike(cue) & ~F.col("text_b").rlike(cue)
-    scored = scored.withColumn("high", (F.col("similarity") >= HIGH) & same_amount & sound)
+    scored = scored.withColumn("high", (F.col("similarity") >= HIGH) & same_amount & sound_pair())
     order = Window.partitionBy("b").orderBy(F.col("high").desc(), F.col("similarity").desc(), F.col("same_amount").desc(), F.col("a"))
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= KEPT).select("a", "b", F.round("similarity", 6).alias("similarity"), "same_amount", "high")
 
@@ -113,12 +149,7 @@ def _links(classes: DataFrame) -> DataFrame:
     weight = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at("weights_a", w), F.element_at("weights_b", w)))
     shared, whole = weight(F.array_sort(F.array_intersect("words_a", "words_b"))), weight(F.array_sort(F.array_union("words_a", "words_b")))
     both = both.withColumn("similarity", shared / whole).where(F.col("similarity") >= LEAST)
-    sound = (numbers_of(F.col("text_a")) == numbers_of(F.col("text_b"))) & (F.size(F.array_union("words_a", "words_b")) >= 4) & ~_phased("text_a") & ~_phased("text_b")
-    return both.select("class_a", "class_b", "similarity", sound.alias("sound"))
-
-
-def _phased(text: str) -> Column:
-    return F.col(text).rlike(rf"\b(?:{'|'.join(PHASE_WORDS)})\b")
+    return both.select("class_a", "class_b", "similarity", sound_pair().alias("sound"))
 
 
 def all_similar(works: DataFrame, key: str, block: list[str], text: str, amount: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +53,25 @@ def sanctioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_export(table(spark, sf_dir, "works_sanctioned"))
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each work of either export; the sanctioned side's values win (``in_first``: sanctioned)."""
-    merged = merged_outer(sanctioned(spark, sf_dir), recommended(spark, sf_dir), ["work_key"])
+def works(spark: SparkSession, sf_dir: str, cohorts: Sequence[str] = ()) -> DataFrame:
+    """One row for each work of either export; the sanctioned side's values win (``in_first``: sanctioned).
+
+    ``cohorts`` keeps works of these only. The cohort is part of the key, so both scans are filtered before the join.
+    """
+    sides = [table(spark, sf_dir, name) for name in ("works_sanctioned", "works_recommended")]
+    if cohorts:
+        sides = [side.where(F.col("cohort").isin(list(cohorts))) for side in sides]
+    merged = merged_outer(typed_export(sides[0]), typed_export(sides[1]), ["work_key"])
     return merged.withColumnsRenamed({"in_first": "is_sanctioned", "in_second": "is_recommended"}).withColumn("sanction_fy", fiscal_year(F.col("sanction_date")))
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payment ledger, typed; every accepted row stays, repeats too (``is_repeat``: not the first of its kind)."""
-    raw = table(spark, sf_dir, "expenditure")
-    kinds = ["cohort", "work_recommendation_dtl_id", "vendor_id", "vendor_name", "ia_name", "work_status", "work_id", "expenditure_date", "fund_disbursed_amt"]
-    typed = raw.select(
+#: What makes two payment rows repeats of each other, as typed.
+KINDS = ["cohort", "work_recommendation_dtl_id", "vendor_id", "vendor_name", "ia_name", "work_status", "work_id", "expenditure_date", "fund_disbursed_amt"]
+
+
+def payments(spark: SparkSession, sf_dir: str, fields: Sequence[str] = ()) -> DataFrame:
+    """The payment ledger, typed; every accepted row stays, repeats too. ``fields``: columns as typed to keep besides."""
+    return table(spark, sf_dir, "expenditure").select(
         "record_id",
         "cohort",
         F.when(number_key(F.col("work_recommendation_dtl_id")).isNotNull(), F.concat_ws(":", "cohort", number_key(F.col("work_recommendation_dtl_id")))).alias("work_key"),
@@ -73,15 +83,26 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         date_of(F.col("expenditure_date")).alias("paid_on"),
         amount_paise(F.col("fund_disbursed_amt")).alias("paise"),
         F.coalesce(F.col("work_status") == "Payment Success", F.lit(False)).alias("is_success"),
-        fingerprint([F.col(c) for c in kinds]).alias("fingerprint"),
+        *fields,
     )
-    first = typed.groupBy("fingerprint").agg(F.min("record_id").alias("first_record"))
-    return typed.join(first, "fingerprint").withColumn("is_repeat", F.col("record_id") > F.col("first_record")).drop("first_record")
 
 
-def ledger_by_work(pay: DataFrame) -> DataFrame:
-    """Payments summed for each work, before any join; so amounts can't multiply."""
+def payments_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with ``copies``, the rows of a row's kind, and ``is_repeat``: not the first of them.
+
+    Only for queries that ask for repeats. First rows and counts of kinds are combined before the shuffle, and the rows
+    are joined to them again, so a kind with very many copies isn't gathered.
+    """
+    typed = payments(spark, sf_dir, [fingerprint([F.col(c) for c in KINDS]).alias("fingerprint")])
+    kinds = typed.groupBy("fingerprint").agg(F.min("record_id").alias("first_record"), F.count(F.lit(1)).alias("copies"))
+    return typed.join(kinds, "fingerprint").withColumn("is_repeat", F.col("record_id") > F.col("first_record")).drop("first_record")
+
+
+def ledger_by_work(pay: DataFrame, repeats: bool = True) -> DataFrame:
+    """Payments summed for each work, before any join; so amounts can't multiply. Without ``repeats`` what counts them
+    is left out, and ``pay`` needs no column of them."""
     ok = F.col("is_success")
+    counted = [F.count_if("is_repeat").alias("repeat_rows"), F.bool_or("is_repeat").alias("any_repeat")] if repeats else []
     return (
         pay.where(F.col("work_key").isNotNull())
         .groupBy("work_key")
@@ -96,17 +117,24 @@ def ledger_by_work(pay: DataFrame) -> DataFrame:
             F.min(F.when(ok, F.col("paid_on"))).alias("first_success"),
             F.max(F.when(ok, F.col("paid_on"))).alias("last_success"),
             F.coalesce(F.sum(F.when(ok & (F.month("paid_on") == 3), F.col("paise"))), F.lit(0)).alias("march_paise"),
-            F.count_if("is_repeat").alias("repeat_rows"),
-            F.bool_or("is_repeat").alias("any_repeat"),
+            *counted,
             F.count_distinct(month_of(F.col("paid_on"))).alias("months"),
         )
     )
 
 
-def works_with_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works with their summed payments: counts and sums are zero without payments, ratios null."""
-    sums = ledger_by_work(payments(spark, sf_dir))
-    zero = [c for c, kind in sums.dtypes if kind == "bigint"]
-    joined = works(spark, sf_dir).join(sums, "work_key", "left")
-    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"any_repeat": F.coalesce("any_repeat", F.lit(False))})
+def works_with_payments(spark: SparkSession, sf_dir: str, cohorts: Sequence[str] = (), repeats: bool = False) -> DataFrame:
+    """Works with their summed payments: counts and sums are zero without payments, ratios null.
+
+    ``repeats`` adds ``repeat_rows`` and ``any_repeat``, which cost a second pass over the ledger; ``cohorts`` filters
+    all three scans.
+    """
+    pay = (payments_with_repeats if repeats else payments)(spark, sf_dir)
+    if cohorts:
+        pay = pay.where(F.col("cohort").isin(list(cohorts)))
+    sums = ledger_by_work(pay, repeats)
+    zero = {c: F.coalesce(c, F.lit(0)) for c, kind in sums.dtypes if kind == "bigint"}
+    if repeats:
+        zero["any_repeat"] = F.coalesce("any_repeat", F.lit(False))
+    joined = works(spark, sf_dir, cohorts).join(sums, "work_key", "left").withColumns(zero)
     return joined.withColumn("paid_ratio", F.when(F.col("success_rows") > 0, ratio(F.col("paid_paise"), F.col("sanction_paise"))))

@@ -58,7 +58,8 @@ pr AS (SELECT a, b FROM nk UNION SELECT a.id, b.id FROM ex a JOIN ex b ON a.bloc
 f AS (SELECT pr.a, pr.b, x.text AS ta, y.text AS tb, x.words AS wa, y.words AS wb, coalesce(x.amount = y.amount, FALSE) AS same_amount FROM pr JOIN base x ON pr.a = x.id JOIN base y ON pr.b = y.id),
 u AS (SELECT a, b, sum(w) AS whole, sum(w) FILTER (WHERE list_contains(wa, t.word) AND list_contains(wb, t.word)) AS shared FROM (SELECT a, b, wa, wb, unnest(list_distinct(list_concat(wa, wb))) AS word FROM f) t JOIN we ON t.word = we.word GROUP BY a, b),
 s AS (SELECT f.*, CASE WHEN ta = tb AND ta <> '' THEN 1.0 WHEN whole > 0 THEN coalesce(shared, 0) / whole ELSE 0.0 END AS sim FROM f LEFT JOIN u ON f.a = u.a AND f.b = u.b),
-k AS (SELECT *, sim >= 0.96 AND same_amount AND list_sort(list_distinct(regexp_extract_all(ta, '\\b(\\d+)\\b'))) = list_sort(list_distinct(regexp_extract_all(tb, '\\b(\\d+)\\b'))) AND len(list_distinct(list_concat(wa, wb))) >= 4 AND NOT regexp_matches(ta, '{_CUE}') AND NOT regexp_matches(tb, '{_CUE}') AS high FROM s WHERE sim >= 0.88)
+g AS (SELECT *, list_sort(list_distinct(regexp_extract_all(ta, '\\b(\\d+)\\b'))) AS na, list_sort(list_distinct(regexp_extract_all(tb, '\\b(\\d+)\\b'))) AS nb FROM s WHERE sim >= 0.88),
+k AS (SELECT *, sim >= 0.96 AND same_amount AND (len(na) = 0 OR len(nb) = 0 OR na = nb) AND len(wa) >= 4 AND len(wb) >= 4 AND NOT regexp_matches(ta, '{_CUE}') AND NOT regexp_matches(tb, '{_CUE}') AS high FROM g)
 SELECT a, b, round(sim, 6) AS similarity, same_amount, high FROM k QUALIFY row_number() OVER (PARTITION BY b ORDER BY high DESC, sim DESC, same_amount DESC, a) <= 3"""
 
 
@@ -289,7 +290,7 @@ def q_case_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(using("full_wk") + ", g AS (SELECT state, count(*) AS works, count(*) FILTER (WHERE any_repeat) AS hits FROM full_wk WHERE state IS NOT NULL GROUP BY state) SELECT state, CAST(least(4, floor(CAST(hits AS DOUBLE) / works / 0.02)) AS INTEGER) AS shade FROM g")
 def q_map_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five shades of a share for a map."""
-    g = W.works_with_payments(spark, sf_dir).where("state is not null").groupBy("state").agg(F.count(F.lit(1)).alias("works"), F.count_if("any_repeat").alias("hits"))
+    g = W.works_with_payments(spark, sf_dir, repeats=True).where("state is not null").groupBy("state").agg(F.count(F.lit(1)).alias("works"), F.count_if("any_repeat").alias("hits"))
     return g.select("state", F.least(F.lit(4), F.floor(ratio(F.col("hits"), F.col("works")) / 0.02)).cast("int").alias("shade"))
 
 

@@ -31,7 +31,7 @@ _LISTED = " FROM full_wk WHERE cohort IN ('rs_sitting', 'rs_retired') AND is_san
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.WORKS.filtered(W.works_with_payments(spark, sf_dir), {"cohort": ["rs_sitting", "rs_retired"]}, "is_sanctioned", "hall")
+    return L.WORKS.filtered(W.works_with_payments(spark, sf_dir, ["rs_sitting", "rs_retired"]), {"cohort": ["rs_sitting", "rs_retired"]}, "is_sanctioned", "hall")
 
 
 @query(using("full_wk") + " SELECT work_key, state, sanction_paise, paid_paise" + _LISTED + " ORDER BY sanction_paise DESC NULLS LAST, work_key LIMIT 25 OFFSET 25")

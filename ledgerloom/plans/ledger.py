@@ -52,7 +52,7 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, sums, zero and unusable amounts and repeats of each cohort."""
-    p = W.payments(spark, sf_dir)
+    p = W.payments_with_repeats(spark, sf_dir)
     return p.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("rows"), F.min("paid_on").alias("first_day"), F.max("paid_on").alias("last_day"), F.count_if(F.col("paise") == 0).alias("zero_amounts"),
         F.count_if(F.col("paise").isNull()).alias("unusable"), F.sum("paise").alias("total_paise"), F.count_if("is_repeat").alias("repeats"),
@@ -175,7 +175,7 @@ def q_global_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(using("led") + " SELECT * FROM led")
 def q_ledger_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments summed for each work."""
-    return W.ledger_by_work(W.payments(spark, sf_dir))
+    return W.ledger_by_work(W.payments_with_repeats(spark, sf_dir))
 
 
 @query(using("pay") + " SELECT vendor, min(vendor_name) AS vendor_name, count(*) AS rows, count(DISTINCT work_key) AS works, count(DISTINCT ida) AS authorities, count(DISTINCT agency) AS agencies, CAST(coalesce(sum(paise) FILTER (WHERE is_success), 0) AS BIGINT) AS paid_paise, min(paid_on) AS first_day, max(paid_on) AS last_day FROM pay WHERE vendor IS NOT NULL GROUP BY vendor")
@@ -197,7 +197,7 @@ def q_vendor_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(using("full_wk") + " SELECT profile, count(*) AS works, CAST(sum(recommended_paise) AS BIGINT) AS recommended_paise, CAST(sum(sanction_paise) AS BIGINT) AS sanction_paise, CAST(sum(paid_paise) AS BIGINT) AS paid_paise, round(avg(paid_ratio), 6) AS mean_ratio, count(*) FILTER (WHERE any_repeat) AS with_repeats FROM full_wk WHERE profile IS NOT NULL GROUP BY profile")
 def q_member_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members."""
-    return W.works_with_payments(spark, sf_dir).where("profile is not null").groupBy("profile").agg(
+    return W.works_with_payments(spark, sf_dir, repeats=True).where("profile is not null").groupBy("profile").agg(
         F.count(F.lit(1)).alias("works"), F.sum("recommended_paise").alias("recommended_paise"), F.sum("sanction_paise").alias("sanction_paise"), F.sum("paid_paise").alias("paid_paise"),
         F.round(F.avg("paid_ratio"), 6).alias("mean_ratio"), F.count_if("any_repeat").alias("with_repeats"),
     )
@@ -258,7 +258,7 @@ def q_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same total at four grains."""
     p = W.payments(spark, sf_dir).where("work_key is not null")
     one = lambda df, grain, c: df.agg(F.sum(c).alias("paise")).select(F.lit(grain).alias("grain"), "paise")
-    parts = [one(p, "ledger", "paise"), one(W.ledger_by_work(p), "work", F.col("paid_paise") + F.col("pending_paise"))]
+    parts = [one(p, "ledger", "paise"), one(W.ledger_by_work(p, repeats=False), "work", F.col("paid_paise") + F.col("pending_paise"))]
     parts += [one(p.groupBy(k.alias("k")).agg(F.sum("paise").alias("p")), g, "p") for g, k in (("vendor", F.col("vendor")), ("month", month_of(F.col("paid_on"))))]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
@@ -380,10 +380,10 @@ def q_rank_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(s, [F.col("sanction_paise").desc(), F.col("work_key")], "place").where((F.col("place") <= budget) & (F.col("sanction_paise") > 0)).select("work_key", "place")
 
 
-@query(using("pay") + " SELECT record_id, is_repeat FROM pay")
+@query("SELECT record_id, copies, copies > 1 AS any_copy, record_id > first_record AS is_repeat FROM (SELECT record_id, count(*) OVER k AS copies, min(record_id) OVER k AS first_record FROM expenditure WINDOW k AS (PARTITION BY " + ", ".join(W.KINDS) + "))")
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that repeat an earlier one."""
-    return W.payments(spark, sf_dir).select("record_id", "is_repeat")
+    """How many rows are of a row's kind, whether there are others, and whether one is earlier."""
+    return W.payments_with_repeats(spark, sf_dir).select("record_id", "copies", (F.col("copies") > 1).alias("any_copy"), "is_repeat")
 
 
 @query("SELECT cohort, work_recommendation_dtl_id, max(record_id) AS record_id, CAST(arg_max(recommended_amount, record_id) AS VARCHAR) AS recommended_amount FROM (SELECT *, coalesce(recommended_amount, '-') AS r FROM works_recommended) WHERE work_recommendation_dtl_id IS NOT NULL AND recommended_amount IS NOT NULL GROUP BY 1, 2")
@@ -437,7 +437,7 @@ EDGES = [(0, "none"), (19, "low"), (39, "medium")]
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works with example flags; comparisons with nulls are false."""
-    w = W.works_with_payments(spark, sf_dir)
+    w = W.works_with_payments(spark, sf_dir, repeats=True)
     sure = lambda c: F.coalesce(c, F.lit(False))
     return w.select(
         "work_key",

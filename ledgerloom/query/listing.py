@@ -84,14 +84,13 @@ def vendor_works(works: DataFrame, payments: DataFrame, vendor: str) -> DataFram
     return works.join(payments.where(F.col("vendor") == vendor).select("work_key"), "work_key", "left_semi")
 
 
-def resolved_names(names: DataFrame, question: str) -> list[tuple[str, str]]:
-    """``(key, name)`` of the entities whose whole normalised name stands in a question, the longest names first.
+def resolved_names(names: DataFrame, question: str) -> DataFrame:
+    """``kind, key, name`` of the entities whose whole normalised name stands in a question: those of the longest name.
 
-    ``names`` has ``key, name, phrase``; an authority may also be meant by what stands before its bracket. Fewer than
-    ``LONGEST_VALUE`` matches are ever returned.
+    ``names`` has ``kind, key, name, phrase``; an authority may also have what stands before its bracket as a phrase.
+    Phrases of less than three characters are no names. The result stays a table: names may be many.
     """
     padded = F.lit(f" {question} ")
     hit = names.where((F.length("phrase") >= 3) & padded.contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    rows = hit.select("key", "name", F.length("phrase").alias("n")).distinct().orderBy(F.col("n").desc(), "key").limit(LONGEST_VALUE).collect()
-    longest = rows[0]["n"] if rows else 0
-    return [(r["key"], r["name"]) for r in rows if r["n"] == longest]
+    longest = hit.agg(F.max(F.length("phrase"))).first()[0] or 0
+    return hit.where(F.length("phrase") == longest).select("kind", "key", "name").distinct()

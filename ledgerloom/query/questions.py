@@ -1,65 +1,151 @@
-"""Questions in plain English, compiled to one grouped query without any language model.
+"""Questions in plain English, compiled to one query without a language model.
 
-A question is reduced to words; tables of phrases tell its measure, its grouping, filters, direction and number of
-rows. What isn't understood is refused with a reason. Values reach the query as bound parameters only.
+A question is read once from left to right. At each place the longest phrase of a lexicon becomes a mark (a measure, a
+grouping, a filter, a rank, a number and so on); other words only keep their distance. What the marks say together is
+looked up in small tables: which measure is meant, one figure or a ranking, which way, and how many rows. Values reach
+the query as bound parameters; text of the question never becomes SQL.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-LONGEST_QUESTION = 300
+from ledgerloom.query.listing import resolved_names
+
+LONGEST_QUESTION, MOST_ROWS, USUAL_ROWS = 300, 50, 10
+#: Shares and means of a group say something from so many works on.
+SUPPORT = 20
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A measure: its SQL over works, whether more is better (None: neither), and phrases that name it."""
+    """What can be asked for: SQL over works, kind of value, whether more is better (None: neither), the column it needs."""
 
-    name: str
     sql: str
-    kind: str
-    more_is_better: bool | None
-    phrases: tuple[str, ...]
-
-
-#: In order of precedence: phrases of several words come before the single words they contain.
-MEASURES = (
-    Measure("repeat_payments", "count_if(any_repeat)", "count", False, ("repeated payments", "repeat payments", "duplicate payments", "repeated payment")),
-    Measure("avg_sanction", "avg(sanction_paise)", "money", None, ("average sanction", "mean sanction", "average amount", "average cost")),
-    Measure("settled_share", "sum(paid_paise) / nullif(sum(sanction_paise), 0)", "share", True, ("settled to sanction", "paid share", "utilisation", "utilization", "settled ratio", "spend ratio")),
-    Measure("over_paid", "count_if(paid_paise > sanction_paise)", "count", False, ("paid over sanction", "overpaid", "payments above sanction")),
-    Measure("unpaid", "count_if(is_sanctioned and success_rows = 0)", "count", False, ("no payment", "without payment", "unpaid")),
-    Measure("delayed", "count_if(date_diff(sanction_date, recommendation_date) > 45)", "count", False, ("sanction delay", "delays", "delayed", "delay", "late")),
-    Measure("pending_paise", "sum(pending_paise)", "money", None, ("pending payments", "pending", "in progress", "unsettled")),
-    Measure("paid_paise", "sum(paid_paise)", "money", None, ("settled", "paid", "spent", "expenditure", "payments", "spending")),
-    Measure("sanction_paise", "sum(sanction_paise)", "money", None, ("sanctioned amount", "sanction amount", "sanctioned value", "funds sanctioned")),
-    Measure("sanctioned", "count_if(is_sanctioned)", "count", None, ("sanctioned works", "sanctioned")),
-    Measure("works", "count(*)", "count", None, ("works", "projects")),
-)
-#: Grouping column, the words for it, and whether the table of works can group by it.
-GROUPS = (
-    ("ida", ("districts", "district", "authorities", "authority")),
-    ("profile", ("members", "member", "mps", "mp")),
-    ("vendor", ("vendors", "vendor", "contractors", "contractor", "suppliers")),
-    ("activity", ("activities", "activity", "categories", "category", "kinds of work")),
-    ("cohort", ("cohorts", "cohort", "chamber", "chambers")),
-    ("sanction_fy", ("sanction years", "sanction year", "financial year", "by year", "per year")),
-    ("state", ("states", "state", "regions", "region")),
-    ("month", ("months", "month", "monthly")),
-)
-COHORTS = (("rs_sitting", ("sitting",)), ("rs_retired", ("retired",)), ("upper", ("upper house",)), ("lok_sabha", ("lower house",)))
-UP = ("top", "most", "highest", "largest", "biggest", "worst", "poorest", "maximum")
-DOWN = ("bottom", "least", "lowest", "fewest", "smallest", "best", "minimum")
-COUNTING = ("how many", "how much", "total", "overall", "in total", "number of")
-#: Words of judgement and of prophecy, which the data can't answer.
-LOADED = ("corrupt", "corruption", "fraud", "fraudulent", "guilty", "criminal", "scam", "bribe", "thief")
-PROPHECY = ("predict", "prediction", "forecast", "will", "next year", "future")
+    kind: str = "count"
+    more_is_better: bool | None = None
+    needs: str | None = None
+    over_payments: str | None = None
+
+
+def _counted(column: str, more_is_better: bool | None = False) -> Measure:
+    return Measure(f"count_if({column})", "count", more_is_better, column)
+
+
+#: The last one is meant if a question names a group or a filter, but no measure.
+MEASURES = {
+    "sanction_paise": Measure("sum(sanction_paise)", "money"),
+    "paid_paise": Measure("sum(paid_paise)", "money", over_payments="sum(CASE WHEN is_success THEN paise ELSE 0 END)"),
+    "pending_paise": Measure("sum(pending_paise)", "money", over_payments="sum(CASE WHEN is_success THEN 0 ELSE paise END)"),
+    "mean_sanction": Measure("avg(sanction_paise)", "mean"),
+    "mean_score": Measure("avg(score)", "mean", False, "score"),
+    "paid_share": Measure("sum(paid_paise) / nullif(sum(sanction_paise), 0)", "share", True),
+    "completed_share": Measure("count_if(is_completed) / nullif(count_if(is_sanctioned), 0)", "share", True, "is_completed"),
+    "high_score": Measure("count_if(band IN ('high', 'critical'))", "count", False, "band"),
+    "sanctioned": _counted("is_sanctioned", None),
+    "completed": _counted("is_completed", True),
+    "open_long": _counted("open_over_year"),
+    "unpaid": _counted("unpaid_3_months"),
+    "slow_sanction": _counted("slow"),
+    "not_sanctioned": _counted("pending_45_days"),
+    "over_paid": _counted("over_paid"),
+    "over_completed": _counted("completion_over_sanction"),
+    "march": _counted("march"),
+    "repeats": _counted("any_repeat"),
+    "completed_unpaid": _counted("completed_unpaid"),
+    "dear": _counted("cost_outlier"),
+    "alike": _counted("has_similar"),
+    "works": Measure("count(*)", over_payments="count(DISTINCT work_key)"),
+}
+#: Phrases of measures; ``a|b`` are alternatives for one word.
+SAID = {
+    "sanction_paise": "sanction|sanctioned|sanctions amount|amounts|value|money|funds; funds|money|amount|amounts sanctioned; value of sanctions",
+    "paid_paise": "paid; payments|payment; spent|spending|spend; settled|settlement|settlements; disbursed|disbursement|disbursements; expenditure; money|funds|amount paid|spent|disbursed",
+    "pending_paise": "pending|unsettled|outstanding payments|payment|amount|amounts|money; payments|payment pending|outstanding|in progress; unsettled; pending",
+    "mean_sanction": "average|mean|typical cost|amount|value|sanction",
+    "mean_score": "priority|review score|scores",
+    "paid_share": "settled|paid to|against|of sanction|sanctioned|sanctions; utilisation|utilization; spend|payment|spending ratio|rate",
+    "high_score": "high|critical priority; high|critical score|scores; high risk; flagged works|projects; need|needs|needing review|attention",
+    "sanctioned": "sanctioned works|projects; works|projects sanctioned; sanctioned|approved",
+    "completed": "completed|finished works|projects; works|projects completed|finished; completed|finished|completions",
+    "open_long": "delays|delay|delayed|overdue|late; open over|beyond|after a|one year; unfinished after a|one year; stuck|stalled",
+    "unpaid": "no|without payment|payments|spending; unpaid|untouched; never paid",
+    "slow_sanction": "sanction|approval delay|delays; slow|late sanction|sanctions|approval|approvals; delayed sanction|sanctions|approval",
+    "not_sanctioned": "awaiting|waiting sanction|approval; awaiting|waiting for sanction|approval; not|never|yet sanctioned|approved; pending recommendations|recommendation|sanction|sanctions|approval",
+    "over_paid": "overpaid|overspent; paid|payments|payment|spent over|above|beyond|exceeding sanction|sanctions|sanctioned; paid more than sanctioned",
+    "over_completed": "completion|completed cost|amount|costs|amounts over|above|beyond sanction; completion|completed over|above|beyond sanction; cost overrun|overruns",
+    "march": "march rush|spending|payments; year end rush|spending; rush",
+    "repeats": "repeat|repeated|duplicate|duplicated|double payment|payments; paid twice",
+    "dear": "cost outliers|outlier; unusually|unusual costly|expensive|high cost|costs; outliers; costly|expensive works|projects",
+    "alike": "similar|duplicate|duplicated|alike works|projects|descriptions; near duplicates; duplicates",
+    "works": "works|work; projects|project; recommendations",
+}
+#: What two measures said together mean, and what a measure means beside a word for a share or a mean.
+TOGETHER = {frozenset({"completed", "unpaid"}): "completed_unpaid", frozenset({"completed", "sanctioned"}): "completed"}
+AS_SHARE = {"paid_paise": "paid_share", "sanction_paise": "paid_share", "completed": "completed_share", "completed_unpaid": "completed_unpaid"}
+AS_MEAN = {"sanction_paise": "mean_sanction", "sanctioned": "mean_sanction", "high_score": "mean_score", "mean_score": "mean_score"}
+#: Columns that works can be grouped by (``vendor`` and ``month``: payments), and the words for them.
+GROUPED = {
+    "ida": "district|districts authority|authorities; district|districts; authority|authorities; agency|agencies",
+    "profile": "member|members of parliament; member|members; mp|mps; parliamentarian|parliamentarians",
+    "activity": "kind|kinds|type|types of work|works; activity|activities; category|categories; sector|sectors",
+    "sanction_fy": "financial|fiscal|sanction year|years; year|years",
+    "cohort": "cohort|cohorts; chamber|chambers; house|houses",
+    "band": "priority|score band|bands; band|bands",
+    "vendor": "vendor|vendors; contractor|contractors; supplier|suppliers; payee|payees",
+    "state": "state|states; region|regions",
+    "month": "month|months|monthly",
+}
+COHORTS = {
+    ("lok_sabha",): "lok sabha; lower house|chamber",
+    ("rs_sitting",): "rajya sabha sitting; sitting members|member|mps; sitting",
+    ("rs_retired",): "rajya sabha retired; retired members|member|mps; former members|mps; retired",
+    ("rs_sitting", "rs_retired"): "rajya sabha; upper house|chamber",
+}
+RANKS = {
+    "many": "top|highest|most|largest|biggest|greatest|leading|maximum|max",
+    "few": "bottom|lowest|least|fewest|smallest|minimum|min",
+    "bad": "worst|poorest|weakest",
+    "good": "best|strongest|healthiest",
+}
+#: Whether a ranking begins at the large end, by the sense of its word and by whether more of the measure is better.
+LARGE_FIRST = {
+    ("many", True): True, ("many", False): True, ("many", None): True,
+    ("few", True): False, ("few", False): False, ("few", None): False,
+    ("bad", True): False, ("bad", False): True, ("bad", None): True,
+    ("good", True): True, ("good", False): False, ("good", None): False,
+}
+OTHERS = {
+    "ask": "which|what|who|list|show|compare|rank|ranking|give",
+    "count": "how many|much; number|total|sum|count of; total|overall|altogether",
+    "share": "ratio|rate|share|percentage|percent|proportion",
+    "mean": "average|mean|typical",
+    "place": "first|last",
+    "by": "by|per|each|every|across",
+    "fiscal": "fy; financial|fiscal year",
+    "blame": "corrupt|corruption|fraud|fraudulent|guilty|criminal|criminals|scam|scams|bribe|bribes|bribery|thief|thieves|steal|stole|stolen|cheat|cheats|crook|crooks",
+    "future": "predict|predicts|predicted|prediction|predictions; forecast|forecasts; will; next month|year; future; going to; tomorrow",
+}
 NUMBERS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)} | {"fifteen": 15, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50}
-SUPPORT = 20
+SPANS = {"day", "days", "week", "weeks", "month", "months", "year", "years"}
+#: One figure (not a ranking) without a group, by: is there a filter, a word for counting, a word for ranking, another
+#: word that asks for a list.
+ONE_FIGURE = {(True, True, False, False), (True, True, True, False), (True, True, False, True), (True, True, True, True), (True, False, False, False), (False, True, False, False), (False, True, False, True)}
+
+
+@dataclass(frozen=True)
+class Mark:
+    """A phrase's meaning: its kind and value, the place of its first word and how many words it has."""
+
+    kind: str
+    value: object
+    at: int
+    words: int
 
 
 @dataclass(frozen=True)
@@ -70,15 +156,23 @@ class Refusal:
     reason: str
 
 
+@dataclass(frozen=True)
+class Choice:
+    """Several entities of that name: ``names`` has their keys and names, so one can be asked for."""
+
+    question: str
+    names: DataFrame
+
+
 @dataclass(frozen=True)
 class Intent:
     """What a question asks for."""
 
-    measure: Measure
+    measure: str
     group: str | None
     filters: dict[str, list[str]] = field(default_factory=dict)
     descending: bool = True
-    limit: int = 10
+    limit: int = USUAL_ROWS
     notes: tuple[str, ...] = ()
 
 
@@ -94,120 +188,202 @@ class Answer:
     rows: DataFrame
     notes: tuple[str, ...]
 
+    def summary(self) -> str:
+        """A sentence about the first row; ``None found`` for a ranking without rows."""
+        row = self.rows.first()
+        if row is None:
+            return "None found"
+        return f"{row['name']} comes first with {row['value']}" if "name" in self.rows.columns else f"{row['value']} over {row['works']} works"
 
-def plain(text: str) -> str:
-    """Lower case, only letters, digits and single blanks, padded with blanks."""
-    return f" {' '.join(re.sub('[^a-z0-9]+', ' ', text.lower()).split())} "
 
-
-def _first(text: str, table):
-    return next((name for name, phrases in table if any(f" {p} " in text for p in phrases)), None)
-
-
-def fiscal_year_in(question: str) -> str | None:
-    """``YYYY-YYYY`` of a fiscal year in a question, ``invalid`` if its years don't follow each other, else None."""
-    found = re.search(r"\b(20\d{2})\s*[-/–]\s*((?:20)?\d{2})\b", question) or re.search(r"\bfy\s*(20\d{2})\s+((?:20)?\d{2})\b", question.lower())
-    if not found:
-        return None
-    first, second = int(found[1]), int(found[2]) % 100
-    return f"{first}-{first + 1}" if (first + 1) % 100 == second else "invalid"
-
-
-def limit_in(text: str) -> int:
-    """Rows asked for, 1 to 50, ten without a number: only numbers after a ranking word or before a group's name count,
-    so neither years nor durations do."""
-    text = re.sub(r" 20\d{2} (?:20)?\d{2} ", " ", text)
-    number = r"(\d{1,3}|" + "|".join(NUMBERS) + ")"
-    nouns = "|".join(w for _, words in GROUPS for w in words if w not in ("months", "month", "by year", "per year"))
-    found = re.search(rf" (?:{'|'.join((*UP, *DOWN, 'first', 'last'))}) {number} ", text) or re.search(rf" {number} (?:[a-z]+ )?(?:{nouns}) ", text)
-    if not found:
-        return 10
-    return max(1, min(50, int(found[1]) if found[1].isdigit() else NUMBERS[found[1]]))
-
-
-def understood(question: str, states: Sequence[str]) -> Intent | Refusal:
-    """The intent of a question, or why it is refused. State names are compared in plain form, longest first."""
+def plain(text: str) -> str:
+    """Lower case, only letters, digits and single blanks."""
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+def _phrases(said: str) -> Iterable[tuple[str, ...]]:
+    """All word sequences that a text of alternatives stands for."""
+    for phrase in said.split(";"):
+        grown: list[tuple[str, ...]] = [()]
+        for word in phrase.split():
+            grown = [(*before, choice) for before in grown for choice in word.split("|")]
+        yield from grown
+
+
+def _lexicon() -> dict[tuple[str, ...], list[tuple[str, object]]]:
+    tables = [("measure", SAID), ("group", GROUPED), ("cohort", COHORTS), ("rank", RANKS)]
+    out: dict[tuple[str, ...], list[tuple[str, object]]] = {}
+    for kind, table in [*tables, *((k, {True: said}) for k, said in OTHERS.items())]:
+        for value, said in table.items():
+            for phrase in _phrases(said):
+                out.setdefault(phrase, []).append((kind, value))
+    for word, number in NUMBERS.items():
+        out.setdefault((word,), []).append(("number", number))
+    return out
+
+
+LEXICON = _lexicon()
+LONGEST_PHRASE = max(map(len, LEXICON))
+
+
+def marks(question: str, states: Sequence[str]) -> list[Mark]:
+    """The marks of a question. A state's name is a phrase like any other; a number with a unit of time is a span, two
+    numbers that follow each other as years are a fiscal year (``None`` if they don't)."""
+    words = re.findall("[a-z0-9]+", question.lower())
+    hyphened = {m.group() for m in re.finditer(r"\d+\s*[-/–]\s*\d+", question)}
+    lexicon = dict(LEXICON)
+    for state in sorted(states, reverse=True):
+        lexicon[tuple(plain(state).split())] = [("state", state)]
+    longest = max([LONGEST_PHRASE, *(len(p) for p in lexicon)])
+    out: list[Mark] = []
+    at = 0
+    while at < len(words):
+        if words[at].isdigit():
+            after = words[at + 1] if at + 1 < len(words) else ""
+            paired = len(words[at]) == 4 and words[at].startswith("20") and after.isdigit() and (len(after) == 2 or (len(after) == 4 and after.startswith("20")))
+            joined = any(re.fullmatch(rf"{words[at]}\s*[-/–]\s*{after}", h) for h in hyphened)
+            if paired and (joined or (out and out[-1].kind == "fiscal" and out[-1].at + out[-1].words == at)):
+                first = int(words[at])
+                follows = (first + 1) % 100 == int(after) % 100 and (len(after) == 2 or int(after) == first + 1)
+                out.append(Mark("year", f"{first}-{first + 1}" if follows else None, at, 2))
+                at += 2
+                continue
+        size = next((n for n in range(min(longest, len(words) - at), 0, -1) if tuple(words[at : at + n]) in lexicon), 0)
+        meant = lexicon.get(tuple(words[at : at + size]), []) if size else []
+        if not size and words[at].isdigit() and len(words[at]) <= 3:
+            meant, size = [("number", int(words[at]))], 1
+        if meant and meant[0][0] == "number" and at + 1 < len(words) and words[at + 1] in SPANS:
+            meant, size = [("span", None)], 2
+        out += [Mark(kind, value, at, size) for kind, value in meant]
+        at += max(1, size)
+    return out
+
+
+def _measure(found: list[Mark]) -> str | None:
+    """The measure that is meant: combinations first, then the longest phrase, the earlier of equals; ``works`` last."""
+    said = [m for m in found if m.kind == "measure"]
+    kinds = {m.kind for m in found}
+    named = {m.value for m in said}
+    best = next((whole for parts, whole in TOGETHER.items() if parts <= named), None)
+    if best is None:
+        ranked = sorted(said, key=lambda m: (m.value == "works", -m.words, m.at))
+        best = ranked[0].value if ranked else None
+    if "share" in kinds:
+        best = AS_SHARE.get(best, best)
+    if "mean" in kinds:
+        best = AS_MEAN.get(best, best)
+    return best
+
+
+def _group(found: list[Mark]) -> str | None:
+    """The grouping: what stands after ``by`` and the like, else what is named first."""
+    groups = [m for m in found if m.kind == "group"]
+    ends = {m.at + m.words for m in found if m.kind == "by"}
+    first = sorted(groups, key=lambda m: (m.at not in ends, m.at))
+    return first[0].value if first else None
+
+
+def _rows(found: list[Mark]) -> int:
+    """Rows asked for: a number right after a word for ranking, or before a group with one word at most in between."""
+    ranks = {m.at + m.words for m in found if m.kind in ("rank", "place")}
+    groups = {m.at for m in found if m.kind == "group"}
+    asked = [m.value for m in found if m.kind == "number" and (m.at in ranks or m.at + 1 in groups or m.at + 2 in groups)]
+    return max(1, min(MOST_ROWS, asked[0])) if asked else USUAL_ROWS
+
+
+def understood(question: str, states: Sequence[str], columns: Iterable[str] | None = None) -> Intent | Refusal:
+    """The intent of a question, or why it is refused. ``columns``: those the works have (None: all that are needed)."""
     if not question.strip():
         return Refusal(question, "nothing was asked")
     if len(question) > LONGEST_QUESTION:
         return Refusal(question, f"a question has {LONGEST_QUESTION} characters at most")
-    text = plain(question)
-    if any(f" {w} " in text for w in LOADED):
-        return Refusal(question, "the records show payments and dates, not guilt")
-    if any(f" {w} " in text for w in PROPHECY):
-        return Refusal(question, "the records say nothing about the future")
-    measure = next((m for m in MEASURES if any(f" {p} " in text for p in m.phrases)), None)
-    group = _first(text, GROUPS)
-    filters: dict[str, list[str]] = {}
-    state = next((s for s in sorted(states, key=len, reverse=True) if plain(s) in text), None)
-    if state:
-        filters["state"] = [state]
-    if cohort := _first(text, COHORTS):
-        filters["cohort"] = ["rs_sitting", "rs_retired"] if cohort == "upper" else [cohort]
-    year = fiscal_year_in(question)
-    if year == "invalid":
+    found = marks(question, states)
+    kinds = {m.kind for m in found}
+    for kind, reason in (("blame", "the records show payments and dates, not guilt"), ("future", "the records say nothing about the future")):
+        if kind in kinds:
+            return Refusal(question, reason)
+    years = [m.value for m in found if m.kind == "year"]
+    if None in years:
         return Refusal(question, "a fiscal year is two years that follow each other")
-    if year:
-        filters["sanction_fy"] = [year]
-    if measure is None:
-        if not (filters or group):
-            return Refusal(question, "no measure was recognised")
-        measure = MEASURES[-1]
-    if group == "state" and state:
+    filters: dict[str, list[str]] = {"sanction_fy": years[:1]} if years else {}
+    filters |= {k: [m.value] for k in ("state",) for m in found[::-1] if m.kind == k}
+    filters |= {"cohort": list(m.value) for m in found[::-1] if m.kind == "cohort"}
+    # A word of a filter or of a year names no group.
+    measure, group = _measure(found), _group([m for m in found if not (m.kind == "group" and any(o.kind in ("fiscal", "cohort") and o.at <= m.at < o.at + o.words for o in found))])
+    if measure is None and not (filters or group):
+        return Refusal(question, "no measure was recognised")
+    measure = measure or "works"
+    if group == "state" and "state" in filters:
         group = "ida"
-    ranked = any(f" {w} " in text for w in UP + DOWN)
-    counting = any(f" {w} " in text for w in COUNTING)
-    asking = bool(group) or ranked or text.split()[0] in ("which", "what", "list", "rank", "show", "compare")
-    single = not group and ((bool(filters) and (counting or not asking)) or (counting and not ranked))
-    if not group and not single:
+    senses = [m.value for m in found if m.kind == "rank"]
+    if group is None and (bool(filters), "count" in kinds, bool(senses), "ask" in kinds) not in ONE_FIGURE:
         group = "state"
-    if group == "vendor" and (filters or measure.name not in ("paid_paise", "pending_paise", "works")):
-        return Refusal(question, "vendors are known by their payments alone, without filters")
-    if group == "month" and (set(filters) - {"state"} or measure.name not in ("paid_paise", "pending_paise")):
-        return Refusal(question, "months have payments alone, for all or for one state")
-    descending = not any(f" {w} " in text for w in DOWN) or any(f" {w} " in text for w in ("top", "most", "highest"))
-    if any(f" {w} " in text for w in ("worst", "poorest")):
-        descending = not measure.more_is_better
-    if " best " in text:
-        descending = bool(measure.more_is_better)
-    notes = ("totals are shown, no averages",) if any(f" {w} " in text for w in ("average", "mean")) and measure.kind != "share" and measure.name != "avg_sanction" else ()
-    return Intent(measure, group, filters, descending, limit_in(text), notes)
+    about = MEASURES[measure]
+    if group in ("vendor", "month"):
+        if about.over_payments is None or (group == "month" and measure == "works"):
+            return Refusal(question, f"a {group} is known by its payments alone")
+        if set(filters) - ({"state"} if group == "month" else set()):
+            return Refusal(question, "vendors are known without filters, months for all or for one state")
+    elif columns is not None and about.needs and about.needs not in columns:
+        return Refusal(question, f"these works have no {about.needs}")
+    sense = next((s for s in ("good", "bad", "many", "few") if s in senses), "many")
+    averaged = "mean" in kinds and about.kind not in ("mean", "share")
+    return Intent(measure, group, filters, LARGE_FIRST[sense, about.more_is_better], _rows(found), ("totals are shown, no averages",) if averaged else ())
 
 
 def compiled(intent: Intent) -> tuple[str, dict[str, str]]:
     """SQL text over ``works`` (or ``payments``) and its parameters. Only fixed fragments become SQL."""
-    params, where = {}, []
-    for column, values in sorted(intent.filters.items()):
-        names = [f"{column}_{i}" for i in range(len(values))]
-        params |= dict(zip(names, values, strict=True))
-        where.append(f"{column} IN ({', '.join(':' + n for n in names)})")
-    source, measure = "works", intent.measure.sql
-    group = intent.group
-    if group in ("vendor", "month"):
-        source = "payments"
-        measure = {"paid_paise": "sum(CASE WHEN is_success THEN paise ELSE 0 END)", "pending_paise": "sum(CASE WHEN is_success THEN 0 ELSE paise END)", "works": "count(DISTINCT work_key)"}[intent.measure.name]
-    count = "count(*)"
-    if group is None:
-        return f"SELECT {count} AS works, {measure} AS value FROM {source}" + (f" WHERE {' AND '.join(where)}" if where else ""), params
-    column = "date_format(paid_on, 'yyyy-MM')" if group == "month" else group
-    where.append(f"{column} IS NOT NULL")
-    having = f" HAVING {count} >= {SUPPORT}" if intent.measure.kind == "share" or intent.measure.name == "avg_sanction" else ""
-    if intent.measure.kind == "count" and intent.descending and intent.measure.name not in ("works", "sanctioned"):
-        having = f" HAVING {measure} > 0"
+    about = MEASURES[intent.measure]
+    source, value = ("payments", about.over_payments) if intent.group in ("vendor", "month") else ("works", about.sql)
+    bound = {f"{column}_{i}": v for column, values in sorted(intent.filters.items()) for i, v in enumerate(values)}
+    tests = [f"{column} IN ({', '.join(f':{column}_{i}' for i in range(len(values)))})" for column, values in sorted(intent.filters.items())]
+    said = f"count(*) AS works, {value} AS value FROM {source}"
+    if intent.group is None:
+        return f"SELECT {said}" + (f" WHERE {' AND '.join(tests)}" if tests else ""), bound
+    name = "date_format(paid_on, 'yyyy-MM')" if intent.group == "month" else intent.group
+    kept = ""
+    if about.kind in ("share", "mean"):
+        kept = f" HAVING count(*) >= {SUPPORT}"
+    elif about.kind == "count" and about.needs not in (None, "is_sanctioned") and intent.descending:
+        kept = f" HAVING {value} > 0"
     way = "DESC NULLS LAST" if intent.descending else "ASC NULLS FIRST"
-    return f"SELECT {column} AS name, {count} AS works, {measure} AS value FROM {source} WHERE {' AND '.join(where)} GROUP BY {column}{having} ORDER BY value {way}, works DESC, name LIMIT {intent.limit}", params
+    return f"SELECT {name} AS name, {said} WHERE {' AND '.join([*tests, f'{name} IS NOT NULL'])} GROUP BY {name}{kept} ORDER BY value {way}, works DESC, name LIMIT {intent.limit}", bound
+
 
+def states_in(question: str, states: DataFrame) -> list[str]:
+    """The states of a one-column table whose names stand in a question: found where the table lies, so only as many
+    come back as a question has places for. Of names that differ in punctuation alone the smallest stands for all."""
+    name = F.col(states.columns[0])
+    form = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    hit = states.select(form.alias("form"), name.alias("name")).where((F.length("form") > 0) & F.lit(f" {plain(question)} ").contains(F.concat(F.lit(" "), F.col("form"), F.lit(" "))))
+    return [r["name"] for r in hit.groupBy("form").agg(F.min("name").alias("name")).collect()]
 
-def asked(question: str, works: DataFrame, payments: DataFrame) -> Answer | Refusal:
-    """Answer a question from a table of works with payments and the payments' ledger."""
-    spark = works.sparkSession
-    states = [r[0] for r in works.where("state is not null").select("state").distinct().limit(10_000).collect()]
-    intent = understood(question, states)
+
+def asked(question: str, works: DataFrame, payments: DataFrame, states: DataFrame | None = None, names: DataFrame | None = None) -> Answer | Choice | Refusal:
+    """Answer a question from a table of works with payments and the payments' ledger.
+
+    ``states``: a table of state names (default: those of the works). ``names``: ``kind, key, name, phrase`` of entities
+    of which one may be named instead of a group; ``kind`` is the works' column. Several of one name are a choice.
+    """
+    if not question.strip() or len(question) > LONGEST_QUESTION:
+        return understood(question, [])
+    intent = understood(question, states_in(question, works.select("state") if states is None else states), works.columns)
+    if isinstance(intent, Refusal) and intent.reason != "no measure was recognised":
+        return intent
+    if names is not None:
+        hits = resolved_names(names, plain(question))
+        few = hits.take(2)
+        if len(few) > 1:
+            return Choice(question, hits)
+        if few and (isinstance(intent, Refusal) or intent.group not in ("vendor", "month", few[0]["kind"])):
+            before = Intent("works", None) if isinstance(intent, Refusal) else intent
+            kinds = {m.kind for m in marks(question, [])}
+            intent = Intent(before.measure, None if not kinds & {"group", "rank"} else before.group, before.filters | {few[0]["kind"]: [few[0]["key"]]}, before.descending, before.limit, before.notes)
     if isinstance(intent, Refusal):
         return intent
     sql, params = compiled(intent)
-    source = "payments" if "FROM payments" in sql else "works"
-    rows = spark.sql(sql.replace(f"FROM {source}", f"FROM {{{source}}}"), args=params, **{source: payments if source == "payments" else works})
-    said = f"{intent.measure.name} by {intent.group or 'all'}" + "".join(f", {k} = {' or '.join(v)}" for k, v in sorted(intent.filters.items()))
-    columns = ([("name", "text")] if intent.group else []) + [("works", "count"), ("value", intent.measure.kind)]
+    source = "payments" if intent.group in ("vendor", "month") else "works"
+    rows = works.sparkSession.sql(sql.replace(f"FROM {source}", f"FROM {{{source}}}"), args=params, **{source: payments if source == "payments" else works})
+    said = f"{intent.measure} by {intent.group or 'all'}" + "".join(f", {k} = {' or '.join(v)}" for k, v in sorted(intent.filters.items()))
+    columns = ([("name", "text")] if intent.group else []) + [("works", "count"), ("value", MEASURES[intent.measure].kind)]
     return Answer(question, said, sql, params, columns, rows, intent.notes)

@@ -15,10 +15,10 @@ def intent(q):
     "question,measure,group,descending,limit",
     [
         ("top states by pending payments", "pending_paise", "state", True, 10),
-        ("bottom 5 states by settled-to-sanction ratio", "settled_share", "state", False, 5),
-        ("Worst three states by utilisation", "settled_share", "state", False, 3),
-        ("best states by utilisation", "settled_share", "state", True, 10),
-        ("Which districts in Uttar Tor have the most delays?", "delayed", "ida", True, 10),
+        ("bottom 5 states by settled-to-sanction ratio", "paid_share", "state", False, 5),
+        ("Worst three states by utilisation", "paid_share", "state", False, 3),
+        ("best states by utilisation", "paid_share", "state", True, 10),
+        ("Which districts in Uttar Tor have the most delays?", "open_long", "ida", True, 10),
         ("top states with no payment after three months in 2024-25", "unpaid", "state", True, 10),
         ("Top 99 vendors by payments", "paid_paise", "vendor", True, 50),
         ("states in Uttar Tor by payments", "paid_paise", "ida", True, 10),
@@ -27,7 +27,7 @@ def intent(q):
 )
 def test_rankings(question, measure, group, descending, limit):
     i = intent(question)
-    assert (i.measure.name, i.group, i.descending, i.limit) == (measure, group, descending, limit)
+    assert (i.measure, i.group, i.descending, i.limit) == (measure, group, descending, limit)
 
 
 def test_filters_and_single_numbers():
@@ -58,6 +58,25 @@ def test_answers(spark):
     assert [r["name"] for r in Q.asked("top vendors by pending payments", w, pay).rows.collect()] == ["V2", "V1"]
     assert [r["name"] for r in Q.asked("payments by month", w, pay).rows.collect()] == ["2024-01", "2024-02"]
     assert isinstance(Q.asked("who is guilty", w, pay), Q.Refusal)
+    assert Q.asked("top districts by repeated payments in Tor", w.withColumn("any_repeat", F.lit(False)), pay).summary() == "None found"
+    assert Q.asked("works in Tor", w, pay).summary() == "40 over 40 works"
+    assert isinstance(Q.asked("states by cost outliers", w, pay), Q.Refusal)  # these works have no such column
+    names = spark.createDataFrame([("ida", "A (X)", "A (X)", "alpha"), ("ida", "B", "B", "beta"), ("profile", "p", "Beta", "beta")], "kind string, key string, name string, phrase string")
+    assert Q.asked("works of alpha", w, pay, names=names).params == {"ida_0": "A (X)"}
+    assert Q.asked("tell me about alpha", w, pay, names=names).rows.first()["works"] == 60
+    assert Q.asked("works of beta", w, pay, names=names).names.count() == 2
+    assert isinstance(Q.asked("colour of the sky", w, pay, names=names), Q.Refusal)
+
+
+def test_each_measure_is_reached():
+    for question, measure in {
+        "states by average sanction amount": "mean_sanction", "average priority score by state": "mean_score", "completion": None, "share of completed works by state": "completed_share", "high priority works by state": "high_score",
+        "which states have finished works": "completed", "states with works awaiting sanction": "not_sanctioned", "completed works without payment by state": "completed_unpaid", "cost overruns by state": "over_completed",
+        "march rush by district": "march", "states by works paid over sanction": "over_paid", "sanction delays by state": "slow_sanction", "states by duplicate payments": "repeats", "similar works by district": "alike",
+        "cost outliers by activity": "dear", "sanctioned works by year": "sanctioned", "works by priority band": "works", "money sanctioned by house": "sanction_paise", "how much was spent": "paid_paise",
+    }.items():
+        got = intent(question)
+        assert (got.measure if isinstance(got, Q.Intent) else None) == measure, question
 
 
 def test_listing(spark):
@@ -70,5 +89,6 @@ def test_listing(spark):
     for bad in (lambda: L.WORKS.filtered(w, {"nope": "1"}), lambda: L.WORKS.filtered(w, {}, "nope"), lambda: L.WORKS.page(w, "nope"), lambda: L.WORKS.page(w, "work_key", True, 0), lambda: L.WORKS.filtered(w, {"state": "x" * 301}), lambda: L.WORKS.filtered(w, {}, None, "x" * 201)):
         with pytest.raises(L.BadRequest):
             bad()
-    names = spark.createDataFrame([("k1", "Jaun", "jaun"), ("k2", "Jaun Pur", "jaun pur"), ("k3", "X", "x")], "key string, name string, phrase string")
-    assert L.resolved_names(names, "tell me about jaun pur please") == [("k2", "Jaun Pur")]
+    names = spark.createDataFrame([("ida", "k1", "Jaun", "jaun"), ("ida", "k2", "Jaun Pur", "jaun pur"), ("ida", "k3", "X", "x")], "kind string, key string, name string, phrase string")
+    assert [tuple(r) for r in L.resolved_names(names, "tell me about jaun pur please").collect()] == [("ida", "k2", "Jaun Pur")]
+    assert L.resolved_names(names, "nothing here x").count() == 0

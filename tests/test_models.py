@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import PHASE_WORDS, STOP_WORDS
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import models as M
-from ledgerloom.operators.similar_works import all_similar, best_matches, similar_pairs
+from ledgerloom.operators.similar_works import all_similar, best_matches, scored_pair, similar_pairs
 from ledgerloom.plans.ledger import leave_one_out, prior_peers
 from ledgerloom.streaming import events as S
 
@@ -139,7 +139,7 @@ def test_block_matches_equal_brute_force(spark):
                 continue
             pairs[min(k, o), max(k, o)] = round(similar, 6)
             same = amount is not None and amount == much
-            high = same and similar >= 0.96 and numbers(text) == numbers(there) and len(x | y) >= 4 and not cue.search(text) and not cue.search(there)
+            high = same and similar >= 0.96 and (not numbers(text) or not numbers(there) or numbers(text) == numbers(there)) and min(len(x), len(y)) >= 4 and not cue.search(text) and not cue.search(there)
             best[k] = min(best.get(k, (True, 0, True, "~")), (not high, -round(similar, 6), not same, o))
     how = ("work", ["block"], "text", "amount")
     members, links = all_similar(df, *how)
@@ -161,3 +161,14 @@ def test_registered_draws(spark):
 
     assert analysis.q_bootstrap(spark, "/root/testdata/sf0.001").first()["rounds"] == 1000
     assert analysis.q_budget_seeds(spark, "/root/testdata/sf0.001").select("seed").distinct().count() == 20
+
+
+def test_one_pair_alone(spark):
+    road = "cement road from temple to school 12"
+    rows = [("same", road, 5, road, 5), ("phase", f"{road} phase", 5, road, 5), ("number", road, 5, road.replace("12", "13"), 5), ("no number", road, 5, road.removesuffix(" 12"), 5),
+            ("amount", road, 5, road, 6), ("null amount", road, None, road, None), ("generic", "cement road", 5, "cement road", 5), ("empty", "", 5, None, 5)]
+    df = spark.createDataFrame(rows, "case string, text_a string, amount_a bigint, text_b string, amount_b bigint")
+    got = {r["case"]: r for r in scored_pair(df).collect()}
+    assert {k for k, r in got.items() if r["high"]} == {"same"}
+    assert got["number"]["number_conflict"] and not got["no number"]["number_conflict"] and got["generic"]["generic"] and got["phase"]["phase"]
+    assert got["empty"]["similarity"] == 0.0 and len(got) == len(rows)
