@@ -154,9 +154,10 @@ def concentration(df: DataFrame, group: Sequence[str], member: str, amount: str)
     return each.groupBy(*group).agg(F.round(F.sum(F.col("share") * F.col("share")), 6).alias("hhi"), F.round(F.max("share"), 6).alias("top_share"), F.count(F.lit(1)).alias("members"), F.sum("total").alias("total"))
 
 
-def month_gaps(months: DataFrame, month: str) -> DataFrame:
-    """Months that aren't followed by the next calendar month although a later one exists."""
-    after = F.lead(month).over(Window.partitionBy(F.lit(0)).orderBy(month))
+def month_gaps(months: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
+    """Months (of a group, if ``by`` names one) that aren't followed by the next calendar month although a later one
+    exists. Without groups the months of all lie in one task; they are few."""
+    after = F.lead(month).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(month))
     return months.withColumn("following", after).where(F.col("following").isNotNull() & (F.col("following") != next_month(F.col(month))))
 
 
@@ -174,10 +175,21 @@ def paged(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -
 
 
 def profiled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``field, rows, missing, distinct_values`` of each column (as text; null, blank and ``NA`` are missing)."""
+    """``field, rows, blanks, na_tokens, distinct_values, bytes`` of each column as text.
+
+    Null and cells of blanks only are blanks, ``NA`` is counted apart, neither is a distinct value. Cells are counted by
+    value before the shuffle.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
-    given = F.when(~F.trim("value").isin("", "NA"), F.col("value"))
-    return df.select(F.inline(cells)).groupBy("field").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(given)).alias("missing"), F.count_distinct(given).alias("distinct_values"))
+    plain = F.trim("value")
+    given = F.when(~plain.isin("", "NA"), F.col("value"))
+    return df.select(F.inline(cells)).groupBy("field").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.coalesce(plain, F.lit("")) == "").alias("blanks"),
+        F.count_if(plain == "NA").alias("na_tokens"),
+        F.count_distinct(given).alias("distinct_values"),
+        F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("bigint").alias("bytes"),
+    )
 
 
 def documented(df: DataFrame, name: str, value: Column, meaning: str, source: str = "") -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import binned, fiscal_quarter, fiscal_year, formula_safe, last_days_of_fiscal_year, listed_reasons, material, month_of, next_month, ratio
-from ledgerloom.functions.values import amount_paise, present
+from ledgerloom.functions.values import amount_paise, date_of, present
+from ledgerloom.operators import peers as P
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import works as W
-from ledgerloom.plans.sql import fy, given, paise, using
+from ledgerloom.plans.sql import day, fy, given, paise, using
 from ledgerloom.session import staged
 from ledgerloom.sources.tables import table
 
@@ -36,14 +38,37 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- Scans and profiles ---
 
 
+#: The raw exports and their columns of text, as documented.
+_RAW = {
+    "allocated_limit": "cohort mp_name state_name constituency house_of_parliament house_name tenure tenure_start_date tenure_end_date allocated_amt".split(),
+    "works_recommended": "cohort work_recommendation_dtl_id mp_name state_name ida_name constituency constituency_id house_of_parliament tenure work_category activity_name work_description letter_no recommended_amount sanction_amount recommendation_date sanction_date work_stage flag".split(),
+    "works_sanctioned": "cohort work_recommendation_dtl_id mp_name state_name ida_name constituency constituency_id house_of_parliament tenure work_category activity_name work_description letter_no recommended_amount sanction_amount recommendation_date sanction_date work_stage flag".split(),
+    "expenditure": "cohort sno work_recommendation_dtl_id vendor_id vendor_name ia_name work_status state_name ida_name mp_name work_id expenditure_date fund_disbursed_amt".split(),
+}
+_CELLS = "SELECT tab, field, count(*) AS rows, count(*) FILTER (WHERE v IS NULL OR trim(v, ' ') = '') AS blanks, count(*) FILTER (WHERE trim(v, ' ') = 'NA') AS na_tokens, count(DISTINCT v) FILTER (WHERE trim(v, ' ') NOT IN ('', 'NA')) AS distinct_values, CAST(coalesce(sum(strlen(v)), 0) AS BIGINT) AS bytes FROM ("
+
+
+@query(_CELLS + " UNION ALL ".join(f"SELECT '{t}' AS tab, '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM {t}" for t, columns in _RAW.items() for c in columns) + ") GROUP BY tab, field")
+def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank cells, ``NA`` tokens, distinct values and bytes of every text column of the raw exports."""
+    parts = [R.profiled(table(spark, sf_dir, t), columns).select(F.lit(t).alias("tab"), "*") for t, columns in _RAW.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_PROFILED = {"works_recommended": ("recommendation_date", "recommended_amount", "work_stage"), "works_sanctioned": ("sanction_date", "sanction_amount", "work_stage"), "expenditure": ("expenditure_date", "fund_disbursed_amt", "work_status")}
+
+
 @query(
-    "SELECT field, count(*) AS rows, count(*) FILTER (WHERE v IS NULL OR trim(v) IN ('', 'NA')) AS missing, count(DISTINCT v) FILTER (WHERE trim(v) NOT IN ('', 'NA')) AS distinct_values FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS v FROM expenditure" for c in ("cohort", "work_recommendation_dtl_id", "vendor_id", "ia_name", "work_status", "expenditure_date", "fund_disbursed_amt"))
-    + ") GROUP BY field"
+    "SELECT tab, cohort, status, count(*) AS rows, min(d) AS first_day, max(d) AS last_day, CAST(sum(p) AS BIGINT) AS total_paise, count(*) FILTER (WHERE p = 0) AS zero_amounts, count(*) FILTER (WHERE p IS NULL) AS unusable FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS tab, cohort, {status} AS status, {day(d)} AS d, {paise(m)} AS p FROM {t}" for t, (d, m, status) in _PROFILED.items())
+    + ") GROUP BY ALL"
 )
-def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing and distinct values of each column."""
-    return R.profiled(table(spark, sf_dir, "expenditure"), ["cohort", "work_recommendation_dtl_id", "vendor_id", "ia_name", "work_status", "expenditure_date", "fund_disbursed_amt"])
+def q_profile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, sums, zero and unusable amounts of each export, cohort and status."""
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tab"), "cohort", F.col(status).alias("status"), date_of(F.col(d)).alias("d"), amount_paise(F.col(m)).alias("p")) for t, (d, m, status) in _PROFILED.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("tab", "cohort", "status").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.sum("p").alias("total_paise"), F.count_if(F.col("p") == 0).alias("zero_amounts"), F.count_if(F.col("p").isNull()).alias("unusable"),
+    )
 
 
 @query(
@@ -51,7 +76,7 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT cohort, count(*) AS rows, min(paid_on) AS first_day, max(paid_on) AS last_day, count(*) FILTER (WHERE paise = 0) AS zero_amounts, count(*) FILTER (WHERE paise IS NULL) AS unusable, CAST(sum(paise) AS BIGINT) AS total_paise, count(*) FILTER (WHERE is_repeat) AS repeats FROM pay GROUP BY cohort"
 )
 def q_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates, sums, zero and unusable amounts and repeats of each cohort."""
+    """Dates, sums, zero and unusable amounts and repeats of each cohort."""
     p = W.payments_with_repeats(spark, sf_dir)
     return p.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("rows"), F.min("paid_on").alias("first_day"), F.max("paid_on").alias("last_day"), F.count_if(F.col("paise") == 0).alias("zero_amounts"),
@@ -118,13 +143,13 @@ def q_validated_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.matched(W.payments(spark, sf_dir), R.unique_or_raise(v, ["vendor"], "vendors"), ["vendor"]).select("record_id", "match", "payment_row_count")
 
 
-@query(
-    using("san", "rec")
-    + " SELECT s.work_key, f.field, CASE f.field WHEN 'state' THEN r.state WHEN 'description' THEN r.description ELSE CAST(r.recommended_paise AS VARCHAR) END AS first_value, CASE f.field WHEN 'state' THEN s.state WHEN 'description' THEN s.description ELSE CAST(s.recommended_paise AS VARCHAR) END AS second_value FROM san s JOIN rec r ON s.work_key = r.work_key, (VALUES ('state'), ('description'), ('recommended_paise')) AS f(field) WHERE first_value IS DISTINCT FROM second_value"
-)
+_COMPARED = ["state", "ida", "description", "stage", "recommended_paise", "sanction_paise", "recommendation_date", "sanction_date", "profile", "activity"]
+
+
+@query(using("san", "rec") + " " + " UNION ALL ".join(f"SELECT s.work_key, '{c}' AS field, CAST(r.{c} AS VARCHAR) AS first_value, CAST(s.{c} AS VARCHAR) AS second_value FROM san s JOIN rec r ON s.work_key = r.work_key WHERE r.{c} IS DISTINCT FROM s.{c}" for c in _COMPARED))
 def q_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that differ between the exports of one work."""
-    return R.conflicts(W.recommended(spark, sf_dir), W.sanctioned(spark, sf_dir), "work_key", ["state", "description", "recommended_paise"])
+    """The ten fields of both exports, wherever they differ for one work."""
+    return R.conflicts(W.recommended(spark, sf_dir), W.sanctioned(spark, sf_dir), "work_key", _COMPARED)
 
 
 @query(using("rec") + " SELECT a.cohort AS cohort_a, b.cohort AS cohort_b, count(*) AS shared_ids FROM (SELECT DISTINCT cohort, split_part(work_key, ':', 2) AS id FROM rec) a JOIN (SELECT DISTINCT cohort, split_part(work_key, ':', 2) AS id FROM rec) b ON a.id = b.id AND a.cohort < b.cohort GROUP BY 1, 2")
@@ -250,52 +275,90 @@ def q_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT cohort, state, ida, grouping_id(cohort, state, ida) AS level, count(*) AS works, sum(sanction_paise) AS sanction_paise FROM __overview GROUP BY GROUPING SETS ((), (cohort), (state), (state, ida))")
 
 
+_GRAINS = {"vendor": "vendor", "month": "strftime(paid_on, '%Y-%m')", "authority": "ida", "state": "state", "agency": "agency"}
+
+
 @query(
     using("pay", "led")
-    + " SELECT 'ledger' AS grain, CAST(sum(paise) AS BIGINT) AS paise FROM pay WHERE work_key IS NOT NULL UNION ALL SELECT 'work', CAST(sum(paid_paise + pending_paise) AS BIGINT) FROM led UNION ALL SELECT 'vendor', CAST(sum(p) AS BIGINT) FROM (SELECT vendor, sum(paise) AS p FROM pay WHERE work_key IS NOT NULL GROUP BY 1) UNION ALL SELECT 'month', CAST(sum(p) AS BIGINT) FROM (SELECT strftime(paid_on, '%Y-%m') AS m, sum(paise) AS p FROM pay WHERE work_key IS NOT NULL GROUP BY 1)"
+    + " SELECT 'ledger' AS grain, count(*) AS groups, CAST(sum(paise) AS BIGINT) AS paise FROM pay WHERE work_key IS NOT NULL UNION ALL SELECT 'work', count(*), CAST(sum(paid_paise + pending_paise) AS BIGINT) FROM led UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{g}', count(*), CAST(sum(p) AS BIGINT) FROM (SELECT {k} AS k, sum(paise) AS p FROM pay WHERE work_key IS NOT NULL GROUP BY 1)" for g, k in _GRAINS.items())
 )
 def q_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same total at four grains."""
+    """The same total at seven grains."""
     p = W.payments(spark, sf_dir).where("work_key is not null")
-    one = lambda df, grain, c: df.agg(F.sum(c).alias("paise")).select(F.lit(grain).alias("grain"), "paise")
+    one = lambda df, grain, c: df.agg(F.count(F.lit(1)).alias("groups"), F.sum(c).alias("paise")).select(F.lit(grain).alias("grain"), "groups", "paise")
+    keys = {"vendor": F.col("vendor"), "month": month_of(F.col("paid_on")), "authority": F.col("ida"), "state": F.col("state"), "agency": F.col("agency")}
     parts = [one(p, "ledger", "paise"), one(W.ledger_by_work(p, repeats=False), "work", F.col("paid_paise") + F.col("pending_paise"))]
-    parts += [one(p.groupBy(k.alias("k")).agg(F.sum("paise").alias("p")), g, "p") for g, k in (("vendor", F.col("vendor")), ("month", month_of(F.col("paid_on"))))]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    parts += [one(p.groupBy(k.alias("k")).agg(F.sum("paise").alias("p")), g, "p") for g, k in keys.items()]
+    return reduce(DataFrame.union, parts)
 
 
 _PRIOR = using("san") + """, r AS (SELECT state, activity, sanction_fy, ln(1 + sanction_paise / 100.0) AS x FROM (SELECT *, (CAST(year(sanction_date - INTERVAL 3 MONTH) AS VARCHAR) || '-' || CAST(year(sanction_date - INTERVAL 3 MONTH) + 1 AS VARCHAR)) AS sanction_fy FROM san) WHERE sanction_paise > 0 AND sanction_fy IS NOT NULL AND activity IS NOT NULL),
 y AS (SELECT DISTINCT sanction_fy AS fy FROM r)"""
 
 
-@query(
+_PEERS = (
     _PRIOR
     + """, g AS (SELECT fy, state, activity, x FROM y JOIN r ON r.sanction_fy < y.fy WHERE state IS NOT NULL UNION ALL SELECT fy, NULL, activity, x FROM y JOIN r ON r.sanction_fy < y.fy),
-m AS (SELECT *, median(x) OVER (PARTITION BY fy, state, activity) AS med FROM g)
-SELECT fy, state, activity, count(*) AS peers, round(exp(min(med)) - 1, 2) AS median_inr, round(greatest(1.4826 * median(abs(x - med)), 0.1), 6) AS scale FROM m GROUP BY fy, state, activity HAVING count(*) >= 20"""
+m AS (SELECT *, median(x) OVER (PARTITION BY fy, state, activity) AS med FROM g),
+ps AS (SELECT fy, state, activity, count(*) AS peers, min(med) AS med, greatest(1.4826 * median(abs(x - med)), 0.1) AS scale FROM m GROUP BY fy, state, activity HAVING count(*) >= 20)"""
 )
-def q_prior_year_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians and scales of all earlier years, by state and activity and by activity."""
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = W.sanctioned(spark, sf_dir).withColumn("sanction_fy", fiscal_year(F.col("sanction_date")))
-    r = s.where("sanction_paise > 0 and sanction_fy is not null and activity is not null").select("state", "activity", "sanction_fy", F.log1p(F.col("sanction_paise") / 100.0).alias("x"))
-    return prior_peers(r)
+    return s.select("work_key", "state", "activity", "sanction_fy", F.col("sanction_paise").alias("paise"))
 
 
-def prior_peers(r: DataFrame) -> DataFrame:
-    """Peers of each fiscal year among all earlier ones, for ``(state, activity)`` and, with a null state, ``activity``.
+@query(_PEERS + " SELECT fy, state, activity, peers, round(exp(med) - 1, 2) AS median_inr, round(scale, 6) AS scale FROM ps")
+def q_prior_year_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and scales of all earlier years, by state and activity and by activity."""
+    peers = P.prior_peers(_priced(spark, sf_dir))
+    return peers.select("fy", "state", "activity", "peers", F.round(F.expm1("med"), 2).alias("median_inr"), F.round("scale", 6).alias("scale"))
 
-    Fiscal years are few: each row is copied to the later ones by an equi join on its own year, no theta join is run.
-    """
-    years = r.select("sanction_fy").distinct()
-    later = years.select(F.col("sanction_fy").alias("fy")).groupBy().agg(F.array_sort(F.collect_set("fy")).alias("all"))
-    known = [x for x in (later.first()["all"] or [])]
-    after = F.filter(F.array(*[F.lit(k) for k in known]), lambda k: k > F.col("sanction_fy"))
-    spread = r.select("state", "activity", "x", F.explode(after).alias("fy"))
-    level = spread.where("state is not null").unionByName(spread.withColumn("state", F.lit(None).cast("string")))
-    keys = ["fy", "state", "activity"]
-    med = level.groupBy(*keys).agg(F.median("x").alias("med"), F.count(F.lit(1)).alias("peers")).where("peers >= 20")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    back = level.alias("a").join(med.alias("m"), same).select(*[F.col(f"m.{k}") for k in keys], "peers", "med", "x")
-    return back.groupBy(*keys).agg(F.min("peers").alias("peers"), F.round(F.expm1(F.min("med")), 2).alias("median_inr"), F.round(F.greatest(1.4826 * F.median(F.abs(F.col("x") - F.col("med"))), F.lit(0.1)), 6).alias("scale"))
+
+@query(
+    _PEERS
+    + f""", c AS (SELECT s.work_key, s.sanction_paise, CASE WHEN a.fy IS NOT NULL THEN 'state and activity' WHEN b.fy IS NOT NULL THEN 'activity' ELSE 'none' END AS level,
+  CASE WHEN a.fy IS NOT NULL THEN a.peers ELSE b.peers END AS peers, CASE WHEN a.fy IS NOT NULL THEN a.med ELSE b.med END AS med, CASE WHEN a.fy IS NOT NULL THEN a.scale ELSE b.scale END AS scale
+FROM (SELECT *, {fy("sanction_date")} AS fy FROM san) s LEFT JOIN ps a ON a.fy = s.fy AND a.state = s.state AND a.activity = s.activity LEFT JOIN ps b ON b.fy = s.fy AND b.state IS NULL AND b.activity = s.activity),
+d AS (SELECT *, (ln(1 + sanction_paise / 100.0) - med) / scale AS z, sanction_paise / 100.0 / (exp(med) - 1) AS r FROM c)
+SELECT work_key, level, coalesce(peers, 0) AS peers, round(exp(med) - 1, 2) AS median_inr, round(z, 6) AS log_z, round(r, 6) AS cost_ratio, coalesce(z > 3.5 AND r >= 2 AND sanction_paise >= 10000000, FALSE) AS outlier FROM d"""
+)
+def q_cost_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sanctioned work against earlier years of its state and activity, else of its activity."""
+    c = P.cost_benchmark(_priced(spark, sf_dir), "work_key")
+    return c.withColumns({"median_inr": F.round("median_inr", 2), "log_z": F.round("log_z", 6), "cost_ratio": F.round("cost_ratio", 6)})
+
+
+@query(
+    _PEERS.replace("sanction_fy < y.fy", "sanction_fy <= '2024-2025'").replace("SELECT DISTINCT sanction_fy AS fy FROM r", "SELECT 'frozen' AS fy")
+    + " SELECT state, activity, peers, round(exp(med) - 1, 2) AS median_inr, round(scale, 6) AS scale FROM ps"
+)
+def q_frozen_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference that is frozen at a cutoff: peers of all years up to it, whatever comes later."""
+    peers = P.prior_peers(_priced(spark, sf_dir).where("sanction_fy <= '2024-2025'"), years=["9999-10000"])
+    return peers.select("state", "activity", "peers", F.round(F.expm1("med"), 2).alias("median_inr"), F.round("scale", 6).alias("scale"))
+
+
+_LEVELS = [("0", "a.state IS NOT DISTINCT FROM b.state AND a.activity IS NOT DISTINCT FROM b.activity"), ("1", "a.activity IS NOT DISTINCT FROM b.activity"), ("2", "TRUE")]
+
+
+@query(
+    using("san")
+    + ", r AS (SELECT work_key, state, activity, CAST(sanction_paise AS DOUBLE) AS v FROM san WHERE sanction_paise > 0), "
+    + ", ".join(f"m{i} AS (SELECT a.work_key, a.v, count(*) AS n, median(b.v) AS med, quantile_cont(b.v, 0.75) - quantile_cont(b.v, 0.25) AS iqr FROM r a JOIN r b ON a.work_key <> b.work_key AND {on} GROUP BY 1, 2)" for i, on in _LEVELS)
+    + ", "
+    + ", ".join(f"d{i} AS (SELECT a.work_key, median(abs(b.v - m.med)) AS mad FROM r a JOIN m{i} m ON a.work_key = m.work_key JOIN r b ON a.work_key <> b.work_key AND {on} GROUP BY 1)" for i, on in _LEVELS)
+    + ", u AS ("
+    + " UNION ALL ".join(f"SELECT m.*, mad, {i} AS level FROM m{i} m JOIN d{i} d ON m.work_key = d.work_key" for i, _ in _LEVELS)
+    + """), k AS (SELECT *, CASE WHEN mad > 0 THEN 1.4826 * mad WHEN iqr > 0 THEN iqr / 1.349 ELSE greatest(0.1 * med, 1.0) END AS scale FROM u WHERE level = 2 OR n >= 10 QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY level) = 1)
+SELECT work_key, level, n AS others, med AS median, round(scale, 4) AS scale, CASE WHEN mad > 0 THEN 'deviations' WHEN iqr > 0 THEN 'quartiles' ELSE 'tenth of the median' END AS method, round((v - med) / scale, 6) AS z, round(v / med, 6) AS ratio FROM k"""
+)
+def q_peer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each work against all others of its state and activity, else of its activity, else of all."""
+    out = P.peer_scores(W.sanctioned(spark, sf_dir), "work_key", [["state", "activity"], ["activity"], []], "sanction_paise")
+    return out.withColumns({"scale": F.round("scale", 4), "z": F.round("z", 6), "ratio": F.round("ratio", 6)})
 
 
 @query(
@@ -306,7 +369,7 @@ JOIN r lo ON lo.state = a.state AND lo.k = CASE WHEN a.k <= (a.n - 2) // 2 + 1 T
 JOIN r hi ON hi.state = a.state AND hi.k = CASE WHEN a.k <= (a.n - 1) // 2 + 1 THEN (a.n - 1) // 2 + 2 ELSE (a.n - 1) // 2 + 1 END WHERE a.n >= 11"""
 )
 def q_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median of all other works of a state, for states with ten others or more."""
+    """A14 (one level): the median of all other works of a state, for states with ten others or more."""
     s = W.sanctioned(spark, sf_dir).where("sanction_paise is not null and state is not null").select("work_key", "state", "sanction_paise")
     return leave_one_out(s, "work_key", "state", "sanction_paise", 10)
 
@@ -386,10 +449,10 @@ def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.payments_with_repeats(spark, sf_dir).select("record_id", "copies", (F.col("copies") > 1).alias("any_copy"), "is_repeat")
 
 
-@query("SELECT cohort, work_recommendation_dtl_id, max(record_id) AS record_id, CAST(arg_max(recommended_amount, record_id) AS VARCHAR) AS recommended_amount FROM (SELECT *, coalesce(recommended_amount, '-') AS r FROM works_recommended) WHERE work_recommendation_dtl_id IS NOT NULL AND recommended_amount IS NOT NULL GROUP BY 1, 2")
+@query("SELECT cohort, work_recommendation_dtl_id, record_id, recommended_amount FROM works_recommended WHERE work_recommendation_dtl_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cohort, work_recommendation_dtl_id ORDER BY record_id DESC) = 1")
 def q_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last record of each id as typed."""
-    t = table(spark, sf_dir, "works_recommended").where("work_recommendation_dtl_id is not null and recommended_amount is not null").select("cohort", "work_recommendation_dtl_id", "record_id", "recommended_amount")
+    """The last record of each id as typed, whatever its amount."""
+    t = table(spark, sf_dir, "works_recommended").where("work_recommendation_dtl_id is not null").select("cohort", "work_recommendation_dtl_id", "record_id", "recommended_amount")
     return R.latest(t, ["cohort", "work_recommendation_dtl_id"], ["record_id"])
 
 
@@ -401,10 +464,15 @@ def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(month_of(F.col("paid_on")).alias("month")).agg(F.sum("paise").alias("paise"))
 
 
-@query(_MONTHS + " SELECT month, paise, lead(month) OVER (ORDER BY month) AS following FROM m QUALIFY lead(month) OVER (ORDER BY month) <> strftime(CAST(month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m')")
+@query(
+    using("pay")
+    + ", m AS (SELECT vendor, strftime(paid_on, '%Y-%m') AS month, CAST(sum(paise) AS BIGINT) AS paise FROM pay WHERE is_success AND paid_on IS NOT NULL AND vendor IS NOT NULL GROUP BY 1, 2) SELECT vendor, month, paise, lead(month) OVER w AS following FROM m WINDOW w AS (PARTITION BY vendor ORDER BY month) QUALIFY lead(month) OVER w <> strftime(CAST(month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m')"
+)
 def q_gap_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months after which a month is missing."""
-    return R.month_gaps(_months(spark, sf_dir), "month")
+    """Months of a vendor after which a month without payments follows, but a later one with some."""
+    p = W.payments(spark, sf_dir).where("is_success and paid_on is not null and vendor is not null")
+    months = p.groupBy("vendor", month_of(F.col("paid_on")).alias("month")).agg(F.sum("paise").alias("paise"))
+    return R.month_gaps(months, "month", ["vendor"])
 
 
 @query(_MONTHS + " SELECT month, lag(paise) OVER (ORDER BY month) AS last_value, round(avg(paise) OVER (ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 3) AS mean3, strftime(CAST(month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS next_month FROM m")
