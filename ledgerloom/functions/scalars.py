@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -21,6 +22,9 @@ STOP_WORDS = tuple(
 PHASE_WORDS = ("phase", "continued", "continue", "continuation", "extension", "part", "repair", "renovation")
 
 
+_NO_WORD = re.compile(r"[\W_]+")
+
+
 def either(conditions: list[Column]) -> Column:
     """True if any condition is; no condition gives false."""
     return reduce(Column.__or__, conditions, F.lit(False))
@@ -38,15 +42,13 @@ def ascii_norm(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def folded_text(s: pd.Series) -> pd.Series:
-    """Unicode-aware normal form: NFKC, casefold, underscores and punctuation as single blanks; null stays null."""
+    """Unicode-aware normal form: NFKC, casefold, underscores, marks and punctuation as single blanks; null stays null.
 
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        text = unicodedata.normalize("NFKC", x).casefold().replace("_", " ")
-        return " ".join("".join(ch if ch.isalnum() or ch.isspace() else " " for ch in text).split())
-
-    return s.map(one)
+    Spark has no NFKC, so whole Arrow batches go to Python, once for each distinct text of a batch.
+    """
+    distinct = s.drop_duplicates().dropna()
+    forms = distinct.map(lambda x: " ".join(_NO_WORD.sub(" ", unicodedata.normalize("NFKC", x).casefold()).split()))
+    return s.map(dict(zip(distinct, forms, strict=True)))
 
 
 @F.pandas_udf(T.StringType())
@@ -144,6 +146,33 @@ def clipped(value: Column, low: float, high: float) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value - low) / (high - low)))
 
 
+def divisible(c: Column, by: int) -> Column:
+    """Whether a whole number is a multiple of another; null stays null."""
+    return F.pmod(c, F.lit(by)) == 0
+
+
+def rupees(paise: Column) -> Column:
+    """An amount as text: in crore from ten million rupees on, in lakh from a hundred thousand on, else in whole rupees."""
+    crore, lakh = 1_000_000_000, 10_000_000
+
+    def of(unit: int) -> Column:
+        """Rounded half up to hundredths of a unit, in whole numbers."""
+        more = paise + unit // 200
+        hundredths = ((more - F.pmod(more, F.lit(unit // 100))) / (unit // 100)).cast("bigint")
+        return F.concat(((hundredths - F.pmod(hundredths, F.lit(100))) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad(F.pmod(hundredths, F.lit(100)).cast("string"), 2, "0"))
+
+    return (
+        F.when(paise >= crore, F.concat(F.lit("INR "), of(crore), F.lit(" crore")))
+        .when(paise >= lakh, F.concat(F.lit("INR "), of(lakh), F.lit(" lakh")))
+        .when(paise.isNotNull(), F.concat(F.lit("INR "), F.floor(paise / 100).cast("string")))
+    )
+
+
+def without_prefix(c: Column, words: list[str]) -> Column:
+    """Text without the first of some words at its beginning and the blanks, hyphens or underscores after it."""
+    return F.regexp_replace(c, rf"^({'|'.join(map(re.escape, words))})[-_ ]*", "")
+
+
 def formula_safe(c: Column) -> Column:
     """A cell that spreadsheet programs won't read as a formula: an apostrophe before ``= + - @``, tab and CR."""
     return F.when(c.rlike(r"^[=+@\-\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
@@ -160,6 +189,11 @@ def tie_break(seed: str, c: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), c.cast("string")), 256), 1, 16)
 
 
+def short_hash(space: str, c: Column) -> Column:
+    """24 hexadecimal digits that stand for a key of a name space."""
+    return F.substring(F.sha2(F.concat(F.lit(f"{space}|"), c.cast("string")), 256), 1, 24)
+
+
 def listed_reasons(flags: list[tuple[str, Column]]) -> Column:
     """The names of the true flags in the given order, joined by semicolons; none gives an empty text."""
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags])), ";")
@@ -167,7 +201,8 @@ def listed_reasons(flags: list[tuple[str, Column]]) -> Column:
 
 def residue_cleaned(c: Column) -> tuple[Column, Column]:
     """``(paise, residue)`` of an amount whose decimals carry float noise of at most 0.000001 rupees; else both null."""
-    exact = c.try_cast("decimal(38,12)")
+    plain = F.regexp_replace(c, r"^\s+|\s+$", "")
+    exact = F.when(plain.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), plain).try_cast("decimal(38,12)")  # a cast would take digits of other scripts, too
     whole = F.round(exact * 100, 0)
     beyond = exact * 100 - whole  # in paise: a quotient of decimals would lose digits
     near = F.abs(beyond) <= 0.0001

@@ -39,31 +39,37 @@ SYMBOL[ord(",")], SYMBOL[ord('"')], SYMBOL[ord("\n")], SYMBOL[ord("\r")] = COMMA
 CHUNK = 256
 
 
-def states_before(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """The machine's state before each symbol, by composing the chunks' maps (START before the first)."""
+def states_before(symbols: np.ndarray, chunk: int = CHUNK, table: np.ndarray = NEXT, start: int = START) -> np.ndarray:
+    """The machine's state before each symbol, by composing the chunks' maps (``start`` before the first)."""
     n = len(symbols)
     if n == 0:
         return np.zeros(0, dtype=np.uint8)
-    chunks = -(-n // chunk)
-    table = np.full(chunks * chunk, OTHER, dtype=np.uint8)
-    table[:n] = symbols
-    table = table.reshape(chunks, chunk)
-    maps = np.broadcast_to(np.arange(5, dtype=np.uint8), (chunks, 5)).copy()
-    for t in range(chunk):
-        maps = NEXT[table[:, t, None], maps]
-    entry = np.empty(chunks, dtype=np.uint8)
-    state = START
+    rows, maps = _chunk_maps(symbols, chunk, table)
+    entry = np.empty(len(rows), dtype=np.uint8)
+    state = start
     for i, m in enumerate(maps.tolist()):
         entry[i] = state
         state = m[state]
-    out = np.empty((chunks, chunk), dtype=np.uint8)
+    out = np.empty(rows.shape, dtype=np.uint8)
     at = entry
     for t in range(chunk):
         out[:, t] = at
-        at = NEXT[table[:, t], at]
+        at = table[rows[:, t], at]
     return out.reshape(-1)[:n]
 
 
+def _chunk_maps(symbols: np.ndarray, chunk: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols in rows of ``chunk`` (the last one filled up) and what each row does to every state."""
+    chunks = -(-len(symbols) // chunk)
+    rows = np.full(chunks * chunk, OTHER, dtype=np.uint8)
+    rows[: len(symbols)] = symbols
+    rows = rows.reshape(chunks, chunk)
+    maps = np.broadcast_to(np.arange(5, dtype=np.uint8), (chunks, 5)).copy()
+    for t in range(chunk):
+        maps = table[rows[:, t, None], maps]
+    return rows, maps
+
+
 def tokenized(lines: pa.Array) -> pa.RecordBatch:
     """``fields`` (list of text without its quotes), ``error_at`` and ``error`` for each record.
 
@@ -202,29 +208,40 @@ def loaded_allocations(lines: DataFrame) -> DataFrame:
     return rows.select("line_id", "cohort", *named, amount_paise(cell["allocated_amt"]).alias("allocated_paise"), "loaded_at")
 
 
-def record_ends(data: bytes, chunk: int = 1 << 20) -> list[int]:
-    """Where the records of a raw file end: the offsets of line breaks outside quotes.
-
-    The file's chunks are tokenized on their own, from every state, and joined by composing their maps; so the
-    chunks could lie on different machines.
-    """
-    table = NEXT.copy()
-    table[BREAK] = [START, START, QUOTED, START, START]  # in a file a line break outside quotes ends the record
-    table[QUOTE, PLAIN], table[OTHER, CLOSED] = PLAIN, PLAIN  # broken quoting is judged later, record by record
-    chunks = [SYMBOL[np.frombuffer(data[i : i + chunk], dtype=np.uint8)] for i in range(0, len(data), chunk)]
-    maps = []
-    for symbols in chunks:
-        m = np.arange(5, dtype=np.uint8)
-        keep = np.flatnonzero((symbols != OTHER) | np.concatenate([[True], symbols[:-1] != OTHER]))
-        for s in symbols[keep]:
-            m = table[s][m]
-        maps.append(m)
-    ends, state, base = [], START, 0
-    for symbols, m in zip(chunks, maps, strict=True):
-        at, keep = state, np.flatnonzero((symbols != OTHER) | np.concatenate([[True], symbols[:-1] != OTHER]))
-        for i in keep:
-            if symbols[i] == BREAK and at != QUOTED:
-                ends.append(base + int(i))
-            at = table[symbols[i]][at]
-        state, base = m[state], base + len(symbols)
-    return ends
+#: The machine over a raw file: a line feed outside quotes ends a record; broken quoting is judged later, record by record.
+FILE_NEXT = NEXT.copy()
+FILE_NEXT[BREAK] = [START, START, QUOTED, START, START]
+FILE_NEXT[QUOTE, PLAIN], FILE_NEXT[OTHER, CLOSED] = PLAIN, PLAIN
+#: In a file a carriage return is a byte like others; one before a line feed is cut off later.
+FILE_SYMBOL = SYMBOL.copy()
+FILE_SYMBOL[ord("\r")] = OTHER
+
+
+def _places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a block that can change a state, and their symbols."""
+    symbols = FILE_SYMBOL[np.frombuffer(data, dtype=np.uint8)]
+    change = symbols != OTHER
+    keep = change.copy()
+    keep[1:] |= change[:-1]
+    keep[:1] = True
+    at = np.flatnonzero(keep)
+    return at, symbols[at]
+
+
+def record_ends(data: bytes, state: int = START) -> tuple[np.ndarray, int]:
+    """Offsets of the line feeds that end records in a block entered in ``state``, and the state at its end."""
+    if not data:
+        return np.zeros(0, dtype=np.int64), state
+    at, symbols = _places(data)
+    before = states_before(symbols, table=FILE_NEXT, start=state)
+    return at[(symbols == BREAK) & (before != QUOTED)], int(FILE_NEXT[symbols[-1], before[-1]]) if at[-1] == len(data) - 1 else int(FILE_NEXT[OTHER, FILE_NEXT[symbols[-1], before[-1]]])
+
+
+def block_map(data: bytes) -> list[tuple[int, int, bool]]:
+    """For each state in which a block may be entered: the state at its end, the records that end in it, and whether its
+    last byte ends one. Blocks can so be read on different machines, and their maps composed."""
+    out = []
+    for state in range(5):
+        ends, after = record_ends(data, state)
+        out.append((after, len(ends), bool(len(ends) and ends[-1] == len(data) - 1)))
+    return out

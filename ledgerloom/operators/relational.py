@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,3 +210,20 @@ def quarantined(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, Data
     empty = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(c)) for c in required]
     marked = df.withColumn("missing_fields", F.array_join(F.array_compact(F.array(*empty)), ";"))
     return marked.where("missing_fields = ''").drop("missing_fields"), marked.where("missing_fields <> ''")
+
+
+def reconciled(checks: Sequence[tuple[str, tuple[DataFrame, Column], tuple[DataFrame, Column]]]) -> DataFrame:
+    """``name, found, expected, ok`` for each pair of aggregates that should be equal whole numbers; a null equals nothing.
+
+    All are branches of one query, so scans and exchanges that occur in several are reused.
+    """
+    one = lambda name, kind, side: side[0].agg(side[1].cast("bigint").alias("v")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "v")
+    rows = reduce(DataFrame.union, [one(name, kind, side) for name, *sides in checks for kind, side in zip((0, 1), sides, strict=True)])
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("v")))
+    return rows.groupBy("name").agg(pick(0).alias("found"), pick(1).alias("expected")).withColumn("ok", F.coalesce(F.col("found") == F.col("expected"), F.lit(False)))
+
+
+def same_members(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """``key, side`` of the keys that only one of two tables has (``missing`` or ``unknown``); none if the sets are equal."""
+    a, b = wanted.select(key).distinct(), there.select(key).distinct()
+    return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("unknown")))

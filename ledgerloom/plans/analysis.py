@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import PHASE_WORDS, STOP_WORDS, ascii_norm, clipped, dice, jaccard, name_key, numbers_of, ratio, tie_break, trigrams_of
+from ledgerloom.functions.scalars import PHASE_WORDS, STOP_WORDS, ascii_norm, clipped, dice, divisible, folded_text, jaccard, name_key, numbers_of, ratio, residue_cleaned, rupees, short_hash, tie_break, trigrams_of, unmarked, without_prefix
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import models as M
 from ledgerloom.operators import relational as R
 from ledgerloom.operators import works as W
 from ledgerloom.operators.similar_works import all_similar, best_matches, similar_pairs, word_counts
-from ledgerloom.plans.ledger import _FLAGS, _MONTHS, _SCORE, AS_OF, _months, _points, flagged
+from ledgerloom.plans.ledger import _FLAGS, _MONTHS, _SCORE, AS_OF, WEIGHTS, _months, _points, flagged
 from ledgerloom.plans.sql import using
+from ledgerloom.session import staged
 from ledgerloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -143,6 +144,58 @@ def q_regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "works_recommended").select("record_id", *[c.alias(n) for n, c in parts.items()])
 
 
+_FOLDED = "trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), '_', ' '), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("SELECT doc_id, " + _FOLDED.format("text") + " AS folded FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7f\\x{0900}-\\x{097f}]*$')")
+def q_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the Unicode-aware normal form of English and Hindi texts."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f\x{0900}-\x{097f}]*$"))
+    return d.select("doc_id", folded_text(F.col("text")).alias("folded"))
+
+
+@query("SELECT doc_id, contains(text, chr(65533)) AS has_replacement, regexp_replace(lower(trim(source)), '^(letter|field)[-_ ]*', '') AS rest, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits, split_part(text, ' ', 1) AS first_word FROM documents WHERE text IS NOT NULL")
+def q_text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """replacement characters, a prefix taken off, digits and the first word."""
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").where(t.isNotNull())
+    return d.select("doc_id", F.contains(t, F.lit("\ufffd")).alias("has_replacement"), without_prefix(F.lower(F.trim("source")), ["letter", "field"]).alias("rest"), F.regexp_count(t, F.lit("[0-9]")).cast("bigint").alias("digits"), F.substring_index(t, " ", 1).alias("first_word"))
+
+
+_HUNDREDTHS = "CAST(((sanction_amount_paise + {0} // 200) // ({0} // 100)) // 100 AS VARCHAR) || '.' || lpad(CAST(((sanction_amount_paise + {0} // 200) // ({0} // 100)) % 100 AS VARCHAR), 2, '0')"
+_RUPEES = f"CASE WHEN sanction_amount_paise >= 1000000000 THEN 'INR ' || {_HUNDREDTHS.format(1_000_000_000)} || ' crore' WHEN sanction_amount_paise >= 10000000 THEN 'INR ' || {_HUNDREDTHS.format(10_000_000)} || ' lakh' ELSE 'INR ' || CAST(sanction_amount_paise // 100 AS VARCHAR) END"
+
+
+@query(f"SELECT work_id, {_RUPEES} AS shown, sanction_amount_paise % 100000000 = 0 AS round_million, abs(sanction_amount_paise - recommended_amount_paise) > 10000 AS apart FROM work_features WHERE sanction_amount_paise >= 0 AND recommended_amount_paise IS NOT NULL")
+def q_amount_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """amounts as people write them, round amounts, and amounts that differ."""
+    w = table(spark, sf_dir, "work_features").where("sanction_amount_paise >= 0 and recommended_amount_paise is not null")
+    s = F.col("sanction_amount_paise")
+    return w.select("work_id", rupees(s).alias("shown"), divisible(s, 100_000_000).alias("round_million"), (F.abs(s - F.col("recommended_amount_paise")) > 10_000).alias("apart"))
+
+
+@query(
+    "SELECT record_id, paise, residue FROM (SELECT record_id, CAST(round(x * 100, 0) AS BIGINT) AS paise, CAST(x * 100 - round(x * 100, 0) AS DOUBLE) / 100 AS residue FROM (SELECT record_id, TRY_CAST(fund_disbursed_amt AS DECIMAL(28, 12)) AS x FROM expenditure WHERE regexp_matches(fund_disbursed_amt, '^\\s*-?[0-9]+(\\.[0-9]+)?\\s*$')) WHERE abs(x * 100 - round(x * 100, 0)) <= 0.0001)"
+)
+def q_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """amounts freed of float noise, and the noise."""
+    clean, residue = residue_cleaned(F.col("fund_disbursed_amt"))
+    return table(spark, sf_dir, "expenditure").select("record_id", clean.alias("paise"), residue.alias("residue")).where("paise is not null")
+
+
+@query("SELECT DISTINCT state_name, trim(regexp_replace(replace(lower(strip_accents(state_name)), '&', ' and '), '\\s+', ' ', 'g')) AS place FROM works_recommended WHERE state_name IS NOT NULL")
+def q_place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names of places without marks, for matching; each distinct name is folded once."""
+    names = table(spark, sf_dir, "works_recommended").where("state_name is not null").select("state_name").distinct()
+    return names.select("state_name", unmarked(F.col("state_name")).alias("place"))
+
+
+@query(using("san") + " SELECT work_key, concat_ws('|', cohort, lower(state), lower(profile)) AS member_key, concat_ws('|', lower(state), lower(ida)) AS authority_key FROM san")
+def q_composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keys of members and authorities; missing parts are passed over."""
+    return W.sanctioned(spark, sf_dir).select("work_key", F.concat_ws("|", "cohort", F.lower("state"), F.lower("profile")).alias("member_key"), F.concat_ws("|", F.lower("state"), F.lower("ida")).alias("authority_key"))
+
+
 @query("SELECT event_type, count(*) AS rows, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS k_total FROM events GROUP BY event_type")
 def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F32: values out of JSON texts."""
@@ -165,11 +218,68 @@ def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.confusion(_scored(spark, sf_dir), F.col("score") >= 20, F.col("truth"))
 
 
-@query(_RANKED + " SELECT work_key, score, substr(sha256('7:' || work_key), 1, 16) AS tie FROM sc ORDER BY score DESC, tie, work_key LIMIT 100")
+@query(_RANKED + " SELECT work_key, score, substr(sha256('work|' || work_key), 1, 24) AS row_id, CAST(row_number() OVER (ORDER BY score DESC, substr(sha256('7:' || work_key), 1, 16), work_key) AS INTEGER) AS place FROM sc")
 def q_hash_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal scores in a fixed random order."""
+    """All works in order, equal scores in a fixed random one, with a short hash as id."""
     s = _scored(spark, sf_dir).select("work_key", "score", tie_break("7", F.col("work_key")).alias("tie"))
-    return s.orderBy(F.col("score").desc(), "tie", "work_key").limit(100)
+    placed = R.ranked(s, [F.col("score").desc(), F.col("tie"), F.col("work_key")], "place")
+    return placed.select("work_key", "score", short_hash("work", F.col("work_key")).alias("row_id"), "place")
+
+
+_SHARES = "(VALUES (CAST(0.05 AS DOUBLE), 5), (0.1, 10), (0.2, 20), (0.3, 30)) AS b(budget, pct)"
+
+
+@query(
+    _RANKED
+    + f""", n AS (SELECT count(*) AS n, count(*) FILTER (WHERE score > 0) AS positive FROM sc), k AS (SELECT b.budget, CAST((n.n * b.pct + 99) // 100 AS BIGINT) AS taken, positive FROM n, {_SHARES}),
+c AS (SELECT score, count(*) AS c, CAST(sum(count(*)) OVER (ORDER BY score DESC) AS BIGINT) AS upto FROM sc GROUP BY score)
+SELECT budget, taken, greatest(taken - positive, 0) AS fillers, score AS edge_score, c AS edge_rows, taken - (upto - c) AS edge_taken, positive FROM k JOIN c ON upto >= taken AND upto - c < taken"""
+)
+def q_queue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a score that fill budgets, and the ties at their edge."""
+    return E.queue_edges(_scored(spark, sf_dir), "score", [0.05, 0.1, 0.2, 0.3])
+
+
+_PLACED = using("full_wk") + f", {_FLAGS}, pl AS (SELECT f.*, wk.cohort, row_number() OVER (ORDER BY {_SCORE} DESC, substr(sha256('7:' || f.work_key), 1, 16), f.work_key) AS place, count(*) OVER () AS n FROM f JOIN wk ON f.work_key = wk.work_key), ch AS (SELECT * FROM pl WHERE place <= (n * 10 + 99) // 100)"
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    f = flagged(spark, sf_dir, ["cohort"]).withColumn("score", F.least(F.lit(100), _points())).withColumn("tie", tie_break("7", F.col("work_key")))
+    placed = staged(R.ranked(f, [F.col("score").desc(), F.col("tie"), F.col("work_key")], "place"), "placed")
+    return placed, -(-placed.count() * 10 // 100)
+
+
+@query(_PLACED + " SELECT cohort, count(*) AS selected, round(count(*) / CAST(any_value((n * 10 + 99) // 100) AS DOUBLE), 6) AS share FROM ch GROUP BY cohort")
+def q_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohorts of the first tenth of all works."""
+    placed, size = _placed(spark, sf_dir)
+    return E.queue_mix(placed, "place", size, "cohort").withColumn("share", F.round("share", 6))
+
+
+@query(_PLACED + " " + " UNION ALL ".join(f"SELECT '{k}' AS screen, count(*) FILTER (WHERE place <= (n * 10 + 99) // 100) AS selected, count(*) AS population FROM pl WHERE {k} HAVING count(*) > 0" for k in WEIGHTS))
+def q_queue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each screen's works the first tenth holds."""
+    placed, size = _placed(spark, sf_dir)
+    return E.queue_coverage(placed, "place", size, list(WEIGHTS))
+
+
+@query(_RANKED + " SELECT work_key, score, truth FROM sc")
+def q_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels joined after scoring, one to one."""
+    s = _scored(spark, sf_dir)
+    return E.labelled(s.select("work_key", "score"), s.select("work_key", "truth"), "work_key", "truth")
+
+
+@query()
+def q_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many works with a high peer ratio the isolation scores and the density noise recover."""
+    w = table(spark, sf_dir, "work_features")
+    truth = w.select("work_id", F.coalesce((F.col("cost_peer_ratio") >= 3) & ~F.isnan("cost_peer_ratio"), F.lit(False)).alias("truth"))
+    forest = E.labelled(q_isolation_forest(spark, sf_dir), truth, "work_id", "truth")
+    found = E.recovery_at(forest, "work_id", "score", "truth", [0.05, 0.1, 0.2, 0.3]).select(F.lit("isolation").alias("model"), "budget", "taken", "recovered", "recovery")
+    noise = E.labelled(q_dbscan(spark, sf_dir), truth, "work_id", "truth")
+    noise = noise.agg(F.lit("density").alias("model"), F.round(F.count_if(F.expr("cluster = -1")) / F.count(F.lit(1)), 6).alias("budget"), F.count_if(F.expr("cluster = -1")).alias("taken"), F.count_if(F.expr("cluster = -1 and truth")).alias("recovered"), F.count_if("truth").alias("t"))
+    return found.unionByName(noise.withColumn("recovery", F.round(F.col("recovered") / F.greatest(F.col("t"), F.lit(1)), 6)).drop("t"))
 
 
 @query(
@@ -226,26 +336,22 @@ def q_forecast_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Numeric features ---
 
-_NUM = ["recommended_amount_paise", "sanction_amount_paise", "cost_peer_ratio"]
+_NUM = ["score", "recommended_paise", "sanction_paise", "paid_paise", "pending_paise", "delay_days", "payment_rows", "vendors", "months"]
 
 
 @query(
-    " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb FROM work_features WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND NOT isnan(CAST({a} AS DOUBLE)) AND NOT isnan(CAST({b} AS DOUBLE)))"
+    using("full_wk")
+    + f", {_FLAGS}, nf AS (SELECT {_SCORE} AS score, recommended_paise, sanction_paise, paid_paise, pending_paise, sanction_date - recommendation_date AS delay_days, payment_rows, vendors, months FROM full_wk JOIN f USING (work_key)) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS rows, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb FROM nf WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
         for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]
     )
 )
 def q_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlations of complete pairs."""
-    w = table(spark, sf_dir, "work_features")
-    out = None
-    for i, a in enumerate(_NUM):
-        for b in _NUM[i + 1 :]:
-            both = w.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null and not isnan(a) and not isnan(b)")
-            ranks = R.percent_rank_avg(R.percent_rank_avg(both, "a", "ra"), "b", "rb")
-            one = ranks.agg(F.round(F.corr("ra", "rb"), 6).alias("rho")).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "rho")
-            out = one if out is None else out.union(one)
-    return out
+    """Rank correlations of nine columns on the rows complete for each pair."""
+    f = flagged(spark, sf_dir, ["recommended_paise", "sanction_paise", "paid_paise", "pending_paise", "sanction_date", "recommendation_date", "payment_rows", "vendors", "months"])
+    rows = f.withColumn("score", F.least(F.lit(100), _points())).withColumn("delay_days", F.date_diff("sanction_date", "recommendation_date"))
+    return E.rank_correlations(rows, _NUM)
 
 
 @query("SELECT bround_a AS amount_class, bround_b AS ratio_class, count(*) AS rows FROM (SELECT round_even(ln(1 + coalesce(sanction_amount_paise, 0) / 100.0), 1) AS bround_a, round_even(CASE WHEN isnan(cost_peer_ratio) THEN NULL ELSE cost_peer_ratio END, 1) AS bround_b FROM work_features) GROUP BY 1, 2")
@@ -263,11 +369,30 @@ def q_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.standardised(f, ["cost_peer_ratio"]).select("work_id", F.col("cost_peer_ratio_missing").alias("missing"), F.round("cost_peer_ratio", 4).alias("z"))
 
 
-@query(using("full_wk") + " SELECT work_key, round(30 * least(1.0, greatest(0.0, ((sanction_date - recommendation_date) - 45) / 320.0)), 6) AS delay_points, round(25 * least(1.0, greatest(0.0, (paid_ratio - 1) / 1.0)), 6) AS over_points FROM full_wk WHERE sanction_date IS NOT NULL AND recommendation_date IS NOT NULL AND paid_ratio IS NOT NULL")
+_CLIP = "least(1.0, greatest(0.0, {0}))"
+
+
+@query(
+    "SELECT work_id, round(30 * " + _CLIP.format("((sanction_date - recommendation_date) - 45) / 320.0") + f", 6) AS delay_points, round(CASE WHEN sanction_date IS NULL THEN 20 * " + _CLIP.format(f"((DATE '{AS_OF}' - recommendation_date) - 180) / 550.0") + " ELSE 0.0 END, 6) AS aging_points,"
+    + " round(CASE WHEN r > 2 THEN 25 * " + _CLIP.format("(ln(r) - 0.5) / 1.5") + " ELSE 0.0 END, 6) AS cost_points FROM (SELECT *, CASE WHEN isnan(cost_peer_ratio) THEN NULL ELSE cost_peer_ratio END AS r FROM work_features) WHERE recommendation_date IS NOT NULL"
+)
 def q_clipped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous scores within bounds."""
-    w = W.works_with_payments(spark, sf_dir).where("sanction_date is not null and recommendation_date is not null and paid_ratio is not null")
-    return w.select("work_key", F.round(30 * clipped(F.date_diff("sanction_date", "recommendation_date"), 45, 365), 6).alias("delay_points"), F.round(25 * clipped(F.col("paid_ratio"), 1, 2), 6).alias("over_points"))
+    """Continuous scores within bounds for delay, age and cost; those of duplicates are q_duplicate_points."""
+    w = table(spark, sf_dir, "work_features").where("recommendation_date is not null").withColumn("r", F.when(~F.isnan("cost_peer_ratio"), F.col("cost_peer_ratio")))
+    age = F.date_diff(F.lit(AS_OF).cast("date"), "recommendation_date")
+    return w.select(
+        "work_id",
+        F.round(30 * clipped(F.date_diff("sanction_date", "recommendation_date"), 45, 365), 6).alias("delay_points"),
+        F.round(F.when(F.col("sanction_date").isNull(), 20 * clipped(age, 180, 730)).otherwise(0.0), 6).alias("aging_points"),
+        F.round(F.when(F.col("r") > 2, 25 * clipped(F.log("r"), 0.5, 2)).otherwise(0.0), 6).alias("cost_points"),
+    )
+
+
+@query(f"SELECT b AS work_id, round(max(CASE WHEN same_amount THEN 25 * least(1.0, greatest(0.0, (similarity - 0.8) / 0.2)) ELSE 0.0 END), 4) AS duplicate_points FROM ({_SIMILAR}) GROUP BY b")
+def q_duplicate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each work's best earlier pair of the same amount."""
+    points = F.when(F.col("same_amount"), 25 * clipped(F.col("similarity"), 0.8, 1)).otherwise(0.0)
+    return _similar(spark, sf_dir).groupBy(F.col("b").alias("work_id")).agg(F.round(F.max(points), 4).alias("duplicate_points"))
 
 
 @query("SELECT mp_profile_id, count(*) AS consents, round(sum(consent_amount), 2) AS consented, max(mp_allocated_limit) AS allocated, coalesce(sum(consent_amount) > 0.1 * max(mp_allocated_limit), FALSE) AS above_tenth FROM calamity_features GROUP BY mp_profile_id")
@@ -278,10 +403,37 @@ def q_entity_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("mp_profile_id").agg(F.count(F.lit(1)).alias("consents"), F.round(F.sum("consent_amount"), 2).alias("consented"), limit.alias("allocated"), F.coalesce(F.sum("consent_amount") > 0.1 * limit, F.lit(False)).alias("above_tenth"))
 
 
-@query(using("san", "pay") + ", p AS (SELECT p.work_key, min(paid_on) FILTER (WHERE is_success) AS first_day, count(*) FILTER (WHERE paid_on < s.sanction_date) AS before_sanction, bool_and(is_success) AS all_settled, max(paise) AS largest FROM pay p JOIN san s ON p.work_key = s.work_key GROUP BY 1) SELECT * FROM p")
+@query(
+    using("full_wk")
+    + f""" SELECT work_key, coalesce(NOT is_sanctioned AND DATE '{AS_OF}' - recommendation_date > 45, FALSE) AS waiting, coalesce(is_sanctioned AND sanction_date - recommendation_date > 45, FALSE) AS slow,
+  coalesce(is_sanctioned AND stage <> 'Work Completed' AND sanction_date + INTERVAL 1 YEAR < DATE '{AS_OF}', FALSE) AS open_year, coalesce(is_sanctioned AND success_rows = 0 AND sanction_date + INTERVAL 3 MONTH < DATE '{AS_OF}', FALSE) AS unpaid_quarter,
+  coalesce(is_sanctioned AND stage <> 'Work Completed' AND sanction_date + INTERVAL 18 MONTH < DATE '{AS_OF}', FALSE) AS open_18_months, coalesce(success_rows > 0 AND paid_paise - sanction_paise > 100, FALSE) AS over_paid,
+  coalesce(paid_paise + pending_paise - sanction_paise > 100, FALSE) AS over_billed, any_repeat AS repeated FROM full_wk"""
+)
 def q_case_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags from a work's payments; an aggregate with conditions instead of an array of structs, so a work
-    with very many payments is no large row."""
+    """Eight flags of a case from its dates and payments. Payments are summed with conditions instead of
+    gathered in an array of structs, so a work with very many is no large row."""
+    w = W.works_with_payments(spark, sf_dir, repeats=True)
+    today, sure = F.lit(AS_OF).cast("date"), lambda c: F.coalesce(c, F.lit(False))
+    open_for = lambda months: sure(F.col("is_sanctioned") & (F.col("stage") != "Work Completed") & (F.add_months("sanction_date", months) < today))
+    return w.select(
+        "work_key",
+        sure(~F.col("is_sanctioned") & (F.date_diff(today, "recommendation_date") > 45)).alias("waiting"),
+        sure(F.col("is_sanctioned") & (F.date_diff("sanction_date", "recommendation_date") > 45)).alias("slow"),
+        open_for(12).alias("open_year"),
+        sure(F.col("is_sanctioned") & (F.col("success_rows") == 0) & (F.add_months("sanction_date", 3) < today)).alias("unpaid_quarter"),
+        open_for(18).alias("open_18_months"),
+        sure((F.col("success_rows") > 0) & (F.col("paid_paise") - F.col("sanction_paise") > 100)).alias("over_paid"),
+        sure(F.col("paid_paise") + F.col("pending_paise") - F.col("sanction_paise") > 100).alias("over_billed"),
+        F.col("any_repeat").alias("repeated"),
+    )
+
+
+@query(
+    using("san", "pay") + ", p AS (SELECT p.work_key, min(paid_on) FILTER (WHERE is_success) AS first_day, count(*) FILTER (WHERE paid_on < s.sanction_date) AS before_sanction, bool_and(is_success) AS all_settled, max(paise) AS largest FROM pay p JOIN san s ON p.work_key = s.work_key GROUP BY 1) SELECT * FROM p"
+)
+def q_filtered_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates with conditions over a work's payments."""
     s = W.sanctioned(spark, sf_dir).select("work_key", "sanction_date")
     p = W.payments(spark, sf_dir).join(s, "work_key")
     return p.groupBy("work_key").agg(F.min(F.when(F.col("is_success"), F.col("paid_on"))).alias("first_day"), F.count_if(F.col("paid_on") < F.col("sanction_date")).alias("before_sanction"), F.bool_and("is_success").alias("all_settled"), F.max("paise").alias("largest"))
@@ -296,7 +448,7 @@ def q_map_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How early each work is isolated by random splits."""
+    """How early each work is isolated by random splits."""
     w = table(spark, sf_dir, "work_features").select("work_id", F.log1p(F.col("recommended_amount_paise") / 100.0).alias("r"), F.log1p(F.col("sanction_amount_paise") / 100.0).alias("s"), "cost_peer_ratio", F.date_diff("sanction_date", "recommendation_date").cast("double").alias("d"))
     scores = M.isolation_scores(w, "work_id", ["r", "s", "cost_peer_ratio", "d"])
     return scores.select("work_id", F.round("score", 6).alias("score"))

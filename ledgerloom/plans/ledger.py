@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -293,6 +293,73 @@ def q_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+_CHECKS = {
+    "one_row_per_work": ("SELECT count(*) FROM wk", "SELECT count(DISTINCT work_key) FROM (SELECT work_key FROM rec UNION ALL SELECT work_key FROM san)"),
+    "recommended_kept": ("SELECT count(*) FROM wk WHERE is_recommended", "SELECT count(*) FROM rec"),
+    "sanctioned_kept": ("SELECT count(*) FROM wk WHERE is_sanctioned", "SELECT count(*) FROM san"),
+    "accepted_and_rejected": ("SELECT count(*) FROM (SELECT record_id FROM expenditure WHERE {ok} UNION ALL SELECT record_id FROM expenditure WHERE NOT ({ok}))", "SELECT count(*) FROM expenditure"),
+    "paid": ("SELECT sum(paid_paise) FROM led", "SELECT sum(paise) FROM pay WHERE is_success AND work_key IS NOT NULL"),
+    "pending": ("SELECT sum(pending_paise) FROM led", "SELECT sum(paise) FROM pay WHERE NOT is_success AND work_key IS NOT NULL"),
+    "sanctioned_amount": ("SELECT sum(sanction_paise) FROM wk WHERE is_sanctioned", "SELECT sum(coalesce(s.sanction_paise, r.sanction_paise)) FROM san s LEFT JOIN rec r ON s.work_key = r.work_key"),
+    "recommended_amount": ("SELECT sum(recommended_paise) FROM wk WHERE NOT is_sanctioned", "SELECT sum(recommended_paise) FROM rec WHERE work_key NOT IN (SELECT work_key FROM san)"),
+    "allocated": ("SELECT sum(p) FROM (SELECT mp_name, sum({alloc}) AS p FROM allocated_limit GROUP BY 1)", "SELECT sum({alloc}) FROM allocated_limit"),
+    "consents": ("SELECT round(sum(p)) FROM (SELECT mp_profile_id, sum(CAST(round(consent_amount * 100) AS BIGINT)) AS p FROM calamity_features GROUP BY 1)", "SELECT sum(CAST(round(consent_amount * 100) AS BIGINT)) FROM calamity_features"),
+    "payment_rows": ("SELECT count(DISTINCT record_id) FROM pay", "SELECT count(*) FROM expenditure"),
+    "payments_with_work": ("SELECT count(*) FROM pay WHERE work_key IN (SELECT work_key FROM wk)", "SELECT count(*) FROM pay WHERE work_key IS NOT NULL"),
+    "sanctioned_was_recommended": ("SELECT count(*) FROM wk WHERE is_sanctioned AND is_recommended", "SELECT count(*) FROM san"),
+    "no_later_payment": ("SELECT count(*) FROM pay WHERE paid_on > DATE '{today}'", "SELECT 0"),
+    "no_later_sanction": ("SELECT count(*) FROM wk WHERE sanction_date > DATE '{today}'", "SELECT 0"),
+    "vendors_total": ("SELECT sum(p) FROM (SELECT vendor, sum(paise) AS p FROM pay GROUP BY 1)", "SELECT sum(paise) FROM pay"),
+    "months_total": ("SELECT sum(p) FROM (SELECT date_trunc('month', paid_on) AS m, sum(paise) AS p FROM pay GROUP BY 1)", "SELECT sum(paise) FROM pay"),
+    "authorities_total": ("SELECT sum(p) FROM (SELECT ida, sum(paise) AS p FROM pay GROUP BY 1)", "SELECT sum(paise) FROM pay"),
+    "members_total": ("SELECT sum(p) FROM (SELECT profile, sum(sanction_paise) AS p FROM wk GROUP BY 1)", "SELECT sum(sanction_paise) FROM wk"),
+    "states_total": ("SELECT sum(p) FROM (SELECT state, sum(sanction_paise) AS p FROM wk GROUP BY 1)", "SELECT sum(sanction_paise) FROM wk"),
+    "vendor_ids": ("SELECT count(DISTINCT vendor_id) FROM vendor_features", "SELECT count(*) FROM vendor_features"),
+}
+_FILL = {"ok": given("work_recommendation_dtl_id"), "alloc": "TRY_CAST(" + paise("allocated_amt") + " AS BIGINT)", "today": AS_OF}
+
+
+@query(
+    using("wk", "led")
+    + " SELECT *, coalesce(found = expected, FALSE) AS ok FROM ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, CAST(({a.format(**_FILL)}) AS BIGINT) AS found, CAST(({b.format(**_FILL)}) AS BIGINT) AS expected" for name, (a, b) in _CHECKS.items())
+    + ")"
+)
+def q_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """21 totals, each from two ways to it. Data may fail a check; the report says which."""
+    rec, san, pay, t = W.recommended(spark, sf_dir), W.sanctioned(spark, sf_dir), W.payments(spark, sf_dir), lambda n: table(spark, sf_dir, n)
+    wk, led = W.works(spark, sf_dir), W.ledger_by_work(pay, repeats=False)
+    keyed = pay.where("work_key is not null")
+    today, n, alloc, paid = F.lit(AS_OF).cast("date"), F.count(F.lit(1)), amount_paise(F.col("allocated_amt")), F.round(F.col("consent_amount") * 100).cast("bigint")
+    ok = present(F.col("work_recommendation_dtl_id"))
+    spend = t("expenditure")
+    by = lambda df, key, c: (df.groupBy(key).agg(F.sum(c).alias("p")), F.sum("p"))
+    sides = [
+        ("one_row_per_work", (wk, n), (rec.select("work_key").union(san.select("work_key")), F.count_distinct("work_key"))),
+        ("recommended_kept", (wk, F.count_if("is_recommended")), (rec, n)),
+        ("sanctioned_kept", (wk, F.count_if("is_sanctioned")), (san, n)),
+        ("accepted_and_rejected", (spend.where(ok).select("record_id").union(spend.where(~ok).select("record_id")), n), (spend, n)),
+        ("paid", (led, F.sum("paid_paise")), (keyed, F.sum(F.when(F.col("is_success"), F.col("paise"))))),
+        ("pending", (led, F.sum("pending_paise")), (keyed, F.sum(F.when(~F.col("is_success"), F.col("paise"))))),
+        ("sanctioned_amount", (wk.where("is_sanctioned"), F.sum("sanction_paise")), (san.alias("s").join(rec.alias("r"), "work_key", "left"), F.sum(F.coalesce("s.sanction_paise", "r.sanction_paise")))),
+        ("recommended_amount", (wk.where("not is_sanctioned"), F.sum("recommended_paise")), (rec.join(san, "work_key", "left_anti"), F.sum("recommended_paise"))),
+        ("allocated", by(t("allocated_limit"), "mp_name", alloc), (t("allocated_limit"), F.sum(alloc))),
+        ("consents", by(t("calamity_features"), "mp_profile_id", paid), (t("calamity_features"), F.sum(paid))),
+        ("payment_rows", (pay, F.count_distinct("record_id")), (spend, n)),
+        ("payments_with_work", (keyed.join(wk.select("work_key"), "work_key", "left_semi"), n), (keyed, n)),
+        ("sanctioned_was_recommended", (wk, F.count_if(F.col("is_sanctioned") & F.col("is_recommended"))), (san, n)),
+        ("no_later_payment", (pay, F.count_if(F.col("paid_on") > today)), (spark.range(1), F.lit(0))),
+        ("no_later_sanction", (wk, F.count_if(F.col("sanction_date") > today)), (spark.range(1), F.lit(0))),
+        ("vendors_total", by(pay, "vendor", "paise"), (pay, F.sum("paise"))),
+        ("months_total", by(pay.withColumn("m", month_of(F.col("paid_on"))), "m", "paise"), (pay, F.sum("paise"))),
+        ("authorities_total", by(pay, "ida", "paise"), (pay, F.sum("paise"))),
+        ("members_total", by(wk, "profile", "sanction_paise"), (wk, F.sum("sanction_paise"))),
+        ("states_total", by(wk, "state", "sanction_paise"), (wk, F.sum("sanction_paise"))),
+        ("vendor_ids", (t("vendor_features"), F.count_distinct("vendor_id")), (t("vendor_features"), n)),
+    ]
+    return R.reconciled(sides)
+
+
 _PRIOR = using("san") + """, r AS (SELECT state, activity, sanction_fy, ln(1 + sanction_paise / 100.0) AS x FROM (SELECT *, (CAST(year(sanction_date - INTERVAL 3 MONTH) AS VARCHAR) || '-' || CAST(year(sanction_date - INTERVAL 3 MONTH) + 1 AS VARCHAR)) AS sanction_fy FROM san) WHERE sanction_paise > 0 AND sanction_fy IS NOT NULL AND activity IS NOT NULL),
 y AS (SELECT DISTINCT sanction_fy AS fy FROM r)"""
 
@@ -503,12 +570,13 @@ WEIGHTS = {"slow": 8, "unpaid_year": 20, "over_paid": 30, "repeated": 15, "march
 EDGES = [(0, "none"), (19, "low"), (39, "medium")]
 
 
-def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works with example flags; comparisons with nulls are false."""
+def flagged(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Works with example flags and the columns to ``keep``; comparisons with nulls are false."""
     w = W.works_with_payments(spark, sf_dir, repeats=True)
     sure = lambda c: F.coalesce(c, F.lit(False))
     return w.select(
         "work_key",
+        *keep,
         sure(F.date_diff("sanction_date", "recommendation_date") > 45).alias("slow"),
         sure(F.col("is_sanctioned") & (F.add_months("sanction_date", 12) < F.lit(AS_OF).cast("date")) & F.col("last_success").isNull()).alias("unpaid_year"),
         sure(F.col("paid_paise") - F.col("sanction_paise") > material(F.col("sanction_paise"), 1_000_000, 0.02)).alias("over_paid"),
@@ -606,6 +674,13 @@ def q_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.sanctioned(spark, sf_dir).select("work_key").exceptAll(W.recommended(spark, sf_dir).select("work_key"))
 
 
+@query(using("rec") + " SELECT coalesce(a.cohort, b.cohort) AS cohort, CASE WHEN b.cohort IS NULL THEN 'missing' ELSE 'unknown' END AS side FROM (SELECT unnest(['lok_sabha', 'rs_sitting', 'rs_retired', 'rs_former']) AS cohort) a FULL OUTER JOIN (SELECT DISTINCT cohort FROM rec) b ON a.cohort = b.cohort WHERE a.cohort IS NULL OR b.cohort IS NULL")
+def q_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is missing from, or unknown to, the agreed scope."""
+    agreed = spark.createDataFrame([(c,) for c in ("lok_sabha", "rs_sitting", "rs_retired", "rs_former")], "cohort string")
+    return R.same_members(agreed, W.recommended(spark, sf_dir).select("cohort"), "cohort")
+
+
 @query(using("full_wk") + ", a AS (SELECT work_key FROM full_wk ORDER BY coalesce(sanction_paise, -1) DESC, work_key LIMIT 200), b AS (SELECT work_key FROM full_wk ORDER BY paid_paise DESC, work_key LIMIT 200) SELECT count(*) FILTER (WHERE a.work_key IS NOT NULL AND b.work_key IS NOT NULL) AS shared, count(*) AS either, round(CAST(count(*) FILTER (WHERE a.work_key IS NOT NULL AND b.work_key IS NOT NULL) AS DOUBLE) / count(*), 6) AS jaccard FROM a FULL OUTER JOIN b ON a.work_key = b.work_key")
 def q_jaccard_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far two queues of 200 agree."""

@@ -5,13 +5,14 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import PHASE_WORDS, STOP_WORDS
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import models as M
 from ledgerloom.operators.similar_works import all_similar, best_matches, scored_pair, similar_pairs
-from ledgerloom.plans.ledger import leave_one_out, prior_peers
+from ledgerloom.plans.ledger import leave_one_out
 from ledgerloom.streaming import events as S
 
 
@@ -46,7 +47,7 @@ def test_density_clusters_equal_a_plain_dbscan(spark):
         assert (got[i] == -1) == (not (near[i] & core).any())
 
 
-def test_leave_one_out_and_prior_peers(spark):
+def test_leave_one_out(spark):
     df = spark.createDataFrame([(str(i), "g", v) for i, v in enumerate([100] * 11 + [10000])], "k string, g string, v bigint")
     got = {r["k"]: (r["peers"], r["median_others"]) for r in leave_one_out(df, "k", "g", "v", 10).collect()}
     assert got["11"] == (11, 100.0) and len(got) == 12
@@ -54,8 +55,6 @@ def test_leave_one_out_and_prior_peers(spark):
     df = spark.createDataFrame([(str(i), "g", v) for i, v in enumerate(values)], "k string, g string, v bigint")
     for r in leave_one_out(df, "k", "g", "v", 10).collect():
         assert r["median_others"] == np.median([v for i, v in enumerate(values) if i != int(r["k"])])
-    peers = spark.createDataFrame([("s", "a", "2024-2025", float(np.log1p(100.0)))] * 20 + [("s", "a", "2025-2026", 1.0)], "state string, activity string, sanction_fy string, x double")
-    assert sorted((r["fy"], r["state"], r["peers"], r["median_inr"], r["scale"]) for r in prior_peers(peers).where("state is not null").collect()) == [("2025-2026", "s", 20, 100.0, 0.1)]
 
 
 def test_confusion_cut_and_bootstrap(spark):
@@ -172,3 +171,32 @@ def test_one_pair_alone(spark):
     assert {k for k, r in got.items() if r["high"]} == {"same"}
     assert got["number"]["number_conflict"] and not got["no number"]["number_conflict"] and got["generic"]["generic"] and got["phase"]["phase"]
     assert got["empty"]["similarity"] == 0.0 and len(got) == len(rows)
+
+
+def test_queues(spark):
+    rows = [("a", 9, "x", True), ("b", 5, "x", False), ("c", 5, "y", True), ("d", 5, "y", False), ("e", 0, "z", False), ("f", 0, "z", True)]
+    df = spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "key string, score int, grp string, truth boolean, place int")
+    got = {r["budget"]: r for r in E.queue_edges(df, "score", [0.3, 0.9]).collect()}
+    assert tuple(got[0.3])[1:] == (2, 0, 5, 3, 1, 4) and tuple(got[0.9])[1:] == (6, 2, 0, 2, 2, 4)
+    assert E.queue_edges(df.limit(0), "score", [0.1]).count() == 0
+    assert {(r["grp"], r["selected"], r["share"]) for r in E.queue_mix(df, "place", 3, "grp").collect()} == {("x", 2, 2 / 3), ("y", 1, 1 / 3)}
+    assert {tuple(r) for r in E.queue_coverage(df, "place", 3, ["truth"]).collect()} == {("truth", 2, 3)}
+    scores = df.select("key", "score")
+    assert E.labelled(scores, df.select("key", "truth").where("key < 'c'"), "key", "truth").where("truth").count() == 1
+    with pytest.raises(ValueError):
+        E.labelled(df, df, "key", "truth")
+    with pytest.raises(ValueError):
+        E.labelled(scores.union(scores), df, "key", "truth")
+    assert [(r["taken"], r["recovered"]) for r in E.recovery_at(df, "key", "score", "truth", [0.1, 1.0]).orderBy("budget").collect()] == [(1, 1), (6, 3)]
+
+
+def test_rank_correlations(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, float("nan"), *range(6)]), rng.randrange(8), 1) for _ in range(60)]
+    df = spark.createDataFrame([(None if a is None else float(a), float(b), float(c)) for a, b, c in rows], "a double, b double, c double")
+    got = {(r["x"], r["y"]): r for r in E.rank_correlations(df, ["a", "b", "c"]).collect()}
+    whole = [(a, b) for a, b, _ in rows if a is not None and a == a]
+    rank = lambda v, all_: sum(x < v for x in all_) + (sum(x == v for x in all_) + 1) / 2
+    ra, rb = ([rank(v, [w[i] for w in whole]) for v in (w[i] for w in whole)] for i in (0, 1))
+    assert got["a", "b"]["rows"] == len(whole) and abs(got["a", "b"]["rho"] - np.corrcoef(ra, rb)[0, 1]) < 1e-6
+    assert got["a", "c"]["rho"] is None
