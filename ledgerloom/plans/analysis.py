@@ -46,8 +46,8 @@ def q_text_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_counts(table(spark, sf_dir, "work_features"), "description_normalized")
 
 
-_SIMILAR = f"""
-WITH base AS (SELECT work_id AS id, concat_ws('|', ida_key, activity_type) AS block, coalesce(description_normalized, '') AS text, sanction_amount_paise AS amount, {_WORDS.format("coalesce(description_normalized, '')")} AS words FROM work_features),
+_BASE = f"WITH base AS (SELECT work_id AS id, concat_ws('|', ida_key, activity_type) AS block, coalesce(description_normalized, '') AS text, sanction_amount_paise AS amount, {_WORDS.format("coalesce(description_normalized, '')")} AS words FROM work_features),"
+_PAIRS = f"""
 e AS (SELECT id, block, unnest(words) AS word FROM base), c AS (SELECT word, count(*) AS df FROM e GROUP BY word), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM base),
 we AS (SELECT word, df, ln(1 + (SELECT n FROM n) / (1 + df)) AS w FROM c),
 an AS (SELECT id, block, e.word FROM e JOIN we ON e.word = we.word QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, e.word) <= 3),
@@ -56,12 +56,13 @@ ne AS (SELECT DISTINCT a.id AS a, b.id AS b FROM po a JOIN po b ON a.block = b.b
 nk AS (SELECT a, b FROM ne QUALIFY row_number() OVER (PARTITION BY b ORDER BY a DESC) <= 60),
 ex AS (SELECT *, row_number() OVER (PARTITION BY block, text, amount ORDER BY id) AS p FROM base WHERE text <> '' AND amount IS NOT NULL),
 pr AS (SELECT a, b FROM nk UNION SELECT a.id, b.id FROM ex a JOIN ex b ON a.block = b.block AND a.text = b.text AND a.amount = b.amount AND b.p - a.p BETWEEN 1 AND 3),
-f AS (SELECT pr.a, pr.b, x.text AS ta, y.text AS tb, x.words AS wa, y.words AS wb, coalesce(x.amount = y.amount, FALSE) AS same_amount FROM pr JOIN base x ON pr.a = x.id JOIN base y ON pr.b = y.id),
-u AS (SELECT a, b, sum(w) AS whole, sum(w) FILTER (WHERE list_contains(wa, t.word) AND list_contains(wb, t.word)) AS shared FROM (SELECT a, b, wa, wb, unnest(list_distinct(list_concat(wa, wb))) AS word FROM f) t JOIN we ON t.word = we.word GROUP BY a, b),
-s AS (SELECT f.*, CASE WHEN ta = tb AND ta <> '' THEN 1.0 WHEN whole > 0 THEN coalesce(shared, 0) / whole ELSE 0.0 END AS sim FROM f LEFT JOIN u ON f.a = u.a AND f.b = u.b),
-g AS (SELECT *, list_sort(list_distinct(regexp_extract_all(ta, '\\b(\\d+)\\b'))) AS na, list_sort(list_distinct(regexp_extract_all(tb, '\\b(\\d+)\\b'))) AS nb FROM s WHERE sim >= 0.88),
-k AS (SELECT *, sim >= 0.96 AND same_amount AND (len(na) = 0 OR len(nb) = 0 OR na = nb) AND len(wa) >= 4 AND len(wb) >= 4 AND NOT regexp_matches(ta, '{_CUE}') AND NOT regexp_matches(tb, '{_CUE}') AS high FROM g)
+pf AS (SELECT pr.a, pr.b, x.text AS ta, y.text AS tb, x.words AS wa, y.words AS wb, coalesce(x.amount = y.amount, FALSE) AS same_amount FROM pr JOIN base x ON pr.a = x.id JOIN base y ON pr.b = y.id),
+u AS (SELECT a, b, sum(w) AS whole, sum(w) FILTER (WHERE list_contains(wa, t.word) AND list_contains(wb, t.word)) AS shared FROM (SELECT a, b, wa, wb, unnest(list_distinct(list_concat(wa, wb))) AS word FROM pf) t JOIN we ON t.word = we.word GROUP BY a, b),
+s AS (SELECT pf.*, CASE WHEN ta = tb AND ta <> '' THEN 1.0 WHEN whole > 0 THEN coalesce(shared, 0) / whole ELSE 0.0 END AS sim FROM pf LEFT JOIN u ON pf.a = u.a AND pf.b = u.b),
+pg AS (SELECT *, list_sort(list_distinct(regexp_extract_all(ta, '\\b(\\d+)\\b'))) AS na, list_sort(list_distinct(regexp_extract_all(tb, '\\b(\\d+)\\b'))) AS nb FROM s WHERE sim >= 0.88),
+k AS (SELECT *, sim >= 0.96 AND same_amount AND (len(na) = 0 OR len(nb) = 0 OR na = nb) AND len(wa) >= 4 AND len(wb) >= 4 AND NOT regexp_matches(ta, '{_CUE}') AND NOT regexp_matches(tb, '{_CUE}') AS high FROM pg)
 SELECT a, b, round(sim, 6) AS similarity, same_amount, high FROM k QUALIFY row_number() OVER (PARTITION BY b ORDER BY high DESC, sim DESC, same_amount DESC, a) <= 3"""
+_SIMILAR = _BASE + _PAIRS
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:

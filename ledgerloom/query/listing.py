@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import both
@@ -64,6 +65,55 @@ class Listing:
         return df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in self.totals])
 
 
+#: Rows of a work's pairs that its detail shows.
+MOST_PAIRS = 100
+
+
+def work_detail(works: DataFrame, reasons: DataFrame, pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(row, reasons, pairs)`` of one work: its columns, its rules by points, and its most similar works.
+
+    ``works`` and ``reasons`` have ``work_key``, ``pairs`` has ``a, b, similarity``. An unknown work has no rows.
+    """
+    mine = pairs.where((F.col("a") == key) | (F.col("b") == key)).orderBy(F.col("similarity").desc(), "a", "b").limit(MOST_PAIRS)
+    return works.where(F.col("work_key") == key), reasons.where(F.col("work_key") == key).orderBy(F.col("points").desc(), "rule"), mine
+
+
+def pairs_page(pairs: DataFrame, works: DataFrame, key: str, shown: Sequence[str], text: str | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(page, total)`` of pairs ``a, b, similarity, high`` with the columns ``shown`` of both works; ``text`` must
+    stand in a key or a shown column of either. High ones come first, then by similarity and keys."""
+    if text and len(text) > LONGEST_SEARCH:
+        raise BadRequest("the search is too long")
+    side = lambda s: works.select(F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in shown])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if text:
+        both = searched(both, text, ["a", "b", *[f"{c}_{s}" for c in shown for s in "ab"]])
+    order = [F.col("high").desc(), F.col("similarity").desc(), F.col("a"), F.col("b")]
+    return paged(both, order, limit, offset), both.agg(F.count(F.lit(1)).alias("total"))
+
+
+def table_page(df: DataFrame, key: str, order: Sequence[Column], text: str | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(page, total)`` of any table: ``text`` must stand in some column, whatever its type."""
+    if text and len(text) > LONGEST_SEARCH:
+        raise BadRequest("the search is too long")
+    rows = searched(df, text, df.columns) if text else df
+    try:
+        return paged(rows, [*order, F.col(key)], limit, offset), rows.agg(F.count(F.lit(1)).alias("total"))
+    except ValueError as e:
+        raise BadRequest(str(e)) from e
+
+
+def entity_reasons(works: DataFrame, reasons: DataFrame, column: str, value: str) -> DataFrame:
+    """``rule, works, points`` over the works of an entity."""
+    mine = works.where(F.col(column) == value).select("work_key")
+    return reasons.join(mine, "work_key", "left_semi").groupBy("rule").agg(F.count_distinct("work_key").alias("works"), F.sum("points").alias("points"))
+
+
+def status(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``name, columns, rows`` of some tables; row counts of Parquet tables come from their footers."""
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), F.lit(len(df.columns)).alias("columns"), "rows") for name, df in tables.items()]
+    return reduce(DataFrame.union, parts)
+
+
 WORKS = Listing(
     key="work_key",
     equal=("cohort", "state", "ida", "sanction_fy", "activity", "stage", "profile"),

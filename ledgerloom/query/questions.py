@@ -308,8 +308,9 @@ def understood(question: str, states: Sequence[str], columns: Iterable[str] | No
     filters: dict[str, list[str]] = {"sanction_fy": years[:1]} if years else {}
     filters |= {k: [m.value] for k in ("state",) for m in found[::-1] if m.kind == k}
     filters |= {"cohort": list(m.value) for m in found[::-1] if m.kind == "cohort"}
-    # A word of a filter or of a year names no group.
-    measure, group = _measure(found), _group([m for m in found if not (m.kind == "group" and any(o.kind in ("fiscal", "cohort") and o.at <= m.at < o.at + o.words for o in found))])
+    # "Financial year" before a year names no group.
+    begins = {m.at for m in found if m.kind == "year"}
+    measure, group = _measure(found), _group([m for m in found if not (m.kind == "group" and m.at + m.words in begins)])
     if measure is None and not (filters or group):
         return Refusal(question, "no measure was recognised")
     measure = measure or "works"

@@ -144,14 +144,14 @@ class WorkbookSource(DataSource):
         return "path string, row int, cells array<string>"
 
     def reader(self, schema) -> WorkbookReader:
-        return WorkbookReader(self.options["path"])
+        return WorkbookReader(self.options["path"], int(self.options.get("header_row", "0")))
 
 
 class WorkbookReader(DataSourceReader):
-    """Reads the workbooks of a comma-separated list of local paths."""
+    """Reads the workbooks of a comma-separated list of paths; rows up to ``header_row`` are passed over."""
 
-    def __init__(self, path: str) -> None:
-        self.paths = path.split(",")
+    def __init__(self, path: str, header_row: int = 0) -> None:
+        self.paths, self.header_row = path.split(","), header_row
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
@@ -159,7 +159,8 @@ class WorkbookReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value.removeprefix("file://"), "rb") as file:
             for row, cells in workbook_rows(file.read()):
-                yield partition.value, row, cells
+                if row > self.header_row:
+                    yield partition.value, row, cells
 
 
 def control_total(rows: DataFrame, label: str, amount: str) -> DataFrame:

@@ -31,16 +31,35 @@ def deduplicated(events: DataFrame, keys: list[str], lateness: str = "1 hour") -
 
 
 def ledger_upserts(events: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str):
-    """Keep the latest row of each key as Parquet: each batch is merged with the version before into a new one, and a
-    version is only read once it is written. ``batch_id`` makes a repeated batch write the same version again."""
+    """Append each batch's latest rows of its keys to a ledger, in a folder of the batch's own: a repeated batch writes
+    the same folder again, and what was written is never read or written again by a later one."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id:
-            merged = batch.sparkSession.read.parquet(f"{path}/v{batch_id - 1}").unionByName(batch)
-        latest(merged, keys, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+    def append(batch: DataFrame, batch_id: int) -> None:
+        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).start()
+
+
+def ledger_view(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key of such a ledger; ties in ``order`` go to the later batch."""
+    rows = spark.read.parquet(path)
+    return latest(rows, keys, [*order, "batch"]).drop("batch")
+
+
+def ledger_compacted(spark: SparkSession, path: str, keys: list[str], order: list[str], to: str) -> None:
+    """Write the view as a ledger of one batch (number 0) to another folder, which then takes the old one's place."""
+    ledger_view(spark, path, keys, order).write.mode("error").parquet(f"{to}/batch=0")
+
+
+def watched(query, say) -> None:
+    """Run a stream over what is there and ``say`` each step as ``done/known`` batches with the rows read."""
+    while query.isActive:
+        known = query.status["isDataAvailable"] or query.status["isTriggerActive"]
+        done = [p for p in query.recentProgress if p["numInputRows"]]
+        say(f"{len(done)}/{len(done) + bool(known)}", sum(p["numInputRows"] for p in done))
+        if not known:
+            return
+        query.awaitTermination(1)
 
 
 def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
