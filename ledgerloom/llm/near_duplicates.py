@@ -1,10 +1,11 @@
 """Problem 4: near-duplicate records with small edits (MinHash LSH forest, then exact verification).
 
-Every distinct pair of word set and amount is a unit. A unit's words give, for each of ``trees`` tries, a signature
-of up to ``MAX_DEPTH`` min-hashes; the sorted trie of a tree is the order of those signatures, and two units meet in
-a tree to the depth of their common prefix. Matching starts from the whole signature and shortens the prefix until
-the probability of meeting in some tree, at the lowest similarity two units of their sizes can have and still be a
-case, reaches the target recall. Units that meet and whose amounts may be close are verified exactly.
+Every distinct pair of word set and amount is a unit. A forest has ``trees`` tries; in each of them a unit is a path of
+min-hashes, packed into one number, so the numeric order of a tree's paths is the order of its sorted trie. Two units
+meet in a tree if their paths agree long enough. Matching starts from the whole path and shortens it until the
+probability of meeting in some tree, at the lowest similarity that two sets of their sizes can have and still be a case,
+reaches the target recall. The shortest prefix that any sizes need is what rows are brought together by; how much longer
+two paths must agree is looked at when they meet. Units that meet and whose amounts may be close are verified exactly.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.graph import components
 from ledgerloom.session import staged
 
-MAX_DEPTH = 8
+#: Bits of a path's min-hashes, from the root on; five bits before them are the tree's number.
+STEPS, TREE_BITS = (16, 16, 16, 11), 5
+MAX_DEPTH = len(STEPS)
 #: A case shares at least NUM/DEN of all distinct words.
 NUM, DEN = 7, 10
 #: 1/CLOSE of the larger amount is the most by which amounts may differ.
 CLOSE = 50
-
-
-#: What a unit takes along into the forest.
-FACTS = ("uid", "amount", "n", "m0", "m1", "same_text")
+#: Set sizes that have their own depth; for larger ones the depth of NUM/DEN holds, the shortest of all.
+LARGEST = 200
+#: Rows of a prefix that one task pairs as they come; fuller ones are divided among tasks.
+CELL = 30_000
+#: Pairs that a task looks at in one step.
+AT_ONCE = 1 << 21
 
 
 def recall_at(similarity: float, depth: int, trees: int) -> float:
@@ -49,18 +54,16 @@ def shortened(similarity: float, trees: int, target: float) -> int:
     return next((d for d in range(MAX_DEPTH, 1, -1) if recall_at(similarity, d, trees) >= target), 1)
 
 
-def depth_table(trees: int, target: float, largest: int = 400) -> list[list[int]]:
-    """For each set size up to ``largest`` the depths at which it has to be looked for.
-
-    Two sets meet at the shorter of what their sizes allow; a size lists all the depths at which it meets another.
-    Larger sets take the last row: their least similarity is NUM/DEN as nearly as matters, and the depth for NUM/DEN
-    itself is the shortest of all.
-    """
-    own = [MAX_DEPTH] + [shortened(min(s for b in range(1, 2 * a + 2) if (s := least_similarity(a, b))), trees, target) for a in range(1, largest + 1)]
-    rows = [[MAX_DEPTH]]
-    for a in range(1, largest + 1):
-        rows.append(sorted({min(own[a], own[b]) for b in range(max(1, a * NUM // DEN - 1), min(largest, a * DEN // NUM + 2) + 1)}))
-    return rows
+def depths(trees: int, target: float) -> np.ndarray:
+    """``[size, size]``: how long the paths of two sets of these sizes must agree; sizes above LARGEST count as that."""
+    out = np.full((LARGEST + 1, LARGEST + 1), MAX_DEPTH, dtype=np.int8)
+    known: dict[float, int] = {}
+    for a in range(1, LARGEST + 1):
+        for b in range(1, LARGEST + 1):
+            s = NUM / DEN if LARGEST in (a, b) else least_similarity(a, b)
+            if s:
+                out[a, b] = known.setdefault(s, shortened(s, trees, target))
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,10 +82,25 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, trees: int, depth: int, s
     return out
 
 
-def _forest(units: DataFrame, trees: int, target: float, seed: int) -> DataFrame:
-    """``cell, depth, first`` and the unit's facts: a row for each tree and depth at which a unit is looked for."""
-    rows = depth_table(trees, target)
-    deepest = max(max(r) for r in rows[1:])
+def paths(made: np.ndarray) -> np.ndarray:
+    """``[unit, tree]``: the packed paths of signatures ``[unit, tree, step]``."""
+    out = np.broadcast_to(np.arange(made.shape[1], dtype=np.uint64)[None, :], made.shape[:2]).copy()
+    for step, bits in enumerate(STEPS):
+        out = (out << np.uint64(bits)) | (made[:, :, step] & np.uint64((1 << bits) - 1))
+    return out
+
+
+def _cut(depth: int) -> int:
+    """Bits of a path below a prefix."""
+    return sum(STEPS[depth:])
+
+
+#: A row of the forest: prefix, rest of the path, and what tells at a meeting whether two units may be a case.
+ROW = "prefix bigint, rest bigint, uid bigint, amount bigint, n smallint, m0 bigint, m1 bigint, text int"
+
+
+def _forest(units: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
+    """A row for each unit and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,38 +109,72 @@ def _forest(units: DataFrame, trees: int, target: float, seed: int) -> DataFrame
             lists = batch.column(1)
             offsets = np.asarray(lists.offsets)
             hashes = np.asarray(lists.flatten()).view(np.uint64)
-            sizes = np.diff(offsets)
-            made = signatures(hashes, (offsets[:-1] - offsets[0]).astype(np.int64), trees, deepest, seed)
-            row = np.minimum(sizes, len(rows) - 1)
-            cells, who, depths, trees_of = [], [], [], []
-            prefix = np.broadcast_to(_mixed(np.arange(trees, dtype=np.uint64))[None, :], made.shape[:2]).copy()
-            for d in range(1, deepest + 1):
-                prefix = _mixed(prefix * np.uint64(0x9E3779B97F4A7C15) + made[:, :, d - 1])
-                here = np.flatnonzero(np.array([d in r for r in rows])[row])
-                if len(here):
-                    cells.append(prefix[here].reshape(-1))
-                    who.append(np.repeat(here, trees))
-                    depths.append(np.full(len(here) * trees, d, dtype=np.int8))
-                    trees_of.append(np.tile(np.arange(trees), len(here)))
-            at = pa.array(np.concatenate(who))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(depths)), pa.array(np.concatenate(trees_of) == 0), *[batch.column(c).take(at) for c in (0, 2, 3, 4, 5, 6)]],
-                ["cell", "depth", "first", *FACTS],
-            )
-
-    schema = "cell bigint, depth tinyint, first boolean, uid bigint, amount bigint, n int, m0 bigint, m1 bigint, same_text bigint"
-    return units.select(FACTS[0], F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), *FACTS[1:]).mapInArrow(run, schema)
+            path = paths(signatures(hashes, (offsets[:-1] - offsets[0]).astype(np.int64), trees, MAX_DEPTH, seed)).T
+            at = pa.array(np.tile(np.arange(batch.num_rows), trees))
+            flat = path.reshape(-1)
+            cut = np.uint64(_cut(depth))
+            size = pa.array(np.minimum(np.diff(offsets), LARGEST).astype(np.int16))
+            ends = [(flat >> cut).view(np.int64), (flat & np.uint64((1 << int(cut)) - 1)).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ends), *[c.take(at) for c in (batch.column(0), batch.column(2), size, *batch.columns[3:])]], ROW.replace(",", "").split()[::2])
+
+    return units.select("uid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "amount", "m0", "m1", "text").mapInArrow(run, ROW)
+
+
+def _agreeing(rest_a: np.ndarray, rest_b: np.ndarray, depth: int) -> np.ndarray:
+    """How long two paths agree that have the first ``depth`` steps in common."""
+    out = np.full(len(rest_a), depth, dtype=np.int8)
+    differ = rest_a ^ rest_b
+    for d in range(depth + 1, MAX_DEPTH + 1):
+        out += (differ >> _cut(d)) == 0
+    return out
+
+
+def _possible(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, need: np.ndarray, depth: int, first: int) -> np.ndarray:
+    """Whether pairs of rows, which share a prefix and have close amounts, agree as long as their sizes ask for and may
+    share enough words. Equal texts meet in every tree; the first one is enough. A mask has one bit for each word, so a
+    bit that one set has and another lacks stands for a word that the other lacks."""
+    n, text = rows["n"].astype(np.int64), rows["text"]
+    masks = [rows[m].view(np.uint64) for m in ("m0", "m1")]  # bits are counted without a sign
+    a, b = [m[i] for m in masks], [m[j] for m in masks]
+    ok = _agreeing(rows["rest"][i], rows["rest"][j], depth) >= need[n[i], n[j]]
+    ok &= (rows["prefix"][i] >> first == 0) | (text[i] != text[j]) | (a[0] != b[0]) | (n[i] != n[j])
+    lacks = lambda x, y: sum(np.bitwise_count(p & ~q).astype(np.int64) for p, q in zip(x, y, strict=True))
+    shared = np.minimum(n[i] - lacks(a, b), n[j] - lacks(b, a))
+    large = (n[i] >= LARGEST) | (n[j] >= LARGEST)  # their sizes aren't known
+    return ok & (large | (shared * DEN >= NUM * (n[i] + n[j] - shared)))
+
+
+def _meetings(rows: dict[str, np.ndarray], need: np.ndarray, depth: int) -> np.ndarray:
+    """``[pair, 2]`` uids of rows, sorted by prefix and amount, that meet; each pair once, the smaller uid first."""
+    prefix, amount, uid = rows["prefix"], rows["amount"], rows["uid"]
+    fresh = np.ones(len(prefix), dtype=bool)
+    fresh[1:] = prefix[1:] != prefix[:-1]
+    cell = np.cumsum(fresh)
+    # The last amount that is close to a row's: the larger may exceed the smaller by a part in CLOSE - 1 of it.
+    known, place = np.unique(amount, return_inverse=True)
+    upto = np.searchsorted(known, [min(int(a) * CLOSE // (CLOSE - 1), (1 << 63) - 1) for a in known], side="right")
+    order = cell * (len(known) + 1) + place
+    stop = np.searchsorted(order, cell * (len(known) + 1) + upto[place], side="left")
+    counts = stop - np.arange(len(prefix)) - 1
+    out, begin = [np.zeros((0, 2), dtype=np.int64)], 0
+    ends = np.cumsum(counts)
+    while begin < len(counts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+        mine = counts[begin:end]
+        i = np.repeat(np.arange(begin, end), mine)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(mine) - mine, mine)
+        ok = _possible(rows, i, j, need, depth, sum(STEPS[:depth]))
+        i, j = uid[i[ok]], uid[j[ok]]
+        out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0))
+        begin = end
+    return np.concatenate(out)
 
 
 def _mask(words: Column, half: int) -> Column:
-    """64 of 128 bits, one bit for each word. A bit that one set has and another lacks stands for at least one word
-    which the other lacks; so masks give an upper bound on what two sets share, and never lose a case."""
-    bit = lambda w: F.pmod(F.xxhash64(w, F.lit("bit")), F.lit(128))
-    return F.aggregate(
-        F.filter(words, lambda w: F.floor(bit(w) / 64) == half),
-        F.lit(0).cast("bigint"),
-        lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit(w) % 64).cast("int"))),
-    )
+    """64 of 128 bits, one of which stands for each word."""
+    bit = lambda w: F.pmod(F.xxhash64(w, F.lit("bit")), F.lit(128)).cast("int")
+    mine = F.filter(words, lambda w: F.floor(bit(w) / 64) == half)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(w) % 64)))
 
 
 def _units(rows: DataFrame, key: str, text: str, amount: str) -> DataFrame:
@@ -134,60 +186,131 @@ def _units(rows: DataFrame, key: str, text: str, amount: str) -> DataFrame:
     )
 
 
-#: Rows of a cell that one task compares with all rows of the cell; a fuller cell is divided among tasks.
-CELL = 2000
+def _paired(grown: DataFrame, need: np.ndarray, depth: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, full)``: ``a, b`` of rows that meet, and the rows of prefixes with more than CELL of them.
 
+    Rows come to a task sorted by prefix and amount. A prefix is paired when its last row has come; rows of a full one
+    are passed on as soon as it is known to be full, so a task never holds more than CELL rows of one.
+    """
+    names = ROW.replace(",", "").split()[::2]
+    schema = "a bigint, b bigint, " + ROW
 
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(a, b)`` of the rows that share a cell and may be cases by amounts and masks, perhaps more than once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        full = None  # the prefix whose rows are being passed on
 
-    The left rows of a full cell are dealt to as many parts as it takes, and the right rows copied to each part; all
-    pairs are still compared.
-    """
-    less = lambda p, q: sum((F.bit_count(F.col(f"m{i}{p}").bitwiseAND(F.bitwise_not(F.col(f"m{i}{q}")))) for i in (0, 1)), F.lit(0))
-    shared = F.least(F.col("n_a") - less("_a", ""), F.col("n") - less("", "_a"))
-    met = (
-        (F.col("uid_a") != F.col("uid"))
-        & (F.col("first") | (F.col("same_text_a") != F.col("same_text")))  # equal texts meet in every tree: one is enough
-        & (~F.col("same") | (F.col("uid_a") < F.col("uid")))
-        & (CLOSE * F.abs(F.col("amount_a") - F.col("amount")) <= F.greatest("amount_a", "amount"))
-        & (shared * DEN >= NUM * (F.col("n_a") + F.col("n") - shared))
-    )
-    pair = [F.least("uid_a", "uid").alias("a"), F.greatest("uid_a", "uid").alias("b")]
-    full = staged(left.groupBy("home").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CELL).select("home", F.ceil(F.col("rows") / CELL).cast("int").alias("parts")), "full")
-    if not full.limit(1).count():
-        return left.join(right, "home").where(met).select(*pair)
-    rest = left.join(full, "home", "left_anti").join(right.join(full, "home", "left_anti"), "home").where(met).select(*pair)
-    dealt = left.join(full, "home").withColumn("part", F.pmod(F.xxhash64("uid_a"), F.col("parts")).cast("int")).drop("parts")
-    copied = right.join(full, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return rest.unionByName(dealt.join(copied, ["home", "part"]).where(met).select(*pair))
+        def passed_on(rows: dict[str, np.ndarray], these: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(int(these.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *[pa.array(rows[c][these]) for c in names]], ["a", "b", *names])
 
+        def paired(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            pairs = _meetings(rows, need, depth)
+            empty = [pa.nulls(len(pairs), pa.array(rows[c][:0]).type) for c in names]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *empty], ["a", "b", *names])
 
-def linked_units(rows: DataFrame, key: str, text: str, amount: str, trees: int = 28, target: float = 0.999, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
+            if full is not None:
+                these = rows["prefix"] == full
+                if these.any():
+                    yield passed_on(rows, these)
+                rows = {c: v[~these] for c, v in rows.items()}
+                held = None
+                if not len(rows["prefix"]):
+                    continue
+                full = None
+            last = rows["prefix"] == rows["prefix"][-1]
+            _, inverse, counts = np.unique(rows["prefix"], return_inverse=True, return_counts=True)
+            crowded = counts[inverse] > CELL
+            if crowded.any():
+                yield passed_on(rows, crowded)
+            if crowded[-1]:
+                full = rows["prefix"][-1]
+            done = ~crowded & ~last
+            if done.any():
+                yield paired({c: v[done] for c, v in rows.items()})
+            held = {c: v[last & ~crowded] for c, v in rows.items()} if not crowded[-1] else None
+        if held is not None and len(held["prefix"]):
+            yield paired(held)
+
+    made = grown.repartition(tasks, "prefix").sortWithinPartitions("prefix", "amount").mapInArrow(run, schema)
+    made = staged(made, "met")
+    return made.where("a is not null").select("a", "b"), made.where("a is null").drop("a", "b")
+
+
+def _dealt(full: DataFrame, need: np.ndarray, depth: int, tasks: int) -> DataFrame:
+    """``a, b`` of the rows of full prefixes that meet.
+
+    A full prefix is cut by bands of the amount, of which close amounts lie in the same or the next. The rows of a band
+    are dealt to parts of CELL / 2 rows, and each part meets each part of its own band and of the band below; all
+    pairs are looked at, each by one task.
+    """
+    step = math.log(CLOSE / (CLOSE - 1)) * (1 + 1e-9)
+    rows = full.withColumn("band", F.when(F.col("amount") > 0, F.floor(F.log("amount") / step)).otherwise(F.lit(-9)).cast("int"))
+    sizes = rows.groupBy("prefix", "band").agg(F.ceil(F.count(F.lit(1)) / (CELL // 2)).cast("int").alias("parts"))
+    above = sizes.select("prefix", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = sizes.select("prefix", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    sizes = sizes.join(above, ["prefix", "band"], "left").join(below, ["prefix", "band"], "left")
+    rows = staged(rows.join(sizes, ["prefix", "band"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")), "full")
+    # A block is two parts: (lower band, part) and (band, part). With its own band the smaller part is named first.
+    name = lambda low, p, high, q: F.struct(low.alias("low"), p.alias("p"), high.alias("high"), q.alias("q"))
+    band, part = F.col("band"), F.col("part")
+    to = lambda n: F.when(n.isNotNull() & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(to(F.col("parts")), lambda q: name(band, F.least(part, q), band, F.greatest(part, q)))
+    up = F.transform(to(F.col("above")), lambda q: name(band, part, band + 1, q))
+    down = F.transform(to(F.col("below")), lambda q: name(band - 1, q, band, part))
+    columns = ROW.replace(",", "").split()[::2]
+    blocks = rows.select(*columns, "band", "part", F.explode(F.concat(own, up, down)).alias("block"))
+    blocks = blocks.select(F.xxhash64("prefix", "block").alias("home"), *columns, ((band == F.col("block.low")) & (part == F.col("block.p"))).alias("left"), ((F.col("block.low") == F.col("block.high")) & (F.col("block.p") == F.col("block.q"))).alias("alone"))
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = {c: group.column(c).to_numpy() for c in columns}
+        left, alone = group.column("left").to_numpy(), group.column("alone").to_numpy()
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        these, those = np.flatnonzero(left), np.flatnonzero(~left | alone)
+        for begin in range(0, len(these), max(1, AT_ONCE // max(1, len(those)))):
+            i = np.repeat(these[begin : begin + max(1, AT_ONCE // max(1, len(those)))], len(those))
+            j = np.tile(those, len(i) // max(1, len(those)))
+            a, b = rows["amount"][i], rows["amount"][j]
+            near = (np.abs(a - b) <= np.maximum(a, b) // CLOSE) & (rows["prefix"][i] == rows["prefix"][j]) & (rows["uid"][i] != rows["uid"][j])
+            i, j = i[near], j[near]
+            ok = _possible(rows, i, j, need, depth, sum(STEPS[:depth]))
+            x, y = rows["uid"][i[ok]], rows["uid"][j[ok]]
+            out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return blocks.repartition(tasks, "home").groupBy("home").applyInArrow(run, "a bigint, b bigint")
+
+
+def linked_units(rows: DataFrame, key: str, text: str, amount: str, trees: int = 17, target: float = 0.999, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``members(key, uid)`` puts each row into its unit, ``links(a, b)`` are unit pairs.
 
     Exact copies (same words, same amount) are one unit, so a hot text costs one signature, not its square. Rows
     with null or blank text, null amount or negative amount belong to no unit: a negative larger amount can't be
-    near anything. Every link is verified; a case is missed with a probability of at most ``1 - target``.
+    near anything. Every link is verified; a case is missed with a probability of at most ``1 - target``. At most 32
+    trees.
     """
+    depth = shortened(NUM / DEN, trees, target)
+    if not 1 <= trees <= 1 << TREE_BITS or recall_at(NUM / DEN, depth, trees) < target:
+        raise ValueError(f"{trees} trees can't reach a recall of {target}")
+    need = depths(trees, target)
     base = _units(rows, key, text, amount)
     units = base.groupBy("spelled", "amount").agg(F.count(F.lit(1)).alias("copies"))
     words = F.split("spelled", " ")
-    units = staged(
-        units.select(F.monotonically_increasing_id().alias("uid"), "spelled", "amount", F.size(words).cast("int").alias("n"), _mask(words, 0).alias("m0"), _mask(words, 1).alias("m1"), F.xxhash64("spelled").alias("same_text")),
-        "units",
-    )
+    units = staged(units.select(F.monotonically_increasing_id().alias("uid"), "spelled", "amount"), "units")
     members = base.select("key", "spelled", "amount").join(units.select("uid", "spelled", "amount"), ["spelled", "amount"]).select("key", "uid")
 
-    step = math.log(CLOSE / (CLOSE - 1)) * (1 + 1e-9)
-    band = F.when(F.col("amount") > 0, F.floor(F.log("amount") / step)).otherwise(F.lit(-9)).cast("int")
-    # A cell is a prefix of a tree within a band of the amount; a row also looks into the same prefix one band below.
-    grown = _forest(units.withColumn("words", words), trees, target, seed)
-    grown = staged(grown.select(F.xxhash64("cell", band).alias("home"), F.xxhash64("cell", band - 1).alias("below"), "first", *FACTS), "forest")
-    left = grown.select("home", "first", *[F.col(c).alias(f"{c}_a") for c in FACTS])
-    homes = F.array(F.struct(F.col("home"), F.lit(True).alias("same")), F.struct(F.col("below").alias("home"), F.lit(False).alias("same")))
-    right = grown.select(F.inline(homes), *FACTS)
-    found = _met(left, right).distinct()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    described = units.withColumns({"words": words, "m0": _mask(words, 0), "m1": _mask(words, 1), "text": F.hash("spelled")})
+    pairs, full = _paired(_forest(described, trees, depth, seed), need, depth, tasks)
+    if not full.isEmpty():
+        pairs = pairs.unionByName(_dealt(full, need, depth, tasks))
+    found = pairs.distinct()
     one = units.select(F.col("uid").alias("a"), F.split("spelled", " ").alias("words_a"))
     two = units.select(F.col("uid").alias("b"), F.split("spelled", " ").alias("words_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))

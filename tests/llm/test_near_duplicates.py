@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pytest
+
 from ledgerloom.llm import near_duplicates
-from ledgerloom.llm.near_duplicates import depth_table, least_similarity, near_duplicate_groups, near_duplicate_pairs, recall_at, shortened
+from ledgerloom.llm.near_duplicates import LARGEST, MAX_DEPTH, STEPS, depths, least_similarity, linked_units, near_duplicate_groups, near_duplicate_pairs, paths, recall_at, shortened
 
 SCHEMA = "id string, text string, amount bigint, uid int, words string"
 
@@ -69,11 +72,33 @@ def test_groups(spark):
 
 def test_prefix_is_shortened_until_the_target():
     assert least_similarity(4, 4) == 1.0 and least_similarity(10, 7) == 0.7 and least_similarity(10, 6) is None
-    depth = shortened(0.7, 28, 0.999)
-    assert recall_at(0.7, depth, 28) >= 0.999 > recall_at(0.7, depth + 1, 28)
-    rows = depth_table(28, 0.999)
-    for a in range(1, 80):
-        for b in range(1, 80):
+    need = depths(17, 0.999)
+    shortest = shortened(0.7, 17, 0.999)
+    for a in range(1, LARGEST + 1):
+        for b in range(1, LARGEST + 1):
             if (s := least_similarity(a, b)) is not None:
-                meet = set(rows[a]) & set(rows[b])
-                assert any(recall_at(s, d, 28) >= 0.999 for d in meet), (a, b)
+                assert need[a, b] >= shortest and recall_at(s, int(need[a, b]), 17) >= 0.999, (a, b)
+                assert need[a, b] == MAX_DEPTH or LARGEST in (a, b) or recall_at(s, int(need[a, b]) + 1, 17) < 0.999
+    assert set(need[LARGEST]) >= {shortest}
+
+
+def test_paths_are_sorted_tries():
+    rng = np.random.default_rng(2)
+    made = rng.integers(0, 3, size=(50, 4, MAX_DEPTH)).astype(np.uint64)
+    packed = paths(made)
+    for t in range(4):
+        want = sorted(range(50), key=lambda u: (tuple(made[u, t]), u))
+        assert [tuple(made[u, t]) for u in np.argsort(packed[:, t], kind="stable")] == [tuple(made[u, t]) for u in want]
+    assert (packed >> np.uint64(sum(STEPS)) == np.arange(4, dtype=np.uint64)).all()
+
+
+def test_too_few_trees(spark):
+    with pytest.raises(ValueError):
+        linked_units(made(spark, []), "id", "text", "amount", trees=2)
+
+
+def test_bands_of_full_prefixes(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"k{i:03}", "one two three four five six seven eight " + rng.choice(["nine", "ten", "nine ten"]), rng.choice([0, 0, 1, 40, 41, 42, 5000, 5001, 5099, 5100, 5203, 5204])) for i in range(120)]
+    monkeypatch.setattr(near_duplicates, "CELL", 6)
+    assert pairs(spark, rows) == brute(rows)
