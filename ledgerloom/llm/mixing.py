@@ -5,23 +5,31 @@ from that how many whole passes over its blocks and how much of a further pass a
 counted by source; a binary tree splits these counts exactly among the output shards, each split being a draw without
 replacement (multivariate hypergeometric), so shards are like parts of one perfect shuffle. A shard then takes the
 next blocks of each source in a random order of its blocks, and its rows are shuffled within the shard.
+
+The driver holds totals of sources only. A node of the tree draws from its own seed, so every task can walk to the
+shards it makes by itself; blocks, draws and quotas of shards are tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledgerloom.llm.tokens import vocabulary_path, with_token_counts
+from ledgerloom.operators.relational import ranked, running_total
 from ledgerloom.session import staged
 
-#: Tokens in a block and in an output shard, as long as there are no more than MOST_BLOCKS blocks; blocks grow beyond.
-BLOCK_TOKENS, SHARD_TOKENS, MOST_BLOCKS = 1 << 16, 1 << 22, 100_000
+#: Tokens in a block and in an output shard.
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 16, 1 << 22
+#: Shards whose quotas one task draws.
+LEAVES = 4096
 #: Most sources that may have a target; they are handled on the driver.
 MOST_SOURCES = 10_000
 
@@ -31,19 +39,46 @@ def source_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[-\s]", "_")
 
 
-def split_counts(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """``[shard, source]`` counts that sum exactly to ``counts``: the leaves of the splitting tree.
+def split_counts(counts: np.ndarray, shards: int, seed: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """``[shard, source]`` counts of shards ``first`` to ``last`` (exclusive; default: all), which over all shards sum
+    exactly to ``counts``: leaves of the splitting tree.
 
     A node's blocks are divided in proportion to the shards below either side; which sources they come from is drawn
-    without replacement.
+    without replacement, from a seed of the node's own. So a part of the leaves can be had without the others.
     """
-    if shards == 1:
-        return counts[None, :]
-    left = shards // 2
-    total = int(counts.sum())
-    take = total * left // shards
-    drawn = rng.multivariate_hypergeometric(counts, take, method="marginals") if total else counts
-    return np.concatenate([split_counts(drawn, left, rng), split_counts(counts - drawn, shards - left, rng)])
+    last = shards if last is None else last
+    out = np.zeros((last - first, len(counts)), dtype=np.int64)
+    stack = [(0, shards, np.asarray(counts, dtype=np.int64))]
+    while stack:
+        low, high, here = stack.pop()
+        if high <= first or low >= last:
+            continue
+        if high - low == 1:
+            out[low - first] = here
+            continue
+        middle = low + (high - low) // 2
+        total = int(here.sum())
+        rng = np.random.default_rng([seed, low, high])
+        drawn = rng.multivariate_hypergeometric(here, total * (middle - low) // (high - low), method="marginals") if total else here
+        stack += [(low, middle, drawn), (middle, high, here - drawn)]
+    return out
+
+
+def before_leaf(counts: np.ndarray, shards: int, seed: int, leaf: int) -> np.ndarray:
+    """What all shards before one have in sum: the left sides that the way to it passes by."""
+    out = np.zeros(len(counts), dtype=np.int64)
+    low, high, here = 0, shards, np.asarray(counts, dtype=np.int64)
+    while high - low > 1:
+        middle = low + (high - low) // 2
+        total = int(here.sum())
+        rng = np.random.default_rng([seed, low, high])
+        drawn = rng.multivariate_hypergeometric(here, total * (middle - low) // (high - low), method="marginals") if total else here
+        if leaf < middle:
+            high, here = middle, drawn
+        else:
+            low, here = middle, here - drawn
+            out += drawn
+    return out
 
 
 @dataclass(frozen=True)
@@ -85,8 +120,9 @@ EXCHANGE = 48
 
 
 def part_of(sizes: list[int], room: int) -> list[int]:
-    """Places of items whose sum comes close to ``room`` from below: in the given order what fits, and then the last
-    EXCHANGE of these and as many others are chosen anew for the best sum (reachable sums as bits of an integer)."""
+    """Places of items whose sum comes close to ``room``, from below or, if that is nearer, from above: in the given
+    order what fits, and then the last EXCHANGE of these and as many others are chosen anew for the best sum (reachable
+    sums as bits of an integer)."""
     taken, left, rest = [], room, []
     for i, size in enumerate(sizes):
         if size <= left:
@@ -96,11 +132,14 @@ def part_of(sizes: list[int], room: int) -> list[int]:
             rest.append(i)
     pool, taken = taken[-EXCHANGE:] + rest[:EXCHANGE], taken[:-EXCHANGE]
     room -= sum(sizes[i] for i in taken)
-    within = (1 << (room + 1)) - 1
+    within = (1 << (2 * room + 1)) - 1  # beyond twice the room nothing is nearer than nothing
     sums = [1]
     for i in pool:
         sums.append((sums[-1] | sums[-1] << sizes[i]) & within)
-    best = sums[-1].bit_length() - 1
+    below = (sums[-1] & ((1 << (room + 1)) - 1)).bit_length() - 1
+    above = sums[-1] >> room
+    over = room + ((above & -above).bit_length() - 1) if above else below
+    best = over if over - room < room - below else below
     for k in range(len(pool), 0, -1):
         if not sums[k - 1] >> best & 1:
             taken.append(pool[k - 1])
@@ -122,6 +161,31 @@ def distinct_texts(documents: DataFrame, names: list[str], key: str, text: str,
     return first.select("one.*").where("tokens > 0")
 
 
+def _totals(spark: SparkSession, sources: list[Source]) -> DataFrame:
+    """``source, total`` of the sources that may give tokens: MOST_SOURCES rows at most."""
+    return F.broadcast(spark.createDataFrame([(s.name, s.tokens) for s in sources if s.usable], "source string, total bigint"))
+
+
+def _shards(spark: SparkSession, counts: list[int], firsts: list[int], names: list[str], shards: int, seed: int) -> DataFrame:
+    """``source, row, shard``: which shard each drawn block goes to. Blocks are numbered over all sources, a source's
+    from its first on; a task draws the quotas of LEAVES shards and what the shards before them have in sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.array(counts, dtype=np.int64)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                low, high = part * LEAVES, min(shards, (part + 1) * LEAVES)
+                mine = split_counts(total, shards, seed, low, high)
+                before = before_leaf(total, shards, seed, low)
+                begin = np.array(firsts, dtype=np.int64) + before + np.cumsum(mine, axis=0) - mine
+                for j, name in enumerate(names):
+                    yield pa.RecordBatch.from_pydict({"source": pa.array([name] * len(mine), pa.string()), "shard": np.arange(low, high), "begin": begin[:, j], "n": mine[:, j]})
+
+    tasks = max(1, -(-shards // LEAVES))
+    leaves = spark.range(0, tasks, 1, tasks).mapInArrow(run, "source string, shard bigint, begin bigint, n bigint").where("n > 0")
+    return leaves.select("source", "shard", F.explode(F.sequence(F.col("begin").cast("int"), (F.col("begin") + F.col("n") - 1).cast("int"))).alias("row"))
+
+
 def mixture(
     documents: DataFrame,
     targets: DataFrame,
@@ -156,48 +220,32 @@ def mixture(
     quota = quotas(sources, total)
 
     # Blocks of each source, and what they hold.
-    everything = all_tokens(sources)
-    block_tokens = max(BLOCK_TOKENS, -(-everything // MOST_BLOCKS))
-    blocks = {s.name: max(1, -(-s.tokens // block_tokens)) for s in sources if s.usable}
-    number = F.lit(1)
-    for name, n in blocks.items():
-        number = F.when(F.col("source") == name, F.lit(n)).otherwise(number)
-    dealt = texts.where(F.col("source").isin(list(blocks))).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), number).cast("int"))
-    held: dict[str, dict[int, int]] = {name: {} for name in blocks}
-    for r in dealt.groupBy("source", "block").agg(F.sum("tokens").alias("t")).collect():
-        held[r["source"]][r["block"]] = int(r["t"])
-
-    # Draws: whole passes, then blocks of a further pass up to the quota; the last one is drawn in part.
-    rng = np.random.default_rng(seed)
-    draws: dict[str, list[tuple[int, int, int | None]]] = {}
-    for name in sorted(blocks):
-        mine, rest, copy = [], quota[name], 0
-        per_pass = sum(held[name].values())
-        while rest > 0 and per_pass:
-            order = rng.permutation(sorted(held[name])).tolist()
-            for block in order:
-                size = held[name][block]
-                if size <= rest:
-                    mine.append((copy, block, None))
-                    rest -= size
-                else:
-                    mine.append((copy, block, rest))
-                    rest = 0
-                if rest <= 0:
-                    break
-            copy += 1
-        draws[name] = mine
-    names = sorted(draws)
+    number, given = F.lit(1), F.lit(0)
+    for x in sources:
+        if x.usable:
+            number = F.when(F.col("source") == x.name, F.lit(max(1, -(-x.tokens // BLOCK_TOKENS)))).otherwise(number)
+            given = F.when(F.col("source") == x.name, F.lit(quota[x.name])).otherwise(given)
+    dealt = texts.where(F.col("source").isin(sorted(quota))).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), number).cast("int"))
+    dealt = staged(dealt, "dealt")
+    held = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
+
+    # Draws: whole passes over the blocks, then blocks of a further pass up to the quota; the last one is drawn in part.
+    passes = held.withColumn("quota", given.cast("bigint")).join(_totals(spark, sources), "source")
+    copies = F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("total")).cast("int"))
+    drawn = passes.where("quota > 0").select("source", "block", "size", "quota", "total", F.explode(copies).alias("copy_no"))
+    drawn = drawn.withColumn("turn", F.struct("source", "copy_no", F.xxhash64("source", "copy_no", "block", F.lit(seed + 3)).alias("mix"), "block"))
+    summed = staged(running_total(drawn, "turn", "size", "upto"), "draws")
+    starts = summed.groupBy("source", "copy_no").agg(F.min(F.col("upto") - F.col("size")).alias("start"))
+    here = summed.join(starts, ["source", "copy_no"]).withColumn("before", F.col("copy_no") * F.col("total") + F.col("upto") - F.col("size") - F.col("start"))
+    left = F.col("quota") - F.col("before")
+    here = here.where(left > 0).select("source", "block", "copy_no", "turn", F.when(F.col("size") > left, left).alias("part"))
+    order = staged(ranked(here, [F.col("turn")], "row").drop("turn"), "order")
+    counts = {r["source"]: (r["n"], r["first"]) for r in order.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).collect()}
+    names = sorted(counts)
     shards = max(1, -(-sum(quota.values()) // SHARD_TOKENS))
-    leaves = split_counts(np.array([len(draws[n]) for n in names], dtype=np.int64), shards, rng)
-    plan = []
-    for j, name in enumerate(names):
-        ends = np.cumsum(leaves[:, j])
-        for i, (copy, block, part) in enumerate(draws[name]):
-            plan.append((name, block, copy, int(np.searchsorted(ends, i, side="right")), part))
-    # At most MOST_BLOCKS blocks and as many rows for each pass: bounded by the parameters, not by the texts.
-    steps = spark.createDataFrame(plan, "source string, block int, copy_no int, shard int, part bigint")
-    drawn = dealt.join(F.broadcast(steps), ["source", "block"])
+    plan = _shards(spark, [counts[n][0] for n in names], [counts[n][1] for n in names], names, shards, seed)
+    steps = order.join(plan, ["source", "row"]).drop("row")
+    drawn = dealt.join(steps, ["source", "block"])
     whole = drawn.where("part is null").drop("part", "block")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
@@ -206,10 +254,10 @@ def mixture(
         return group.loc[taken, ["key", "source", "tokens", "copy_no", "shard"]]
 
     mix = F.xxhash64("key", "copy_no", F.lit(seed + 1))
-    partly = drawn.where("part is not null").withColumn("mix", mix).groupBy("source", "block", "copy_no").applyInPandas(fill, "key bigint, source string, tokens int, copy_no int, shard int")
-    rows = whole.unionByName(partly)
+    partly = drawn.where("part is not null").withColumn("mix", mix).groupBy("source", "block", "copy_no").applyInPandas(fill, "key bigint, source string, tokens int, copy_no int, shard bigint")
+    rows = whole.select("key", "source", "tokens", "copy_no", "shard").unionByName(partly)
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("key", "copy_no", F.lit(seed + 2)), "key", "copy_no")) - 1
-    rows = rows.select("shard", place.alias("position"), F.col("key").alias("doc_id"), "copy_no", "source", "tokens")
+    rows = rows.select(F.col("shard").cast("int").alias("shard"), place.alias("position"), F.col("key").alias("doc_id"), "copy_no", "source", "tokens")
 
     goal = sum(s.target for s in sources if s.usable)
     about = spark.createDataFrame(
