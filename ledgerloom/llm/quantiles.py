@@ -12,6 +12,7 @@ of arrays; rows that still fit into the lowest level are merged by copying alone
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,8 @@ def capacity(section: int = SECTION, compactions: int = 0) -> tuple[int, int]:
 class Sketch:
     """A relative-error quantile sketch; ``high`` protects the upper tail, else the lower one.
 
-    Values must be finite numbers or infinities, never NaN. Coins are derived from the number of compactions, so the
-    same input in the same order gives the same sketch.
+    Values must be finite numbers or infinities, never NaN. Coins are hashes of the values that are compacted, so
+    they fall apart for groups, partitions and days, and the same input in the same order gives the same sketch.
     """
 
     def __init__(self, high: bool, section: int = SECTION) -> None:
@@ -92,7 +93,7 @@ class Sketch:
         trailing = (~self.done[h] & (self.done[h] + 1)).bit_length()  # 1 + trailing ones of the count
         keep = max(holds // 2, holds - trailing * size)
         cut = max(2, len(rows) - keep) & ~1
-        coin = (0x9E3779B97F4A7C15 * (self.done[h] + 1 + 131 * h) >> 33) & 1
+        coin = (zlib.crc32(rows[:cut].tobytes(), h) * 0x9E3779B1 >> 31) & 1
         if h + 1 == len(self.levels):
             self.levels.append(np.zeros(0))
             self.done.append(0)

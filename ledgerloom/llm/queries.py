@@ -67,6 +67,19 @@ def p3_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(from_days(daily, ["state", "sanction_fy"], SHARES))
 
 
+def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of whole columns, and whether the exact ranks of the estimates lie within the stated error."""
+    works = table(spark, sf_dir, "work_features")
+    long = works.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in FIELDS])))
+    long = long.where("value is not null and not isnan(value)")
+    found = read_quantiles(merge_sketches(sketch_values(long, ["field"], "value"), ["field"]), ["field"], SHARES)
+    ranks = long.join(F.broadcast(found), "field").groupBy("field", "n", "share", "rank_error").agg(F.count_if(F.col("value") < F.col("estimate")).alias("below"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))  # eight rows
+    # The wanted rank lies in the run of values equal to the estimate, give or take the error.
+    want, slack = F.greatest(F.lit(1), F.ceil(F.round(F.col("share") * F.col("n"), 6))), F.col("rank_error") * F.col("n")
+    within = (F.col("below") < want + slack) & (F.col("upto") >= want - slack)
+    return ranks.select("field", "n", F.col("share").alias("percentile"), (F.col("rank_error") > 0).alias("compacted"), within.alias("within"))
+
+
 def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[int, int, int]]:
     rows = table(spark, sf_dir, "token_limits").where(F.col("purpose") == purpose).orderBy("limit_id").collect()
     return [(r["limit_id"], r["max_tokens"], r["overlap_tokens"]) for r in rows]
@@ -133,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_persons": p1_persons,
     "p3_percentiles": p3_percentiles,
     "p3_from_days": p3_from_days,
+    "p3_bounds": p3_bounds,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p6_containers": p6_containers,
@@ -162,6 +176,10 @@ FROM r JOIN (VALUES (CAST(0.1 AS DOUBLE), 10), (0.5, 50), (0.9, 90), (0.99, 99))
 SQL: dict[str, str] = {
     "p3_percentiles": _PERCENTILES,
     "p3_from_days": _PERCENTILES,
+    "p3_bounds": """
+SELECT field, n, q AS percentile, n > 383 AS compacted, TRUE AS within FROM (
+  SELECT 'peer_median_inr' AS field, count(*) AS n FROM work_features WHERE peer_median_inr IS NOT NULL AND NOT isnan(peer_median_inr)
+  UNION ALL SELECT 'sanction_amount_paise', count(*) FROM work_features WHERE sanction_amount_paise IS NOT NULL), (VALUES (CAST(0.1 AS DOUBLE)), (0.5), (0.9), (0.99)) AS t(q)""",
     "p4_found": r"""
 WITH u AS (
   SELECT work_id, sanction_amount_paise AS amt, list_distinct(list_filter(regexp_split_to_array(description_normalized, '\s+'), lambda x: x <> '')) AS w

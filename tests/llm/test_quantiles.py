@@ -26,6 +26,20 @@ def test_error_stays_within_the_bound_whatever_the_merges(high):
         assert abs((x + 1) / n - q) <= relative_error() * ((1 - q) if high else q) + 1 / n
 
 
+def test_errors_of_many_partitions_do_not_add_up():
+    """Coins of partitions fall apart, so the mean error of many merged ones is near zero."""
+    errors = []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        n = 100_000
+        whole = Sketch(False)
+        for part in np.array_split(rng.permutation(n).astype(float), 200):
+            piece = Sketch(False).add(part)
+            whole.merge(piece.n, piece.levels, piece.done)
+        errors.append((whole.quantiles([0.1])[0] + 1) / n - 0.1)
+    assert abs(np.mean(errors)) < 0.0015 and max(map(abs, errors)) < relative_error() * 0.1 + 1e-5 and len({e > 0 for e in errors}) == 2
+
+
 def test_small_sketches_are_exact_and_empty_ones_say_nothing():
     assert Sketch(True).quantiles([0.5]) == [None]
     s = Sketch(False).add(np.array([3.0, 1.0, 2.0, 2.0]))
