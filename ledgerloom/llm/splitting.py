@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.schemas import extended
 from ledgerloom.llm.tokens import KINDS, NONE, Places, places, token_ids, vocabulary_path
@@ -127,11 +128,9 @@ def split_texts(df: DataFrame, key: str, text: str, limits: list[tuple[int, int,
         for batch in batches:
             texts, rows, cells, kinds, out = batch.column(1).to_pylist(), [], [], [], []
             for i, t in enumerate(texts):
-                if not t or 4 * len(t) <= min(m for _, m, _ in limits):  # a token has a byte at least, a character four at most
-                    continue
                 ids = token_ids(t, path)
                 n = len(ids)
-                if n <= min(m for _, m, _ in limits):
+                if n <= min((m for _, m, _ in limits), default=n):
                     continue
                 at = places(t, path, ids)
                 for limit, most, overlap in limits:
@@ -149,4 +148,6 @@ def split_texts(df: DataFrame, key: str, text: str, limits: list[tuple[int, int,
                 [key, *names, "cut_at", "text"],
             )
 
-    return df.select(key, df[text].alias("__text")).mapInArrow(run, schema)
+    # A token has a byte at least, so texts of no more bytes than the lowest limit needn't be tokenized.
+    perhaps = df.select(key, df[text].alias("__text")).where(F.octet_length("__text") > min((m for _, m, _ in limits), default=0))
+    return perhaps.mapInArrow(run, schema)
