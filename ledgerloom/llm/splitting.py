@@ -8,6 +8,7 @@ overlap (up to three more where a token's border falls inside a character).
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,25 +46,32 @@ def cuts(at: Places, first: int, last: int, most: int, least: int = 1) -> list[i
         middle, reach = a + size / 2, max(1, int(size * NEAR / 2))
         edge = max(1, min(least, size // 2))
         low, high = max(a + edge, int(middle) - reach), min(b - edge + 1, int(middle) + reach + 1)
-        kind = np.where(at.whole[low:high], at.kind[low:high], -1)
-        if kind.max(initial=-1) <= NONE:
+        cut = next((c for of in at.ranked[:NONE:-1] if (c := _nearest(of, middle, low, high)) is not None), None)
+        if cut is None:  # far from the middle, nearness counts more than strength
             low, high = a + edge, b - edge + 1
-            kind = np.where(at.whole[low:high], at.kind[low:high], -1)
-            kind = np.minimum(kind, NONE + 1)  # far from the middle, nearness counts more than strength
-        if kind.max(initial=-1) < 0:
-            low, high = a + 1, b
-            kind = np.where(at.whole[low:high], NONE, -1)
-        best = kind.max(initial=-1)
-        if best < 0:
+            cut = _nearest(at.natural, middle, low, high)
+        if cut is None:
+            cut = _nearest(at.ranked[NONE], middle, low, high)
+        if cut is None:
+            cut = _nearest(at.between, middle, a + 1, b)
+        if cut is None:
             if b != last:
                 out.append(b)
             continue
-        where = np.flatnonzero(kind == best) + low
-        cut = int(where[np.argmin(np.abs(where - middle))])
         stack += [(cut, b), (a, cut)]
     return out
 
 
+def _nearest(borders: list[int], middle: float, low: int, high: int) -> int | None:
+    """The border in ``[low, high)`` nearest to the middle, the left one of two; None if there is none."""
+    i = bisect_left(borders, middle)
+    left = borders[i - 1] if i and low <= borders[i - 1] < high else None
+    right = borders[i] if i < len(borders) and low <= borders[i] < high else None
+    if left is None or right is None:
+        return right if left is None else left
+    return left if middle - left <= right - middle else right
+
+
 def full_cuts(at: Places, most: int) -> list[int]:
     """Borders that divide all tokens into segments as near to ``most`` as natural boundaries allow.
 

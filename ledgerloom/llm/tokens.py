@@ -80,13 +80,21 @@ class Places:
     whole: np.ndarray
     kind: np.ndarray
 
+    @functools.cached_property
+    def ranked(self) -> list[list[int]]:
+        """For each kind from NONE on the borders between characters that are of it, in order."""
+        kinds = np.where(self.whole, self.kind, -1)
+        return [np.flatnonzero(kinds == k).tolist() for k in range(len(KINDS))]
 
-def _runs_newlines(space: np.ndarray, newline: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the number of its run of white space (0: none) and for each run its line breaks."""
-    fresh = space.copy()
-    fresh[1:] &= ~space[:-1]
-    number = np.cumsum(fresh) * space
-    return number, np.bincount(number[newline], minlength=(number.max() if len(number) else 0) + 1)
+    @functools.cached_property
+    def natural(self) -> list[int]:
+        """All borders between characters that are natural boundaries, in order."""
+        return np.flatnonzero(self.whole & (self.kind > NONE)).tolist()
+
+    @functools.cached_property
+    def between(self) -> list[int]:
+        """All borders between characters, in order."""
+        return np.flatnonzero(self.whole).tolist()
 
 
 SPACE = np.zeros(256, dtype=bool)
@@ -102,30 +110,37 @@ def places(text: str, path: str, ids: np.ndarray | None = None) -> Places:
     ids = token_ids(text, path) if ids is None else ids
     _, lengths = encoding(path)
     data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+    n = len(data)
     border = np.zeros(len(ids) + 1, dtype=np.int64)
     np.cumsum(lengths[ids], out=border[1:])
-    lead = (data & 0xC0) != 0x80
-    chars = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(lead, out=chars[1:])
-    whole = np.append(lead, True)[border]
-
-    n = len(data)
-    space = SPACE[data]
-    run, breaks = _runs_newlines(space, data == 10)
+    if n == len(text):  # only ASCII: every byte is a character
+        char, whole = border, np.ones(len(border), dtype=bool)
+    else:
+        lead = (data & 0xC0) != 0x80
+        chars = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(lead, out=chars[1:])
+        char, whole = chars[border], np.append(lead, True)[border]
     kind = np.zeros(len(border), dtype=np.int8)
-    if n:
-        left, right = np.maximum(border - 1, 0), np.minimum(border, n - 1)
-        gap = np.where((border > 0) & space[left], run[left], np.where((border < n) & space[right], run[right], 0))
-        # A sentence ends before a run of white space if the last letter is a full stop, a danda or a mark like them.
-        begins = np.flatnonzero(space & ~np.append(False, space[:-1]))
-        ends_sentence = np.zeros(len(breaks), dtype=bool)
-        last = begins - 1
-        last = np.where((last > 0) & CLOSING[data[last]], last - 1, last)
-        stop = (last >= 0) & FULL_STOP[data[last]]
-        danda = (last >= 2) & (data[last] >= 0xA4) & (data[last] <= 0xA5) & (data[last - 1] == 0xA5) & (data[last - 2] == 0xE0)
-        ends_sentence[1:] = stop | danda
-        kind = np.where(gap > 0, np.where(breaks[gap] > 1, PARAGRAPH, np.where(breaks[gap] == 1, LINE, np.where(ends_sentence[gap], SENTENCE, WORD))), NONE).astype(np.int8)
-    return Places(border, chars[border], whole, kind)
+    blanks = np.flatnonzero(SPACE[data])
+    if not len(blanks):
+        return Places(border, char, whole, kind)
+    # Runs of white space: where they begin and end, how many line breaks they hold, and what they end.
+    gaps = np.flatnonzero(np.diff(blanks) != 1)
+    begins, ends = blanks[np.append(0, gaps + 1)], blanks[np.append(gaps, len(blanks) - 1)] + 1
+    newlines = np.flatnonzero(data == 10)
+    breaks = np.searchsorted(newlines, ends) - np.searchsorted(newlines, begins)
+    # A sentence ends before a run of white space if the last letter is a full stop, a danda or a mark like them.
+    last = begins - 1
+    last = np.where((last > 0) & CLOSING[data[last]], last - 1, last)
+    stop = (last >= 0) & FULL_STOP[data[last]]
+    if n != len(text):
+        stop |= (last >= 2) & (data[last] >= 0xA4) & (data[last] <= 0xA5) & (data[last - 1] == 0xA5) & (data[last - 2] == 0xE0)
+    strength = np.where(breaks > 1, PARAGRAPH, np.where(breaks == 1, LINE, np.where(stop, SENTENCE, WORD))).astype(np.int8)
+    # A border belongs to the run that it lies in, at, or right behind.
+    run = np.searchsorted(begins, border, side="right") - 1
+    touches = (run >= 0) & (border <= ends[run])
+    kind[touches] = strength[run[touches]]
+    return Places(border, char, whole, kind)
 
 
 def with_token_counts(df: DataFrame, text: str, keep: list[str], path: str) -> DataFrame:
