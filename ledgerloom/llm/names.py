@@ -34,8 +34,13 @@ GLUED = ("ji", "rao")
 ALSO = {"urf", "alias", "aka", "@"}
 #: Second names so common that sharing one says nothing.
 COMMON = {"kumar", "kumari", "lal", "devi", "prasad", "singh", "ram", "bai", "bhai", "chandra", "nath"}
-#: Nickname table: household names that stand for any given name, and endings that make a short form of one.
-PET_NAMES = {"guddo", "guddu", "chinku", "rinko", "rinku", "dhebu", "nanno", "pintal", "pintu", "kukka", "tippu", "sonto", "sonu", "bablo", "bablu", "munnor", "munna", "lallo", "lalu", "raju", "pappu"}
+#: Nickname table. Household names of northern India that stand for any given name, by common knowledge,
+#: without regard to any data; and endings that make a short form of a name.
+PET_NAMES = set(
+    "babbu babli babloo bachchu bholu bhola billu bindu bittu chhotu chinku chinki chintu chunnu dabbu debu dimpu dolly gabbu gappu ghantu golu gopu guddi guddu gudiya jaggu jittu "
+    "kaku kallu kuku lakku lalli lallu lalu laddu mannu mintu mithu mittu monu montu munna munni munnu nannu nanhe nikku nikki pappi pappu pinku pinki pintu puttu rabbu raju ramu "
+    "rinku rinki rocky sanju santu sonu sona tillu tinku tipu tinu titu tittu toni tunnu vicky".split()
+)
 SHORT_ENDINGS = ("u", "i", "o", "a", "ji", "bhai", "da", "ya", "hu", "ku", "bai", "behn", "ben", "babu", "amma", "anna", "appa")
 
 STRONG, WEAK = 2, 1
@@ -94,21 +99,27 @@ def folded(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", token)
 
 
-#: The household names as they are folded.
-PETS = {folded(p) for p in PET_NAMES}
+def household(token: str) -> bool:
+    """Whether a token is a household name, whatever vowels it ends in."""
+    return len(token) <= LONGEST_PET and re.sub(r"[aeiou]+$", "", folded(token)) in PETS
+
+
+#: The household names as they are folded, without the vowels at their ends.
+PETS = {re.sub(r"[aeiou]+$", "", folded(p)) for p in PET_NAMES}
+LONGEST_PET = max(map(len, PET_NAMES)) + 1
 
 
 @functools.lru_cache(maxsize=100_000)
 def code(token: str) -> str:
-    """Phonetic code: the folded token without vowels after the first letter, at most six letters."""
+    """Phonetic code: the folded token without vowels after the first letter."""
     f = folded(token)
-    return (f[:1] + re.sub(r"[aeiou]", "", f[1:]))[:6]
+    return f[:1] + re.sub(r"[aeiou]", "", f[1:])
 
 
 def codes(token: str) -> list[str]:
     """The code, and the codes with one letter left out: a slip in one consonant leaves one of them the same."""
     c = code(token)
-    return [c, *{c[:i] + "_" + c[i + 1 :] for i in range(len(c))}, *({"_" + c, *{c[:i] + "_" + c[i:] for i in range(1, len(c) + 1)}} if len(c) < 6 else set())]
+    return [c, *{c[:i] + "_" + c[i + 1 :] for i in range(len(c))}, "_" + c, *{c[:i] + "_" + c[i:] for i in range(1, len(c) + 1)}]
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -274,7 +285,7 @@ def compared(one: str, two: str) -> tuple[int, int]:
     bare = False
     for mine, theirs, known in ((left, right, oa), (right, left, ob)):
         for x in list(mine):
-            if folded(x) in PETS or any(token_match(x, p) for p in (ob if mine is left else oa)):
+            if household(x) or any(token_match(x, p) for p in (ob if mine is left else oa)):
                 mine.remove(x)
                 pet += 1
                 if theirs:
@@ -316,7 +327,7 @@ def compared(one: str, two: str) -> tuple[int, int]:
 def detail(name: str) -> int:
     """How much a name says: letters of its whole tokens, so initials and household names count for less."""
     tokens, _, common, _ = parsed(name)
-    return sum(len(t) for t in tokens if folded(t) not in PETS) + sum(map(len, common)) // 2
+    return sum(len(t) for t in tokens if not household(t)) + sum(map(len, common)) // 2
 
 
 def canonical(name: str) -> str:
@@ -353,8 +364,8 @@ def initial_keys(name: str) -> set[str]:
     sure, perhaps = list(initials), [w[0] for w in common]
     if tokens:
         words = {w[0] for w in (*tokens, *common)}
-        sure = [w[0] for w in tokens if folded(w) not in PETS] + [w for w in initials if w not in words]
-        perhaps += [w[0] for w in tokens if folded(w) in PETS] + [w for w in initials if w in words]
+        sure = [w[0] for w in tokens if not household(w)] + [w for w in initials if w not in words]
+        perhaps += [w[0] for w in tokens if household(w)] + [w for w in initials if w in words]
     chosen = (c for n in range(len(perhaps) + 1) for c in itertools.combinations(perhaps, n))
     return {"#" + "".join(sorted([*sure, *c])) for c in chosen}
 
@@ -469,8 +480,8 @@ def link_names(rows: DataFrame, key: str, name: str, agree: list[str]) -> DataFr
     edges = staged(edges, "edges")
     about = staged(nodes.groupBy("node").agg(F.max("detail").alias("detail"), *[F.max(c).alias(c) for c in groups]), "nodes")
     weak = pairs.where(F.col("kind") == WEAK)
+    roots = staged(components(edges, "a", "b"), "roots")
     while True:  # each round leaves fewer components than the one before
-        roots = staged(components(edges, "a", "b"), "roots")
         size = about.join(roots, "node").groupBy("root").agg(F.max("detail").alias("detail"), F.count(F.lit(1)).alias("nodes"), *[F.max(c).alias(c) for c in groups])
         end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
         said = lambda c: about.select(F.col("node").alias(c), F.col("detail").alias(f"said_{c}"))
@@ -492,7 +503,8 @@ def link_names(rows: DataFrame, key: str, name: str, agree: list[str]) -> DataFr
         chosen = staged(best.where("one.ways = 1").select(F.col("who").alias("a"), F.col("one.of").alias("b")), "chosen")
         if chosen.isEmpty():
             break
-        edges = staged(edges.unionByName(chosen), "edges")
+        joined = components(chosen, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = staged(roots.join(joined, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
     return roots.join(spellings.select(F.col("id").alias("node")).distinct(), "node").select(F.col("node").alias("id"), F.col("root").alias("person"))
 
 
