@@ -99,16 +99,6 @@ def folded(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", token)
 
 
-def household(token: str) -> bool:
-    """Whether a token is a household name, whatever vowels it ends in."""
-    return len(token) <= LONGEST_PET and re.sub(r"[aeiou]+$", "", folded(token)) in PETS
-
-
-#: The household names as they are folded, without the vowels at their ends.
-PETS = {re.sub(r"[aeiou]+$", "", folded(p)) for p in PET_NAMES}
-LONGEST_PET = max(map(len, PET_NAMES)) + 1
-
-
 @functools.lru_cache(maxsize=100_000)
 def code(token: str) -> str:
     """Phonetic code: the folded token without vowels after the first letter."""
@@ -147,6 +137,20 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: The household names as they are folded, without the vowels at their ends.
+PETS = {re.sub(r"[aeiou]+$", "", folded(p)) for p in PET_NAMES}
+#: Jaro-Winkler similarity from which a token counts as a spelling of a household name, and the most letters it may have.
+LIKE_PET, LONGEST_PET = 0.88, 7
+
+
+@functools.lru_cache(maxsize=100_000)
+def household(token: str) -> bool:
+    """Whether a token is a household name, whatever vowels it ends in, or a spelling near to one."""
+    if len(token) > LONGEST_PET:
+        return False
+    return re.sub(r"[aeiou]+$", "", folded(token)) in PETS or any(p[0] == token[0] and jaro_winkler(token, p) >= LIKE_PET for p in PET_NAMES)
+
+
 def edits(a: str, b: str, most: int = 3) -> int:
     """Insertions, deletions, replacements and swaps of neighbours between two texts; ``most + 1`` if more."""
     if abs(len(a) - len(b)) > most:
