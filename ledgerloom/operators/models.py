@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.schemas import extended
 from ledgerloom.operators.graph import components
+from ledgerloom.operators.peers import medians
 from ledgerloom.session import staged
 
 
 def imputed(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Nulls and NaN replaced by the column's median, with an indicator column for each feature."""
+    """Nulls and NaN replaced by the column's median, with an indicator column for each feature.
+
+    Medians are exact and come from counts of distinct values over range partitions, all features at once, so no task
+    gathers a column. A column without any value becomes zero.
+    """
     real = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
-    row = df.agg(*[F.median(c).alias(f) for f, c in real.items()]).first()
-    filled = {f: F.coalesce(c, F.lit(row[f] if row[f] is not None else 0.0)) for f, c in real.items()}
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), c.alias("v")) for i, c in enumerate(real.values())])
+    counts = df.select(F.inline(cells)).where("v is not null").groupBy("f", "v").agg(F.count(F.lit(1)).alias("c"))
+    found = {r["f"]: r["median"] for r in medians(counts, ["f"], "v", "c").collect()}  # a row for each feature
+    filled = {f: F.coalesce(c, F.lit(found.get(i, 0.0))) for i, (f, c) in enumerate(real.items())}
     return df.withColumns({f"{f}_missing": real[f].isNull().cast("int") for f in features} | filled)
 
 
@@ -96,18 +103,23 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], seed: int
     return filled.select(key, *features).mapInPandas(run, extended(df.select(key).schema, "score double"))
 
 
+#: Features that make the grid; a point is looked for in 3 ** GRID cells.
+GRID = 3
+
+
 def density_clusters(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.9, least: int = 50) -> DataFrame:
     """``key, cluster``: DBSCAN on standardised features rounded to one decimal; -1 is noise.
 
     Equal rows are one point with their number as weight. Points within ``eps`` are found by an equi join on grid cells
-    of the first two features and the cells around them. A point is core if its neighbourhood weighs ``least``; clusters
+    of the first GRID features and the cells around them; as features are rounded, a cell of three holds a bounded number
+    of points (9 ** 3 at the default ``eps``), however many rows these stand for. A point is core if its neighbourhood weighs ``least``; clusters
     are components of cores, named by their smallest point; other points join the smallest cluster among their core
     neighbours. Nulls and NaN take the median.
     """
     rounded = standardised(imputed(df.select(key, *features), features), features).withColumns({f: F.bround(f, 1) + 0.0 for f in features})
     points = rounded.groupBy(*features).agg(F.count(F.lit(1)).alias("weight"))
     points = staged(points.withColumn("point", F.monotonically_increasing_id()), "points")
-    grid = list(features[:2])
+    grid = list(features[:GRID])
     cells = [F.floor(F.col(f) / eps) for f in grid]
     here = points.select(F.col("point").alias("p"), *[F.col(f).alias(f"p_{f}") for f in features], *[c.alias(f"c{i}") for i, c in enumerate(cells)])
     steps = F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(d)]) for d in itertools.product((-1, 0, 1), repeat=len(grid))])

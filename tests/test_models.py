@@ -108,7 +108,10 @@ def test_streams(spark, tmp_path):
     q = S.ledger_upserts(stream, str(tmp_path / "led"), ["user_id"], ["ts"], str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert {r["user_id"]: r["event_id"] for r in spark.read.parquet(str(tmp_path / "led/v0")).collect()} == {0: 57, 1: 58, 2: 59}
+    view = lambda name: {r["user_id"]: r["event_id"] for r in S.ledger_view(spark, str(tmp_path / name), ["user_id"], ["ts"]).collect()}
+    assert view("led") == {0: 57, 1: 58, 2: 59}
+    S.ledger_compacted(spark, str(tmp_path / "led"), ["user_id"], ["ts"], str(tmp_path / "small"))
+    assert view("small") == view("led") and len(list((tmp_path / "small").iterdir())) == 1
 
 
 def test_block_matches_equal_brute_force(spark):
