@@ -46,9 +46,8 @@ def folded_text(s: pd.Series) -> pd.Series:
 
     Spark has no NFKC, so whole Arrow batches go to Python, once for each distinct text of a batch.
     """
-    distinct = s.drop_duplicates().dropna()
-    forms = distinct.map(lambda x: " ".join(_NO_WORD.sub(" ", unicodedata.normalize("NFKC", x).casefold()).split()))
-    return s.map(dict(zip(distinct, forms, strict=True)))
+    forms = {x: " ".join(_NO_WORD.sub(" ", unicodedata.normalize("NFKC", x).casefold()).split()) for x in set(s.dropna())}
+    return pd.Series([forms.get(x) for x in s], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
