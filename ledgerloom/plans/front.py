@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from ledgerloom.plans.sql import fy, using
 from ledgerloom.query import listing as L
 from ledgerloom.query.questions import MEASURES, Answer, Choice, Intent, Refusal, asked, states_in, understood
 from ledgerloom.query.reviews import open_cases
-from ledgerloom.session import shared_dir, staged
+from ledgerloom.session import shared_path, staged
 from ledgerloom.sources.exports import read_sqlite, write_csv_file, write_sqlite, write_workbook
 from ledgerloom.sources.files import ContractError, WorkbookSource
 from ledgerloom.sources.records import read_split_export, stream_digest
@@ -315,7 +314,7 @@ def q_open_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payments as a CSV file of one piece, read again in blocks by many tasks."""
     columns = ["record_id", "cohort", "vendor_id", "expenditure_date", "fund_disbursed_amt", "work_status"]
-    path = f"{shared_dir(spark)}/trip-{uuid.uuid4().hex[:12]}.csv"
+    path = shared_path(spark, "trip", ".csv")
     rows = table(spark, sf_dir, "expenditure").select(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")).alias(c) for c in columns])
     write_csv_file(rows, path.removeprefix("file://"))
     digest, n = stream_digest(path.removeprefix("file://")), rows.count()
@@ -329,7 +328,7 @@ def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vendor_id, vendor_name, payment_row_count, successful_paise, first_payment_date FROM vendor_features")
 def q_sqlite_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendors in a SQLite file, and back."""
-    path = f"{shared_dir(spark)}/trip-{uuid.uuid4().hex[:12]}.sqlite".removeprefix("file://")
+    path = shared_path(spark, "trip", ".sqlite").removeprefix("file://")
     v = table(spark, sf_dir, "vendor_features").select("vendor_id", "vendor_name", "payment_row_count", "successful_paise", "first_payment_date")
     write_sqlite({"vendors": v}, path, [("vendors", ["vendor_id"])])
     return read_sqlite(spark, path, "vendors", "vendor_id string, vendor_name string, payment_row_count bigint, successful_paise bigint, first_payment_date date")
@@ -338,7 +337,7 @@ def q_sqlite_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(row_number() OVER (ORDER BY successful_paise DESC, vendor_id) + 1 AS INTEGER) AS row, vendor_id, CAST(round(successful_paise / 100.0, 2) AS DOUBLE) AS successful_inr FROM vendor_features WHERE successful_paise IS NOT NULL ORDER BY 1 LIMIT 500")
 def q_workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five hundred vendors with the highest payments as a sheet, read by the workbook source."""
-    path = f"{shared_dir(spark)}/trip-{uuid.uuid4().hex[:12]}.xlsx".removeprefix("file://")
+    path = shared_path(spark, "trip", ".xlsx").removeprefix("file://")
     v = table(spark, sf_dir, "vendor_features").where("successful_paise is not null").select("vendor_id", "successful_paise")
     write_workbook({"vendors": v.orderBy(F.col("successful_paise").desc(), "vendor_id").limit(500)}, path)
     spark.dataSource.register(WorkbookSource)
@@ -362,7 +361,7 @@ def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def q_stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger that batches append to, and the latest row of each key."""
-    base = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex[:12]}"
+    base = shared_path(spark, "ledger")
     events = S.event_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
     stream = S.ledger_upserts(events, f"{base}/rows", ["user_id"], ["event_id"], f"{base}/state")
     try:

@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str, suffix: str = "") -> str:
+    """A new path in the shared folder; what is put there is removed when the Python driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}{suffix}"
+    _MADE.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -55,9 +62,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     The files are removed when the Python driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{label}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, f"staged-{label}")
     df.write.mode("error").parquet(path)
-    _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

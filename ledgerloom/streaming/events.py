@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.relational import latest
-from ledgerloom.session import shared_dir
+from ledgerloom.session import shared_path
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -65,7 +63,7 @@ def watched(query, say) -> None:
 def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over what is there, append mode, into the shared folder, and read the result."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{label}-{uuid.uuid4().hex[:12]}"
+    base = shared_path(spark, f"stream-{label}")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
     try:
         query.processAllAvailable()
