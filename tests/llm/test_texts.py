@@ -207,3 +207,12 @@ def test_tight_limits_bind_on_whole_documents(spark):
         mine = [r for r in found if r["limit_id"] == limit]
         assert all(r["t"] <= size and r["n"] <= size // 512 and r["l"] <= size * 7 // 8 for r in mine)
         assert sum(r["n"] == size // 512 for r in mine) > 2 and sum(r["l"] > size * 7 // 8 - 8 for r in mine) > 2
+
+
+def test_places_of_tiny_texts():
+    for text in ("", " ", "\n", "\n\n", "é ", " é", "a", " a", "a.\n\n", "।  क"):
+        at = tokens.places(text, PATH)
+        assert at.byte[-1] == len(text.encode()) and at.char[-1] == len(text) and len(at.kind) == len(at.byte) == len(at.whole)
+    at = tokens.places("One two. Three\nfour\n\nfive", PATH)
+    kinds = {int(c): int(k) for c, k in zip(at.char, at.kind, strict=True)}
+    assert [kinds[i] for i in (3, 8, 14, 19)] == [tokens.WORD, tokens.SENTENCE, tokens.LINE, tokens.PARAGRAPH] and kinds[0] == tokens.NONE
