@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.schemas import extended
@@ -46,6 +46,12 @@ def path_constant(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
+def _split(low: float, high: float, share: float) -> float:
+    """A place above ``low``, up to ``high``: between neighbouring or endless numbers it is ``high``, so neither side is empty."""
+    s = low + (high - low) * share
+    return min(s, high) if s > low else high
+
+
 class Forest:
     """Isolation trees kept as flat arrays, so a batch walks all trees level by level."""
 
@@ -67,7 +73,7 @@ class Forest:
                     self.length[t, node] = level + path_constant(len(inside))
                     continue
                 f = int(rng.choice(varied))
-                s = float(rng.uniform(low[f], high[f]))
+                s = _split(float(low[f]), float(high[f]), float(rng.random()))
                 self.feature[t, node], self.split[t, node] = f, s
                 below = rows[inside, f] < s
                 queue += [(2 * node, inside[below], level + 1), (2 * node + 1, inside[~below], level + 1)]
@@ -89,10 +95,21 @@ class Forest:
         return np.power(2.0, -total / len(self.feature) / path_constant(self.n))
 
 
+def _lowest(df: DataFrame, hashed: str, most: int) -> list[Row]:
+    """The ``most`` rows of the smallest hashes. Tasks send about twice as many together, however many tasks there are:
+    a bound on the hash leaves that many of evenly spread hashes; where it leaves too few, all rows are asked."""
+    n = df.count()
+    if n > 2 * most:
+        below = df.where(F.col(hashed) < int(2**64 * (2 * most / n)) - 2**63)
+        if len(found := below.orderBy(hashed).limit(most).collect()) == most:
+            return found
+    return df.orderBy(hashed).limit(most).collect()
+
+
 def isolation_scores(df: DataFrame, key: str, features: Sequence[str], seed: int = 17) -> DataFrame:
     """``key, score`` of every row; nulls and NaN take the median. Trees come from a bounded, seeded pool of rows."""
     filled = imputed(df.select(key, *features), features)
-    pool = filled.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.array(*features).alias("x")).orderBy("h").limit(POOL).collect()
+    pool = _lowest(filled.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.array(*features).alias("x")), "h", POOL)
     forest = Forest(np.array([r["x"] for r in pool], dtype=float).reshape(len(pool), len(features)), seed)
     shared = df.sparkSession.sparkContext.broadcast(forest)  # TREES x SAMPLE nodes, whatever the data
 

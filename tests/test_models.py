@@ -26,6 +26,23 @@ def test_isolation_forest_finds_the_far_point(spark):
     assert M.isolation_scores(spark.createDataFrame([], "k int, a double"), "k", ["a"]).count() == 0
 
 
+def test_isolation_forest_splits_neighbouring_and_endless_numbers(spark):
+    near = float(np.nextafter(1.0, 2.0))
+    for low, high in ((1.0, near), (-math.inf, math.inf), (1.0, math.inf), (-math.inf, 1.0), (-1e308, 1e308)):
+        forest = M.Forest(np.array([[low]] * 200 + [[high]] * 100), 3)
+        assert np.isfinite(forest.scores(np.array([[low], [high]]))).all()
+        assert all(low < s <= high for s in forest.split[forest.feature >= 0])
+    rows = [(i, near if i % 3 else 1.0) for i in range(300)]
+    assert M.isolation_scores(spark.createDataFrame(rows, "k int, a double"), "k", ["a"]).count() == 300
+
+
+def test_lowest_rows_by_hash(spark):
+    spread = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
+    assert M._lowest(spread, "h", 40) == spread.orderBy("h").limit(40).collect()
+    assert len(M._lowest(spread.withColumn("h", F.lit(7).cast("bigint")), "h", 40)) == 40  # equal hashes leave too few below the bound
+    assert len(M._lowest(spread.limit(30), "h", 40)) == 30
+
+
 def test_density_clusters_equal_a_plain_dbscan(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.4, size=(80, 2)) for c in ((0, 0), (6, 6))] + [rng.uniform(-4, 10, size=(30, 2))])
