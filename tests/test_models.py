@@ -2,7 +2,7 @@ import math
 import random
 import re
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -12,6 +12,7 @@ from ledgerloom.functions.scalars import PHASE_WORDS, STOP_WORDS
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import models as M
 from ledgerloom.operators.similar_works import all_similar, best_matches, scored_pair, similar_pairs
+from ledgerloom.plans.analysis import q_unsupervised
 from ledgerloom.plans.ledger import leave_one_out
 from ledgerloom.streaming import events as S
 
@@ -43,6 +44,16 @@ def test_lowest_rows_by_hash(spark):
     assert len(M._lowest(spread.limit(30), "h", 40)) == 30
 
 
+def test_unsupervised_of_works_with_neighbouring_ratios(spark, tmp_path):
+    near = float(np.nextafter(0.7, 1.0))
+    rows = [(f"w{i}", 5_000_000, 5_000_000, near if i % 3 else 0.7, date(2024, 1, 1), date(2024, 2, 1)) for i in range(300)]
+    rows += [(f"x{i}", 5_000_000, 5_000_000, 4.0, date(2024, 1, 1), date(2024, 2, 1)) for i in range(3)]
+    schema = "work_id string, recommended_amount_paise bigint, sanction_amount_paise bigint, cost_peer_ratio double, recommendation_date date, sanction_date date"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "work_features.parquet"))
+    got = {(r["model"], r["budget"]): (r["taken"], r["recovered"]) for r in q_unsupervised(spark, str(tmp_path)).collect()}
+    assert {b: got["isolation", b] for b in (0.05, 0.1, 0.2, 0.3)} == {0.05: (16, 3), 0.1: (31, 3), 0.2: (61, 3), 0.3: (91, 3)}
+
+
 def test_density_clusters_equal_a_plain_dbscan(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.4, size=(80, 2)) for c in ((0, 0), (6, 6))] + [rng.uniform(-4, 10, size=(30, 2))])
