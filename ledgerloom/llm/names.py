@@ -106,6 +106,7 @@ def code(token: str) -> str:
     return f[:1] + re.sub(r"[aeiou]", "", f[1:])
 
 
+@functools.lru_cache(maxsize=20_000)
 def codes(token: str) -> list[str]:
     """The code, and the codes with one letter left out: a slip in one consonant leaves one of them the same."""
     c = code(token)
@@ -151,9 +152,33 @@ def household(token: str) -> bool:
     return re.sub(r"[aeiou]+$", "", folded(token)) in PETS or any(p[0] == token[0] and jaro_winkler(token, p) >= LIKE_PET for p in PET_NAMES)
 
 
+#: Bits for each letter in :func:`_letters`; longer texts, and those with other signs, are counted letter by letter.
+_MOST, _PLAIN = 32, re.compile("[a-z]*").fullmatch
+
+
+@functools.lru_cache(maxsize=300_000)
+def _letters(text: str) -> int:
+    """The letters of a token: for each a run of as many bits as the token has of it, in a field of its own; or -1."""
+    if len(text) > _MOST or not _PLAIN(text):
+        return -1
+    out = 0
+    for c in set(text):
+        out |= ((1 << text.count(c)) - 1) << (ord(c) - 97) * _MOST
+    return out
+
+
+def _spread(a: str, b: str) -> int:
+    """Letters in one text beyond those of the other, counted both ways; an edit changes this by two at most."""
+    x, y = _letters(a), _letters(b)
+    if x >= 0 and y >= 0:
+        return (x ^ y).bit_count()
+    return sum(abs(a.count(c) - b.count(c)) for c in set(a + b))
+
+
 def edits(a: str, b: str, most: int = 3) -> int:
     """Insertions, deletions, replacements and swaps of neighbours between two texts; ``most + 1`` if more."""
-    if abs(len(a) - len(b)) > most:
+    apart = _spread(a, b)
+    if (abs(len(a) - len(b)) + apart) // 2 > most:  # the letters that one text has beyond the other's
         return most + 1
     before: list[int] = []
     last = list(range(len(b) + 1))
@@ -170,11 +195,6 @@ def edits(a: str, b: str, most: int = 3) -> int:
     return min(last[-1], most + 1)
 
 
-def _spread(a: str, b: str) -> int:
-    """Letters in one text beyond those of the other, counted both ways; an edit changes this by two at most."""
-    return sum(abs(a.count(c) - b.count(c)) for c in set(a + b))
-
-
 @functools.lru_cache(maxsize=300_000)
 def token_match(a: str, b: str) -> float:
     """1 for the same token give or take one slip, 0.5 for perhaps the same (two slips), 0 otherwise."""
@@ -182,12 +202,22 @@ def token_match(a: str, b: str) -> float:
     if x == y:
         return 1.0
     short = min(len(x), len(y))
-    if short < 3 or abs(len(x) - len(y)) > 3 or (_spread(x, y) > 6 and _spread(a, b) > 4):
+    if short < 3 or abs(len(x) - len(y)) > 3:
+        return 0.0
+    apart = _spread(x, y)
+    if apart > 6 and _spread(a, b) > 4:
+        return 0.0
+    # The most that the similarity can be with so many letters in common, in whatever order.
+    shared = (len(x) + len(y) - apart) / 2
+    jaro = (shared / len(x) + shared / len(y) + 1) / 3
+    prefix = next((k for k in range(min(4, short)) if x[k] != y[k]), min(4, short))
+    if jaro + 0.1 * prefix * (1 - jaro) < 0.8 - 1e-9:
         return 0.0
     near = jaro_winkler(x, y)
     if near < 0.8:
         return 0.0
-    slips = min(edits(x, y, 2), edits(a, b, 2))
+    slips = edits(x, y, 2)
+    slips = slips if slips == 1 else min(slips, edits(a, b, 2))
     if slips == 1 and short >= 4 and near >= 0.86:
         return 1.0
     common = next((k for k in range(short) if x[k] != y[k]), short)
@@ -226,6 +256,11 @@ def _joined_match(a: list[str], b: list[str]) -> bool:
     return any(edits(folded("".join(p)), w, 2) <= (2 if len(w) >= 10 else 1) for p in itertools.permutations(a) for w in whole)
 
 
+def _mendable(two: tuple[str, ...], one: tuple[str, ...]) -> bool:
+    """Whether two tokens of one side together are about as long as one of the other; else nothing is to mend."""
+    return any(abs(len(x) + len(y) - len(o)) < 3 for x, y in itertools.combinations(two, 2) for o in one)
+
+
 def _mended(tokens: tuple[str, ...], letters: tuple[str, ...], other: tuple[str, ...]) -> tuple[str, ...]:
     """Tokens where two neighbours that together make one of the other side are joined, and one that is two neighbours
     of the other side is divided."""
@@ -242,10 +277,67 @@ def _mended(tokens: tuple[str, ...], letters: tuple[str, ...], other: tuple[str,
     return tuple(out)
 
 
+#: Letters that a token's first letter may become when it is folded stand for one another here.
+_HEADS = str.maketrans("aeiouycqxvwz", "aaaaaakkkbbj")
+
+
+@functools.lru_cache(maxsize=100_000)
+def _outline(name: str) -> tuple | None:
+    """What :func:`_hopeless` looks at; nothing for names without tokens, with another name, or with odd signs."""
+    tokens, initials, common, other = parsed(name)
+    facts = [(t, f := folded(t), len(f), _letters(f), _letters(t), t[0].translate(_HEADS), t[-2:], f[-2:], household(t)) for t in tokens]
+    if not tokens or other or any(x[3] < 0 or x[4] < 0 for x in facts):
+        return None
+    return tokens, initials, common, facts, {w[0] for w in (*initials, *common)}, len(tokens) + len(common) + len(initials)
+
+
+def _hopeless(one: str, two: str) -> bool:
+    """Whether :func:`compared` is sure to say 0: one token at most matches, and nothing else speaks for the pair. Where
+    this is not plain, it is false."""
+    a, b = _outline(one), _outline(two)
+    if a is None or b is None:
+        return False
+    (ta, ia, ca, fa, heads_a, na), (tb, ib, cb, fb, heads_b, nb) = a, b
+    fits = []
+    for x in fa:
+        n, bag, raw = x[2:5]
+        for y in fb:
+            # As in token_match, which is asked only where letters leave it open.
+            if x[1] == y[1] or (-4 < n - y[2] < 4 and ((bag ^ y[3]).bit_count() <= 6 or (raw ^ y[4]).bit_count() <= 4) and token_match(x[0], y[0])):
+                fits.append((x, y))
+    if len(fits) > 1:
+        return False
+    left, right = (fa, fb) if not fits else ([x for x in fa if x is not fits[0][0]], [y for y in fb if y is not fits[0][1]])
+    if fits:
+        # A second token is wanting, so a letter, a household name or a short form must stand for it.
+        if ia or ib:
+            if (ca and cb) or any(h in heads_b for h in ia) or any(h in heads_a for h in ib) or any(y[0][0] in ia for y in right) or any(x[0][0] in ib for x in left):
+                return False
+        else:
+            for x in left:
+                if x[8]:
+                    return False
+                for y in right:
+                    if y[8] or ((x[5] == y[5] or x[6] == y[6] or x[7] == y[7]) and (nickname_of(x[0], y[0]) or nickname_of(y[0], x[0]))):
+                        return False
+            if any(y[8] for y in right):
+                return False
+    if len(ta) + len(tb) > 2:
+        if (_mendable(ta, tb) or _mendable(tb, ta)) and (_mended(ta, ia, tb) != ta or _mended(tb, ib, ta) != tb):
+            return False
+        if len(left) + len(right) > 2 and _joined_match([x[0] for x in left], [y[0] for y in right]):
+            return False
+    return na == nb or not _joined_match([*ta, *ca, *ia], [*tb, *cb, *ib])
+
+
 def compared(one: str, two: str) -> tuple[int, int]:
     """``(STRONG, WEAK or 0, points)`` for two names as typed; points rank the weak ones."""
+    return (0, 0) if _hopeless(one, two) else _compared(one, two)
+
+
+def _compared(one: str, two: str) -> tuple[int, int]:
     (ta, ia, ca, oa), (tb, ib, cb, ob) = parsed(one), parsed(two)
-    if set(ta) != set(tb):
+    if set(ta) != set(tb) and (_mendable(ta, tb) or _mendable(tb, ta)):
         ta, tb = _mended(ta, ia, tb), _mended(tb, ib, ta)
     left, right = list(ta), list(tb)
     same, perhaps = 0, 0
@@ -377,30 +469,31 @@ def initial_keys(name: str) -> set[str]:
 def _keyed(nodes: DataFrame, agree: list[str]) -> DataFrame:
     """A row for each code of each token that another node also has: ``key``, whether it is a code and no row of
     initials (``plain``), whether it holds ``anywhere``, and how many rows and ``seekers`` the block has."""
-    schema = extended(nodes.select("node", "name", *agree).schema, "key string, plain boolean, bare boolean, seeks boolean, anywhere boolean")
+    schema = extended(nodes.select("node", "name", *agree).schema, "key string, code string, plain boolean, bare boolean, seeks boolean, anywhere boolean")
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, plain, bares, seeks, anywhere = [], [], [], [], [], []
+            rows, keys, whole, plain, bares, seeks, anywhere = [], [], [], [], [], [], []
             first = batch.column(agree[0]).to_pylist()
             for i, name in enumerate(batch.column("name").to_pylist()):
                 tokens = parsed(name)[0]
                 lost, bare = first[i] is None, not tokens
-                found = {c for t in tokens for c in codes(t)}
-                found.update(c for a, b in itertools.pairwise(tokens) for c in codes(a + b))  # a name that was torn apart
-                found |= initial_keys(name)
-                for c in sorted(found):
+                words = {code(w): w for w in (*tokens, *(a + b for a, b in itertools.pairwise(tokens)))}  # names torn apart too
+                found = {(c, "" if c == own else own) for own, w in words.items() for c in codes(w)}
+                found.update((c, "") for c in initial_keys(name))
+                for c, own in sorted(found):
                     for where in (False, True):
                         if where or not lost:
                             rows.append(i)
                             keys.append(c if where else f"{first[i]}|{c}")
+                            whole.append(own)
                             plain.append(c[0] != "#")
                             bares.append(bare)
                             seeks.append(lost if where else bare and c[0] == "#")
                             anywhere.append(where)
             at = pa.array(rows, pa.int64())
-            added = [pa.array(keys, pa.string()), *[pa.array(x, pa.bool_()) for x in (plain, bares, seeks, anywhere)]]
+            added = [pa.array(keys, pa.string()), pa.array(whole, pa.string()), *[pa.array(x, pa.bool_()) for x in (plain, bares, seeks, anywhere)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("node", "name", *agree)], *added], names)
 
     # A row makes many: rows are spread by number, as their few bytes would put them into one task.
@@ -437,16 +530,17 @@ def _compared_pairs(nodes: DataFrame, agree: list[str]) -> DataFrame:
     for c in agree:
         fits &= F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull() | (F.col(f"a_{c}") == F.col(f"b_{c}"))
     # Within a block of one place all meet, but pairs of spellings that are only known by their initials meet the rest.
+    # Equal codes meet under the code itself, not again under each of their keys with a consonant left out.
+    fresh = "a_code = '' or a_code <> b_code"
     here, plain = keyed.where(~F.col("anywhere")), F.col("plain")
-    near = _met(here.where(plain), here.where(plain), "crowd", agree).where("a_node < b_node")
+    near = _met(here.where(plain), here.where(plain), "crowd", [*agree, "code"]).where("a_node < b_node").where(fresh).drop("a_code", "b_code")
     bare = _met(here.where("seeks"), here, "seekers", agree).where("a_node <> b_node")
     far = keyed.where("anywhere")
-    lost = _met(far.where("seeks"), far, "seekers", [*agree, "plain", "bare"]).where("a_node <> b_node and (a_plain or a_bare or b_bare)").drop("a_plain", "b_plain", "a_bare", "b_bare")
+    lost = _met(far.where("seeks"), far, "seekers", [*agree, "code", "plain", "bare"]).where("a_node <> b_node and (a_plain or a_bare or b_bare)").where(fresh).drop("a_code", "b_code", "a_plain", "b_plain", "a_bare", "b_bare")
     columns = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
     columns += [F.when(F.col("a_node") < F.col("b_node"), F.col(f"{x}_name")).otherwise(F.col(f"{y}_name")).alias(f"name_{x}") for x, y in (("a", "b"), ("b", "a"))]
     columns += [(F.col(f"a_{agree[0]}").isNull() | F.col(f"b_{agree[0]}").isNull()).alias("lost")]
-    pairs = near.unionByName(bare).unionByName(lost).where(fits).select(*columns).distinct()
-    pairs = pairs.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = near.unionByName(bare).unionByName(lost).where(fits).select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,7 +551,8 @@ def _compared_pairs(nodes: DataFrame, agree: list[str]) -> DataFrame:
             made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(kind, pa.int32()), points], ["a", "b", "kind", "points"])
             yield made.filter(pa.array(kind > 0))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, kind int, points int")
+    # Pairs are compared where they meet, without a shuffle; few are left, and of these some have met more than once.
+    return pairs.mapInArrow(run, "a bigint, b bigint, kind int, points int").distinct()
 
 
 def link_names(rows: DataFrame, key: str, name: str, agree: list[str]) -> DataFrame:

@@ -1,5 +1,9 @@
+import itertools
+import random
+
 import pytest
 
+from ledgerloom.llm import names
 from ledgerloom.llm.names import STRONG, canonical, code, compared, jaro_winkler, link_names, nickname_of, parsed, person_pairs, token_match
 
 
@@ -33,6 +37,29 @@ def test_weak_and_nicknames():
     assert token_match("gohivand", "gohivaaand") == 1 and code("bhikkha") == code("bika")
 
 
+def test_names_passed_over_are_those_that_compare_to_nothing():
+    rng = random.Random(5)
+    parts = ["bha", "dri", "kum", "esh", "tro", "nav", "zo", "lee", "pu", "rit", "gho", "ji", "sha", "mul"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(2, 4)))
+    words = [word() for _ in range(40)]
+
+    def typed():
+        n = rng.choices(words, k=rng.randint(1, 3)) + rng.choices(["", "kumar", "devi", "k.", "d", "b.", "kukka", "urf tippu", "shri"], k=2)
+        rng.shuffle(n)
+        text = " ".join(n)
+        at = rng.randrange(1, len(text))
+        return rng.choice([text, text, text[:at] + text[at + 1 :], text[:at] + " " + text[at:], text.replace(" ", "", 1), text[:at] + "h" + text[at:]])
+
+    pairs = [(typed(), typed()) for _ in range(6000)]
+    pairs += [(a, " ".join([a.split()[0], rng.choice(words)])) for a, _ in pairs[:3000] if a.split()]
+    passed = [p for p in pairs if names._hopeless(*p)]
+    assert all(names._compared(*p)[0] == 0 for p in passed)
+    nothing = sum(names._compared(*p)[0] == 0 for p in pairs)
+    assert len(pairs) > nothing > len(passed) > 0.6 * nothing
+    plain = lambda a, b: sum(abs(a.count(c) - b.count(c)) for c in set(a + b))
+    assert all(names._spread(a, b) == plain(a, b) for a, b in [*pairs, *itertools.product(words, words), ("", "aa"), ("a" * 40, "a" * 35), ("a-", "-b")])
+
+
 SCHEMA = "id bigint, name string, place string, seat string, node int, detail string"
 
 
