@@ -33,6 +33,15 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
     return joined_many_to_one(unique_or_raise(left, keys, "left side"), right, keys)
 
 
+def own_keys(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """``df`` with a text ``key`` of its own for each row: the first row of a key keeps it, every further one (by
+    ``order``) has its number behind a unit separator, as have rows without a key. Rows equal in ``order`` change places at most."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    text = F.col(key).cast("string")
+    named = F.when(text.isNotNull() & (F.col("__nth") == 1), text).otherwise(F.concat(F.coalesce(text, F.lit("")), F.lit("\x1f"), F.col("__nth")))
+    return df.withColumn("__nth", nth).withColumn(key, named).drop("__nth")
+
+
 def matched(left: DataFrame, right: DataFrame, keys: list[str], name: str = "match") -> DataFrame:
     """Left join with a column telling ``Matched`` from ``Unmatched`` rows."""
     marked = right.withColumn("__here", F.lit(True))

@@ -273,12 +273,14 @@ def q_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many works with a high peer ratio the isolation scores and the density noise recover."""
-    w = table(spark, sf_dir, "work_features")
+    """How many works with a high peer ratio the isolation scores and the density noise recover.
+
+    Each row counts: rows that repeat a work's id are scored and labelled by themselves."""
+    w = staged(R.own_keys(_measures(spark, sf_dir), "work_id", [F.col(c) for c in ("r", "s", "cost_peer_ratio", "d")]), "measures")
     truth = w.select("work_id", F.coalesce((F.col("cost_peer_ratio") >= 3) & ~F.isnan("cost_peer_ratio"), F.lit(False)).alias("truth"))
-    forest = E.labelled(q_isolation_forest(spark, sf_dir), truth, "work_id", "truth")
+    forest = E.labelled(staged(_isolated(w), "scores"), truth, "work_id", "truth")
     found = E.recovery_at(forest, "work_id", "score", "truth", [0.05, 0.1, 0.2, 0.3]).select(F.lit("isolation").alias("model"), "budget", "taken", "recovered", "recovery")
-    noise = E.labelled(q_dbscan(spark, sf_dir), truth, "work_id", "truth")
+    noise = E.labelled(staged(_dense(w), "clusters"), truth, "work_id", "truth")
     noise = noise.agg(F.lit("density").alias("model"), F.round(F.count_if(F.expr("cluster = -1")) / F.count(F.lit(1)), 6).alias("budget"), F.count_if(F.expr("cluster = -1")).alias("taken"), F.count_if(F.expr("cluster = -1 and truth")).alias("recovered"), F.count_if("truth").alias("t"))
     return found.unionByName(noise.withColumn("recovery", F.round(F.col("recovered") / F.greatest(F.col("t"), F.lit(1)), 6)).drop("t"))
 
@@ -447,18 +449,27 @@ def q_map_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("state", F.least(F.lit(4), F.floor(ratio(F.col("hits"), F.col("works")) / 0.02)).cast("int").alias("shade"))
 
 
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the models see of each work: log amounts, the peer ratio and the days until the sanction."""
+    return table(spark, sf_dir, "work_features").select("work_id", F.log1p(F.col("recommended_amount_paise") / 100.0).alias("r"), F.log1p(F.col("sanction_amount_paise") / 100.0).alias("s"), "cost_peer_ratio", F.date_diff("sanction_date", "recommendation_date").cast("double").alias("d"))
+
+
+def _isolated(works: DataFrame) -> DataFrame:
+    scores = M.isolation_scores(works, "work_id", ["r", "s", "cost_peer_ratio", "d"])
+    return scores.select("work_id", F.round("score", 6).alias("score"))
+
+
+def _dense(works: DataFrame) -> DataFrame:
+    return M.density_clusters(works, "work_id", ["r", "s", "d"], 0.9, 50)
+
+
 @query()
 def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How early each work is isolated by random splits."""
-    w = table(spark, sf_dir, "work_features").select("work_id", F.log1p(F.col("recommended_amount_paise") / 100.0).alias("r"), F.log1p(F.col("sanction_amount_paise") / 100.0).alias("s"), "cost_peer_ratio", F.date_diff("sanction_date", "recommendation_date").cast("double").alias("d"))
-    scores = M.isolation_scores(w, "work_id", ["r", "s", "cost_peer_ratio", "d"])
-    return scores.select("work_id", F.round("score", 6).alias("score"))
+    return _isolated(_measures(spark, sf_dir))
 
 
 @query()
 def q_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of amounts."""
-    w = table(spark, sf_dir, "work_features").select("work_id", F.log1p(F.col("recommended_amount_paise") / 100.0).alias("r"), F.log1p(F.col("sanction_amount_paise") / 100.0).alias("s"), F.date_diff("sanction_date", "recommendation_date").cast("double").alias("d"))
-    return M.density_clusters(w, "work_id", ["r", "s", "d"], 0.9, 50)
-
-
+    return _dense(_measures(spark, sf_dir))

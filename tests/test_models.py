@@ -54,6 +54,16 @@ def test_unsupervised_of_works_with_neighbouring_ratios(spark, tmp_path):
     assert {b: got["isolation", b] for b in (0.05, 0.1, 0.2, 0.3)} == {0.05: (16, 3), 0.1: (31, 3), 0.2: (61, 3), 0.3: (91, 3)}
 
 
+def test_unsupervised_counts_rows_that_repeat_an_id(spark, tmp_path):
+    rows = [(f"w{i % 100}" if i % 50 else None, 5_000_000, 5_000_000, 0.7 + i % 5 / 100, date(2024, 1, 1), date(2024, 2, 1)) for i in range(300)]
+    rows += [("w1", 5_000_000, 5_000_000, 4.0, date(2024, 1, 1), date(2024, 2, 1)), ("x", 500, 5_000_000, 4.0, date(2024, 1, 1), date(2024, 9, 1))] * 2
+    schema = "work_id string, recommended_amount_paise bigint, sanction_amount_paise bigint, cost_peer_ratio double, recommendation_date date, sanction_date date"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "work_features.parquet"))
+    got = {(r["model"], r["budget"]): (r["taken"], r["recovered"]) for r in q_unsupervised(spark, str(tmp_path)).collect()}
+    assert {b: got["isolation", b] for b in (0.05, 0.1, 0.2, 0.3)} == {0.05: (16, 4), 0.1: (31, 4), 0.2: (61, 4), 0.3: (92, 4)}
+    assert [v for (m, _), v in got.items() if m == "density"] == [(2, 2)]  # the rows of x are far from all others
+
+
 def test_density_clusters_equal_a_plain_dbscan(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.4, size=(80, 2)) for c in ((0, 0), (6, 6))] + [rng.uniform(-4, 10, size=(30, 2))])

@@ -14,6 +14,12 @@ def test_joins_check_their_keys(spark):
     assert {r["k"]: r["match"] for r in R.matched(left, right.limit(1), ["k"]).collect()} == {1: "Matched", 2: "Unmatched"}
 
 
+def test_every_row_gets_a_key_of_its_own(spark):
+    rows = [("a", 2.0), ("a", 1.0), ("b", 1.0), ("a", 2.0), (None, 3.0), (None, 1.0)]
+    got = {r["k"]: r["v"] for r in R.own_keys(spark.createDataFrame(rows, "k string, v double"), "k", [F.col("v")]).collect()}
+    assert got == {"a": 1.0, "a\x1f2": 2.0, "a\x1f3": 2.0, "b": 1.0, "\x1f1": 1.0, "\x1f2": 3.0}
+
+
 def test_merge_prefers_the_first_side_and_keeps_blanks(spark):
     a = spark.createDataFrame([(1, ""), (2, None)], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
